@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe
-from vellum.llm.common import table, text_of
+from vellum.llm import bpe, quality, subwords, toxicity
+from vellum.llm.common import fold, table, text_of
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -28,3 +28,22 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def _classified(spark: SparkSession, sf_dir: str, kind, held_out) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = kind.fit(docs, labels.where(~held_out))
+    scored = subwords.classify(docs.select("doc_id", "text"), model, kind.THRESHOLD)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, learnt from the labels outside the held-out quarter."""
+    return _classified(spark, sf_dir, toxicity, fold(2, 4))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document, learnt from the labels outside the held-out fifth."""
+    return _classified(spark, sf_dir, quality, fold(0, 5))
