@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, quality, subwords, toxicity
+from vellum.llm import bpe, quality, simhash, subwords, toxicity
 from vellum.llm.common import fold, table, text_of
 
 QUERIES: dict = {}
@@ -47,3 +47,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of each document, learnt from the labels outside the held-out fifth."""
     return _classified(spark, sf_dir, quality, fold(0, 5))
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of each document."""
+    groups = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
