@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, quality, simhash, subwords, toxicity
+from vellum.llm import bpe, lines, quality, simhash, subwords, toxicity
 from vellum.llm.common import fold, table, text_of
 
 QUERIES: dict = {}
@@ -54,3 +54,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of each document."""
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text without recurring lines, and how many it lost."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.drop_recurring_lines(docs, dropped="n_dropped").select("doc_id", "n_dropped", "text")
+
+
+ORACLE_SQL["op2_line_dedup"] = lines.SQL
