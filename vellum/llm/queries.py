@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, lines, quality, simhash, subwords, toxicity
+from vellum.llm import bpe, lines, mixing, quality, simhash, subwords, toxicity
 from vellum.llm.common import fold, table, text_of
 
 QUERIES: dict = {}
@@ -64,3 +64,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op2_line_dedup"] = lines.SQL
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document."""
+    return mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
