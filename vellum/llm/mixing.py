@@ -2,7 +2,8 @@
 
 The words of a source, in a pseudorandom order of its documents, are packed end to end into blocks of BLOCK words.
 An output shard has a fixed number of slots and draws how many come from each source: the whole part of its
-expectation for certain, the rest by a multinomial draw. Slots of a source are numbered over all shards; slot i
+expectation for certain, the rest by a multinomial draw. A shard's expectation makes up for what the draws before
+it gave too much or too little, so that a source ends within a slot or two of its target. Slots of a source are numbered over all shards; slot i
 takes block permutation(i mod blocks), with another permutation for each round through the blocks. Slots and
 documents meet by block number.
 
@@ -85,9 +86,12 @@ def draw(sources: list[Source], seed: int = SEED) -> list[tuple[int, int, int, i
     limit, used, rng, out = np.array([MOST * s.blocks for s in sources]), np.zeros(len(sources), np.int64), np.random.default_rng(seed), []
     for shard in range(math.ceil(total / size)):
         slots = min(size, total - shard * size)
-        sure = np.floor(slots * p).astype(np.int64)
-        rest = slots * p - sure
-        counts = sure + (rng.multinomial(slots - sure.sum(), rest / rest.sum()) if slots > sure.sum() else 0)
+        due = np.maximum(p * (shard * size + slots) - used, 0)
+        sure = np.floor(due).astype(np.int64)
+        while sure.sum() > slots:
+            sure[sure.argmax()] -= 1
+        rest = due - sure
+        counts = sure + (rng.multinomial(slots - sure.sum(), rest / rest.sum()) if slots > sure.sum() and rest.sum() else 0)
         counts = np.minimum(counts, limit - used)
         out += [(shard, int(i), int(used[i]), int(counts[i])) for i in np.flatnonzero(counts)]
         used += counts
