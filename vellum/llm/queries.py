@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, lines, mixing, quality, simhash, subwords, toxicity
+from vellum.llm import bpe, lines, mixing, phrases, quality, simhash, subwords, toxicity
 from vellum.llm.common import fold, table, text_of
 
 QUERIES: dict = {}
@@ -70,3 +70,9 @@ ORACLE_SQL["op2_line_dedup"] = lines.SQL
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of each document."""
     return mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+@query
+def op5_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of each document and of its edited text, and how alike they are."""
+    return phrases.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
