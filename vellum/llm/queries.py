@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, lines, mixing, phrases, quality, simhash, subwords, toxicity
+from vellum.llm import bpe, kneser, lines, mixing, phrases, quality, simhash, subwords, toxicity
 from vellum.llm.common import fold, table, text_of
 
 QUERIES: dict = {}
@@ -76,3 +76,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of each document and of its edited text, and how alike they are."""
     return phrases.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of each document, learnt from the documents outside the held-out fifth."""
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), fold(1, 5)
+    model = kneser.fit(docs.where(~held_out))
+    scored = kneser.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "lm.n_tokens", "lm.n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "lm.base_score", "lm.score")
