@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, kneser, lines, mixing, phrases, quality, simhash, subwords, toxicity
+from vellum.llm import bpe, kneser, lines, mixing, multiindex, phrases, quality, simhash, subwords, toxicity
 from vellum.llm.common import fold, table, text_of
 
 QUERIES: dict = {}
@@ -85,3 +85,10 @@ def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = kneser.fit(docs.where(~held_out))
     scored = kneser.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "lm.n_tokens", "lm.n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "lm.base_score", "lm.score")
+
+
+@query
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth vector."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return multiindex.search(vectors, vectors.where("vec_id % 50 = 0"))
