@@ -50,9 +50,7 @@ def test_walk_is_in_order_of_summed_distance():
 
 
 @pytest.mark.parametrize("block,group", [(2048, 512), (3, 2)])
-def test_copies_ties_and_odd_vectors(spark, monkeypatch, block, group):
-    monkeypatch.setattr(multiindex, "BLOCK", block)
-    monkeypatch.setattr(multiindex, "GROUP", group)
+def test_copies_ties_and_odd_vectors(spark, block, group):
     rng = random.Random(1)
     vectors = {i: [rng.gauss(0, 1) for _ in range(6)] for i in range(40)}
     for i in range(40, 70):
@@ -62,7 +60,7 @@ def test_copies_ties_and_odd_vectors(spark, monkeypatch, block, group):
     rows = [(i, v, "x") for i, v in [*vectors.items(), *odd.items()]] + [(5, vectors[5], "again"), (None, vectors[1], "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell string")
     got = {}
-    for r in multiindex.search(df, df, share=1.0, centroids=4).collect():
+    for r in multiindex.search(df, df, share=1.0, centroids=4, block=block, group=group).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
     want = exact({k: [x / 2.0**600 for x in v] if k == 71 else v for k, v in vectors.items()}, list(vectors))
     assert set(got) == set(vectors)

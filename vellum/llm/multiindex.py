@@ -83,7 +83,7 @@ def cosines(queries: np.ndarray, entries: np.ndarray) -> np.ndarray:
     return top / np.sqrt((q * q).sum(axis=1))[:, None] / np.sqrt((e * e).sum(axis=1))
 
 
-def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, centroids: int = CENTROIDS, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, centroids: int = CENTROIDS, share: float = SHARE, sample: int = SAMPLE, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """The k nearest entries found for each query: query_id, rank from 1, vec_id, score (cosine in doubles).
 
     Nearest first, ties to the smaller id; all entries, if there are fewer than k besides the query's own id.
@@ -125,18 +125,18 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
     def block_of(cell: pa.Array, hashed: pa.Array) -> pa.Array:
         n, at = layout.value
         c = cell.to_numpy()
-        return pa.array((at[c] + hashed.to_numpy() % n[c]) // BLOCK)
+        return pa.array((at[c] + hashed.to_numpy() % n[c]) // block)
 
     def visits_of(vectors: pa.Array) -> pa.Array:
         unit = _unit(_matrix(vectors, width))
         a, b = (_distances(unit[:, part], book) for part, book in zip((slice(0, half), slice(half, None)), shared.value))
-        return pa.array([_blocks(walk(x, y, layout.value[0], wanted), *layout.value) for x, y in zip(a, b)], pa.list_(pa.struct([("block", pa.int64()), ("cells", pa.list_(pa.int32()))])))
+        return pa.array([_blocks(walk(x, y, layout.value[0], wanted), *layout.value, block) for x, y in zip(a, b)], pa.list_(pa.struct([("block", pa.int64()), ("cells", pa.list_(pa.int32()))])))
 
     placed = indexed.withColumn("block", F.arrow_udf(block_of, "long")("cell", "hash"))
     asked = good(queries).where(F.size("v") == width).distinct()
     visits = F.explode(F.arrow_udf(visits_of, "array<struct<block:bigint,cells:array<int>>>")("v"))
     asked = written(asked.select("id", "v", visits.alias("visit")).select("id", "v", "visit.block", "visit.cells"))
-    groups = written(asked.groupBy("block").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")))
+    groups = written(asked.groupBy("block").agg(F.ceil(F.count("*") / group).cast("int").alias("groups")))
     left = asked.join(groups, "block").select("block", F.pmod(F.xxhash64("id"), "groups").cast("int").alias("group"), "id", "v", "cells")
     right = placed.join(groups, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "cell", "ids", "v")
     near = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(_rerank(k), "query_id long, vec_id long, score double")
@@ -163,15 +163,15 @@ def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _blocks(cells: list[int], sizes: np.ndarray, at: np.ndarray) -> list[dict]:
+def _blocks(cells: list[int], sizes: np.ndarray, at: np.ndarray, block: int) -> list[dict]:
     """The blocks that hold some of the cells, with these cells."""
     cells = np.sort(np.array(cells))
-    first, last = at[cells] // BLOCK, (at[cells] + sizes[cells] - 1) // BLOCK
+    first, last = at[cells] // block, (at[cells] + sizes[cells] - 1) // block
     spans = last - first + 1
-    block = np.repeat(first, spans) + np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
+    held = np.repeat(first, spans) + np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
     cell = np.repeat(cells, spans).astype(np.int32)
-    heads = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    return [{"block": int(b), "cells": c} for b, c in zip(block[heads], np.split(cell, heads[1:]))]
+    heads = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    return [{"block": int(b), "cells": c} for b, c in zip(held[heads], np.split(cell, heads[1:]))]
 
 
 def _rerank(k: int):
