@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, kneser, lines, mixing, multiindex, phrases, quality, simhash, subwords, toxicity
+from vellum.llm import bpe, kneser, lines, mixing, multiindex, phrases, quality, simhash, subwords, toxicity, wrapper
 from vellum.llm.common import fold, table, text_of
 
 QUERIES: dict = {}
@@ -92,3 +92,10 @@ def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors found for every fiftieth vector."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return multiindex.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query
+def op8_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    found = wrapper.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
