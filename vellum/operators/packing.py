@@ -90,3 +90,18 @@ def packed(sizes: list[int], limit: int, overhead: int, build) -> list[tuple[int
         spans.append((at, end))
         at = end
     return spans
+
+
+def split_blocks(blocks: DataFrame, limit: int, overhead: int, key: str = "path", piece: str = "piece") -> DataFrame:
+    """(key, part, parts, body, size): ordered pieces of a document in parts of about limit bytes.
+
+    The budget leaves a tenth and the overhead of what stands in every part; a piece beyond it is a part by itself.
+    blocks: key, pos, piece.
+    """
+    budget = max(limit * 9 // 10 - overhead, limit // 4)
+    docs = blocks.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", piece))), lambda s: s[piece]).alias("pieces"))
+    fit = F.arrow_udf(lambda sizes: pa.array([next_fit(s, 1 << 30, budget) for s in sizes.to_pylist()], pa.list_(pa.int32())), "array<int>")
+    packed_docs = docs.withColumn("at", fit(F.transform("pieces", lambda p: F.octet_length(p))))
+    rows = packed_docs.select(key, F.array_max("at").alias("parts"), F.posexplode(F.arrays_zip("at", "pieces")).alias("pos", "z")).select(key, "parts", "pos", F.col("z.at").alias("part"), F.col("z.pieces").alias("piece"))
+    joined = rows.groupBy(key, "part", "parts").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda s: s["piece"]), "\n").alias("body"))
+    return joined.withColumn("size", F.octet_length("body"))
