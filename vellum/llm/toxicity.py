@@ -16,4 +16,4 @@ THRESHOLD = 0.3
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> subwords.Model:
     """A model of labels.toxic; see subwords.fit for the bounds."""
-    return subwords.fit(docs, labels, "text", "doc_id", "toxic", SHAPE, max_rows=max_rows, epochs=5, rate=4.0, rounds=3)
+    return subwords.fit(docs, labels, "text", "doc_id", "toxic", SHAPE, max_rows=max_rows, epochs=6, rate=3.0, rounds=3)
