@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.common import idle_memory
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: A rank file larger than this is refused rather than broadcast.
 MAX_RANK_BYTES = 64 << 20
@@ -43,11 +45,15 @@ def pieces(text: str, size: int = PIECE_CHARS):
 
 
 class Codec:
-    def __init__(self, ranks: bytes, pattern: str):
-        import tiktoken
+    """Built for what it is used for: the table of tokens, and for encoding the library's merges as well."""
 
+    def __init__(self, ranks: bytes, pattern: str | None):
         merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, ranks.splitlines()))}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+        self.tokens = {rank: token for token, rank in merges.items()}
+        if pattern:
+            import tiktoken
+
+            self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
         if len(text) <= PIECE_CHARS:
@@ -58,10 +64,10 @@ class Codec:
         return ids
 
     def decode(self, ids: list[int]) -> bytes:
-        return self.encoding.decode_bytes(ids)
+        return b"".join([self.tokens[i] for i in ids])
 
 
-def _codec(ranks, pattern: str) -> Codec:
+def _codec(ranks, pattern: str | None) -> Codec:
     """One codec for each Python worker and rank file; building it takes a tenth of a second."""
     digest, shared = ranks
     key = (digest, pattern)
@@ -91,8 +97,11 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", ranks_path: str
         codec = _codec(ranks, pattern)
         found = (np.array(codec.encode(t.as_py() or ""), dtype="<u4") for t in texts)
         if packed:
-            return pa.array([a.tobytes() for a in found], pa.binary())
-        return pa.array([a.astype(np.int32) for a in found], pa.list_(pa.int32()))
+            out = pa.array([a.tobytes() for a in found], pa.binary())
+        else:
+            out = pa.array([a.astype(np.int32) for a in found], pa.list_(pa.int32()))
+        idle_memory()
+        return out
 
     return df.withColumn(ids, F.arrow_udf(run, "binary" if packed else "array<int>")(F.col(text)))
 
@@ -107,8 +116,10 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", ranks_path: st
     packed = dict(df.dtypes)[ids] == "binary"
 
     def run(column: pa.Array) -> pa.Array:
-        codec = _codec(ranks, public_tokenizers.PATTERN)
+        codec = _codec(ranks, None)
         read = (lambda v: np.frombuffer(v, dtype="<u4").tolist()) if packed else (lambda v: [i for i in v if i is not None])
-        return pa.array([None if v is None else codec.decode(read(v)) for v in (x.as_py() for x in column)], pa.binary())
+        out = pa.array([None if v is None else codec.decode(read(v)) for v in (x.as_py() for x in column)], pa.binary())
+        idle_memory()
+        return out
 
     return df.withColumn(out, F.arrow_udf(run, "binary")(F.col(ids)))

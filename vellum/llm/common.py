@@ -64,3 +64,15 @@ def written(df: DataFrame) -> DataFrame:
     at = shared_dir(df.sparkSession)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def idle_memory() -> None:
+    """Gives freed memory back: Spark keeps Python workers for a minute after their tasks, beside the next ones."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -15,6 +15,7 @@ driver is one row for each source (MAX_SOURCES at most) and the draws (MAX_DRAWS
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import WORD, free_name, text_of, written
+from vellum.llm.common import WORD, free_name, idle_memory, text_of, written
 
 BLOCK = 128
 SLOTS = 256
@@ -159,10 +160,10 @@ def pieces(rows: DataFrame, sources: list[Source], seed: int = SEED, block: int
     return cut.withColumn("word", begin - F.col("start")).withColumn("n", end - begin).join(counts, ["src", "block"])
 
 
-def measured(df: DataFrame, key: str, text: str, source: str, *more) -> DataFrame:
-    """(doc, source, size, version) of each row, and more columns."""
+def measured(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """(doc, source, size, version) of each row."""
     whole = text_of(text)
-    return df.select(F.col(key).alias("doc"), F.col(source).cast("string").alias("source"), F.regexp_count(whole, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(whole).alias("version"), *more)
+    return df.select(F.col(key).alias("doc"), F.col(source).cast("string").alias("source"), F.regexp_count(whole, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(whole).alias("version"))
 
 
 def taken(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
@@ -188,20 +189,37 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """The documents of the mix, with the columns of df: what is taken of each, as its new text.
 
     The words stay in their order with the white space after them; what is taken twice follows a line end. A
-    document of which nothing is taken goes. Cases as in taken.
+    document of which nothing is taken goes. Rows that agree in key, text and source are told apart by nothing
+    else, so all of them have the other columns of one. Cases as in taken.
     """
-    row, src = free_name(df, "_row"), free_name(df, "_pieces")
-    # numbered once and written, so that both readings agree on the numbers
-    docs = written(df.withColumn(row, F.monotonically_increasing_id()))
-    slim = written(measured(docs, key, text, source, F.col(row).alias("row")))
+    slim = written(measured(df, key, text, source))
     sources = plan(slim)
-    rows = placed(slim, sources, ["doc", "version", "size"])
-    got = pieces(rows, sources, seed).groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_list(F.struct("word", "n", "times"))).alias(src))
-    words = F.regexp_extract_all(F.col(text), F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1))
-
-    def turn(k: int):
-        return F.array_join(F.flatten(F.transform(F.filter(F.col(src), lambda p: p["times"] > k), lambda p: F.slice(words, p["word"].cast("int") + 1, p["n"].cast("int")))), "")
-
-    again = F.exists(F.col(src), lambda p: p["times"] > 1)
-    new = F.when(again, F.concat(turn(0), F.lit("\n"), turn(1))).otherwise(turn(0))
-    return docs.join(got, row).select(*[(new if c == text else F.col(c)).alias(c) for c in df.columns])
+    got = pieces(placed(slim, sources, ["doc", "version", "size"]), sources, seed).groupBy("src", "start", "doc", "version", F.col("source").alias("origin"))
+    got = got.agg(F.sort_array(F.collect_list(F.struct("word", "n", "times"))).alias("taken"))
+    names = {c: free_name(df, f"_{c}") for c in ("doc", "version", "origin", "taken")}
+    got = got.select(*[F.col(c).alias(n) for c, n in names.items()])
+    docs = df
+    if not slim.where("size > 0").groupBy("doc", "version", "source").count().where("count > 1").isEmpty():
+        docs = df.dropDuplicates([key, text, source])
+    # one plan at every size: texts and what is taken of them meet by a sort-merge join
+    met = docs.join(
+        got.hint("merge"),
+        F.col(key).eqNullSafe(F.col(names["doc"])) & (F.xxhash64(text_of(text)) == F.col(names["version"])) & F.col(source).cast("string").eqNullSafe(F.col(names["origin"])),
+    )
+
+    def cut(texts: pa.Array, taken: pa.Array) -> pa.Array:
+        out = pa.array([_cut(t, p) for t, p in zip(texts.to_pylist(), taken.to_pylist())], pa.string())
+        idle_memory()
+        return out
+
+    new = F.arrow_udf(cut, "string")(F.col(text), F.col(names["taken"]))
+    return met.withColumn(text, new).select(*df.columns)
+
+
+_WORDS = re.compile(f"{WORD}[\\x20\\x09-\\x0D]*")
+
+
+def _cut(text: str, taken: list[dict]) -> str:
+    words = _WORDS.findall(text)
+    turns = ("".join("".join(words[p["word"] : p["word"] + p["n"]]) for p in taken if p["times"] > k) for k in range(MOST))
+    return "\n".join(t for t in turns if t)

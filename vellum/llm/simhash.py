@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import free_name, text_of, written
+from vellum.llm.common import free_name, idle_memory, text_of, written
 from vellum.llm.components import components
 
 BITS = 64
@@ -55,7 +55,9 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", shi
     """Adds the fingerprint of each whole text as a signed long; null texts count as empty and have 0."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint_of(t.as_py() or "", shingle) for t in texts], dtype=np.uint64).view(np.int64))
+        out = pa.array(np.array([fingerprint_of(t.as_py() or "", shingle) for t in texts], dtype=np.uint64).view(np.int64))
+        idle_memory()
+        return out
 
     return df.withColumn(out, F.arrow_udf(run, "long")(F.col(text)))
 
@@ -202,7 +204,10 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     kept, times = free_name(df, "_kept"), free_name(df, "_times")
     chosen = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias(kept)).agg(F.count("*").alias(times))
     chosen = written(chosen)
-    rows = df.join(chosen, F.col(key).eqNullSafe(F.col(kept)))
+    # one plan at every size: texts and kept keys meet by a sort-merge join
+    rows = df.join(chosen.hint("merge"), F.col(key).eqNullSafe(F.col(kept)))
+    several = chosen.where((F.col(times) > 1) & F.col(kept).isNotNull())
+    if several.isEmpty():
+        return rows.select(*df.columns)
     single = rows.where((F.col(times) == 1) | F.col(key).isNull()).select(*df.columns)
-    several = rows.where((F.col(times) > 1) & F.col(key).isNotNull()).select(*df.columns)
-    return single.unionByName(several.dropDuplicates([key]))
+    return single.unionByName(df.join(several, F.col(key) == F.col(kept)).select(*df.columns).dropDuplicates([key]))

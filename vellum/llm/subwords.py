@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import free_name
+from vellum.llm.common import free_name, idle_memory
 
 #: Texts are worked through in runs of about so many code points; longer ones are cut at white space.
 CHUNK = 1 << 18
@@ -244,7 +244,9 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.score([t or "" for t in texts.to_pylist()]), pa.float64())
+        out = pa.array(shared.value.score([t or "" for t in texts.to_pylist()]), pa.float64())
+        idle_memory()
+        return out
 
     return df.withColumn(out, F.arrow_udf(run, "double")(F.col(text)))
 
