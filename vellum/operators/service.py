@@ -127,3 +127,10 @@ def reconcile(stored: DataFrame, live: DataFrame) -> DataFrame:
     a, b = stored.select("url", F.col("enabled").alias("want")), live.select("url", F.col("enabled").alias("have"))
     act = F.when(F.col("have").isNull(), "add").when(F.col("want").isNull(), "remove").when(F.col("want") & ~F.col("have"), "enable").when(~F.col("want") & F.col("have"), "disable").otherwise("keep")
     return a.join(b, "url", "full_outer").select("url", act.alias("action"))
+
+
+def health(requests: DataFrame, platform: str, uptime: int) -> DataFrame:
+    """One row on a worker: its limits and what it served. requests: strings, served."""
+    counted = requests.agg(F.count("*").alias("requests"), F.coalesce(F.sum("strings"), F.lit(0)).alias("strings"), F.count_if(~F.col("served")).alias("errors"))
+    fixed = {"status": "ok", "platform": platform, "uptime": uptime, "max_items": REQUEST_ITEMS, "max_chars": REQUEST_CHARS}
+    return counted.select(*[F.lit(v).alias(k) for k, v in fixed.items()], "requests", "strings", "errors")

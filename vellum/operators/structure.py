@@ -109,3 +109,24 @@ def size_estimates(pages: DataFrame, doc: str, estimate: str, total: str) -> Dat
 def upper_median(values: Column) -> Column:
     """The middle value, the upper one of an even number."""
     return F.element_at(F.sort_array(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
+
+
+def runs(events: DataFrame, keys: list[str], order: str, kind: str = "kind", text: str = "text") -> DataFrame:
+    """(keys, run, body): neighbouring text pieces of a paragraph, kept apart by tabs and breaks.
+
+    events: keys (the paragraph), order, kind (text, tab, br or cr), text.
+    """
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = events.withColumn("run", F.sum((F.col(kind) != "text").cast("int")).over(w)).where(F.col(kind) == "text")
+    joined = marked.groupBy(*keys, "run").agg(F.sort_array(F.collect_list(F.struct(order, text))).alias("t"))
+    return joined.select(*keys, "run", F.array_join(F.transform("t", lambda s: s[text]), "").alias("body"))
+
+
+def flat_row(cells: Column) -> Column:
+    """Filled cells of a table row as one line."""
+    return F.array_join(F.filter(F.transform(cells, lambda c: T.collapse(c)), lambda c: c != ""), "  |  ")
+
+
+def rewritten(uses: DataFrame, images: DataFrame, doc: str, source: str = "src") -> DataFrame:
+    """Uses of images with their stored names; a use of an unknown image goes. images: doc, src, name."""
+    return uses.join(images, [doc, source]).withColumn(source, F.concat(F.lit("images/"), F.col("name"))).drop("name")
