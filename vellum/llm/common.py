@@ -52,17 +52,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/vellum-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and read back from the shared folder, so that lost executors lose nothing."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    return df.checkpoint()
+def until_exit(spark: SparkSession, at: str) -> None:
+    """Has the folder deleted when the driver ends; results may be read from it until then."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Like cut, as a Parquet table: columns are compressed and can be pruned when read back."""
+    """The same rows, computed once and read back as a table in the shared folder, so that lost executors lose nothing."""
     at = shared_dir(df.sparkSession)
     df.write.parquet(at)
+    until_exit(df.sparkSession, at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

@@ -27,15 +27,18 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import shared_dir, text_of
+from vellum.llm.common import idle_memory, shared_dir, text_of, until_exit
 
 #: Characters of text for each shard, on average.
 SHARD_CHARS = 1 << 25
 #: Tokens counted before a map task sends its counts on, and tokens scored at a time.
-RUN_TOKENS, SCORE_TOKENS = 1 << 22, 1 << 19
+RUN_TOKENS, SCORE_TOKENS = 1 << 21, 1 << 19
+#: Bytes of text that are hashed at a time.
+WINDOW = 1 << 18
 _A, _B, _C = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
+_known: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 #: What stands before the first token, and the token after the last word.
 BEGIN, END = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xA24BAED4963EE407)
 WORDS = np.dtype([("hash", "<u8"), ("count", "<i8"), ("before", "<i8"), ("total", "<i8"), ("once", "<i4"), ("twice", "<i4"), ("more", "<i4")])
@@ -48,6 +51,14 @@ def _mix(h):
     return h ^ (h >> np.uint64(31))
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_known[0]) < n:
+        up, down = np.full(max(n, WINDOW), _STEP), np.full(max(n, WINDOW), _BACK)
+        up[0] = down[0] = 1
+        _known[:] = np.cumprod(up), np.cumprod(down)
+    return _known[0][:n], _known[1][:n]
+
+
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, the token before each, where each text begins): hashes of the words, then END, text after text."""
     parts = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
@@ -55,10 +66,15 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = (data == 32) | ((data >= 9) & (data <= 13))
     first = np.flatnonzero(~space[1:] & space[:-1]) + 1
     last = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-    up, down = np.full(len(data), _STEP), np.full(len(data), _BACK)
-    up[0] = down[0] = 1
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _A * np.cumprod(up))])
-    words = _mix((sums[last] - sums[first]) * np.cumprod(down)[first] + (last - first).astype(np.uint64))
+    words = np.empty(len(first), dtype=np.uint64)
+    at = 0
+    while at < len(first):  # words of about WINDOW bytes at a time, one at least
+        to = max(at + 1, int(np.searchsorted(last, first[at] + WINDOW, "right")))
+        a, b = first[at:to] - first[at], last[at:to] - first[at]
+        up, down = _powers(int(b[-1]))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((data[first[at] : last[to - 1]].astype(np.uint64) + np.uint64(1)) * _A * up)])
+        words[at:to] = _mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        at = to
     begins = np.cumsum([1] + [len(p) + 1 for p in parts])
     before = np.searchsorted(first, begins)  # words before each text, and all of them
     out = np.empty(len(words) + len(parts), dtype=np.uint64)
@@ -140,6 +156,8 @@ def _count_words(shards: int):
             at = _word_shard(words, shards)
             order = np.argsort(at, kind="stable")
             yield _rows("words", at[order], [words[order], n[order].astype("<i8")])
+            del found, words, n, at, order
+            idle_memory()
 
     return run
 
@@ -173,6 +191,8 @@ def _count_pairs(shards: int, hot: np.ndarray):
                 sizes = np.diff(np.append(heads, j - i))
                 data = _pack(before[i:j][heads], sizes.astype("<u4"), word[i:j], n[i:j].astype("<u4"))
                 yield pa.RecordBatch.from_arrays([pa.array(["pairs"]), pa.array([s], pa.int32()), pa.array([data], pa.binary())], names=["kind", "shard", "data"])
+            del word, before, keys, n, shard, order, data
+            idle_memory()
 
     return run
 
@@ -215,6 +235,8 @@ def _merge_pairs(at: str, shards: int):
         order = np.argsort(where, kind="stable")
         yield _rows("after", where[order], [a[order] for a in (firsts, total, once, twice, more)])
         tally = np.array([(n == k).sum() for k in (1, 2, 3, 4)], dtype="<i8")
+        del before, word, n, keys, first, firsts
+        idle_memory()
         yield pa.RecordBatch.from_arrays([pa.array(["tally"]), pa.array([0], pa.int32()), pa.array([tally.tobytes()], pa.binary())], names=["kind", "shard", "data"])
 
     return run
@@ -373,6 +395,7 @@ def fit(train: DataFrame, text: str = "text", shards: int | None = None) -> Mode
     at = shared_dir(spark)
     counted = texts.mapInArrow(_count_words(shards), PACKED).repartitionById(shards, F.col("shard"))
     counted.mapInArrow(_merge_words, "data binary, distinct long, total long, top array<long>, times array<long>").write.parquet(f"{at}/counted")
+    until_exit(spark, at)
     words = spark.read.parquet(f"{at}/counted")
     total, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     # a word of a tenth of a shard or more: at most 10 times as many as there are shards
@@ -409,6 +432,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "lm") -> D
 
     def run(texts: pa.Array) -> pa.Array:
         n, known, base, full = shared.value.score([t or "" for t in texts.to_pylist()])
+        idle_memory()
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64())], names=["n_tokens", "n_known", "base_score", "score"])
 
     return df.withColumn(out, F.arrow_udf(run, SCORES)(F.col(text)))
