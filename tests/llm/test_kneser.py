@@ -32,11 +32,11 @@ class Plain:
             self.after[a].append(n)
         self.d2 = (0.0, *kneser.discounts(*(sum(n == k for n in self.bi.values()) for k in (1, 2, 3, 4))))
         self.d1 = (0.0, *kneser.discounts(*(sum(n == k for n in self.before.values()) for k in (1, 2, 3, 4))))
+        self.rest = sum(self.d1[min(n, 3)] for n in self.before.values()) / len(self.bi) if self.bi else 1.0
 
     def low(self, w):
-        rest = sum(self.d1[min(n, 3)] for n in self.before.values()) / len(self.bi) if self.bi else 1.0
         n = self.before[w]
-        return (n - self.d1[min(n, 3)]) / max(1, len(self.bi)) + rest / (self.v + 1)
+        return (n - self.d1[min(n, 3)]) / max(1, len(self.bi)) + self.rest / (self.v + 1)
 
     def p(self, a, b):
         after = self.after.get(a)
