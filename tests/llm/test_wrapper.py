@@ -83,6 +83,11 @@ def test_simple_tree_matching():
     assert sorted(s.sign.strip() for s in pairs.values()) == ["div", "li", "p", "root", "ul"]
 
 
+def test_two_deep_pages_of_one_host():
+    pages = ["<div>" * 3000 + f"deep {i}" + "</div>" * 3000 for i in range(2)]
+    assert wrapper.extract_group(pages) == ["deep 0", "deep 1"]
+
+
 def test_edge_cases(spark):
     rows = [(1, "http://a.b/x", None, 5), (2, None, "<p>t</p>", 5), (3, "nonsense", "", 5), (4, "http://a.b/y", "<article>" + "<p>long text</p>" * 20_000, 5), (4, "http://a.b/y", "<p>other", 5)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, _host int")

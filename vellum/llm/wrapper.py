@@ -238,43 +238,52 @@ def match(a: Slot, b: Slot) -> dict[int, Slot]:
     tables: dict[tuple[int, int], list] = {}
 
     def weight(x: Slot, y: Slot) -> int:
-        if x.sign != y.sign:
-            return 0
-        key = (id(x), id(y))
-        if key not in weights:
-            m, n = len(x.kids), len(y.kids)
-            if not m or not n:
-                weights[key] = 1
-            elif m * n > MAX_TABLE:
-                pairs, j = [], 0
-                for kid in y.kids:
-                    i = next((i for i in range(j, min(m, j + 50)) if x.kids[i].sign == kid.sign), None)
-                    if i is not None:
-                        pairs.append((x.kids[i], kid))
-                        j = i + 1
-                tables[key] = pairs
-                weights[key] = 1 + sum(weight(p, q) for p, q in pairs)
-            else:
-                rows = [[0] * (n + 1)]
-                for i in range(m):
-                    last, row = rows[-1], [0]
-                    for j in range(n):
-                        w = weight(x.kids[i], y.kids[j])
-                        row.append(max(last[j + 1], row[j], last[j] + w))
-                    rows.append(row)
-                pairs, i, j = [], m, n
-                while i and j:
-                    w = weight(x.kids[i - 1], y.kids[j - 1])
-                    if w and rows[i][j] == rows[i - 1][j - 1] + w:
-                        pairs.append((x.kids[i - 1], y.kids[j - 1]))
-                        i, j = i - 1, j - 1
-                    elif rows[i][j] == rows[i - 1][j]:
-                        i -= 1
-                    else:
-                        j -= 1
-                tables[key] = pairs
-                weights[key] = 1 + rows[m][n]
-        return weights[key]
+        return weights[id(x), id(y)] if x.sign == y.sign else 0
+
+    def weigh(x: Slot, y: Slot):
+        """Sets the weight of two slots of one sign; first yields the pairs of kids whose weights it needs."""
+        m, n = len(x.kids), len(y.kids)
+        pairs: list = []
+        if not m or not n:
+            weights[id(x), id(y)] = 1
+        elif m * n > MAX_TABLE:
+            j = 0
+            for kid in y.kids:
+                i = next((i for i in range(j, min(m, j + 50)) if x.kids[i].sign == kid.sign), None)
+                if i is not None:
+                    pairs.append((x.kids[i], kid))
+                    j = i + 1
+            yield from pairs
+            weights[id(x), id(y)] = 1 + sum(weight(p, q) for p, q in pairs)
+        else:
+            yield from ((p, q) for p in x.kids for q in y.kids if p.sign == q.sign)
+            rows = [[0] * (n + 1)]
+            for p in x.kids:
+                last, row = rows[-1], [0]
+                for j, q in enumerate(y.kids):
+                    row.append(max(last[j + 1], row[j], last[j] + weight(p, q)))
+                rows.append(row)
+            i, j = m, n
+            while i and j:
+                w = weight(x.kids[i - 1], y.kids[j - 1])
+                if w and rows[i][j] == rows[i - 1][j - 1] + w:
+                    pairs.append((x.kids[i - 1], y.kids[j - 1]))
+                    i, j = i - 1, j - 1
+                elif rows[i][j] == rows[i - 1][j]:
+                    i -= 1
+                else:
+                    j -= 1
+            weights[id(x), id(y)] = 1 + rows[m][n]
+        tables[id(x), id(y)] = pairs
+
+    # no recursion, as trees may be deep
+    open_pairs = [weigh(a, b)] if a.sign == b.sign else []
+    while open_pairs:
+        pair = next(open_pairs[-1], None)
+        if pair is None:
+            open_pairs.pop()
+        elif (id(pair[0]), id(pair[1])) not in weights:
+            open_pairs.append(weigh(*pair))
 
     out: dict[int, Slot] = {}
     todo = [(a, b)] if weight(a, b) else []
