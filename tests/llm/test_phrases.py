@@ -39,6 +39,16 @@ def test_phrases_are_short_and_cover_the_row():
     assert len(names("a" * 5000, 1)) == 1
 
 
+def test_near_copies_of_any_length_are_alike():
+    """Likeness does not fall where a text grows past some length."""
+    rng = random.Random(7)
+    for _ in range(20):
+        text = "".join(rng.choice("abcdefgh  ") for _ in range(300))
+        for size in range(100, 300, 13):
+            assert phrases.alike(*phrases.sketches([text[:size], text[: size + 2]])) > 0.5
+        assert phrases.alike(*phrases.sketches([text[:255], text[:257]])) > 0.7
+
+
 def plain_likeness(a, b):
     """Jaccard similarity of the SKETCH smallest of the union."""
     if a == b:

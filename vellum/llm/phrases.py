@@ -11,8 +11,8 @@ minimum. Two neighbours are never both minima and minima are a bounded distance
 at least and a bounded number at most.
 
 The fingerprint of a text is a bottom-k sketch (SKETCH smallest hashes) of the set of its names from the levels
-whose phrases are long enough to be telling, a name's repeats counted apart; texts of less than SHORT characters have the names of level 1 too. Likeness is the
-Jaccard similarity that two sketches estimate. A whole corpus is a map over rows; what needs the next document is
+whose phrases are long enough to be telling, a name's repeats counted apart; the levels are the same for texts of
+any length. Likeness is the Jaccard similarity that two sketches estimate. A whole corpus is a map over rows; what needs the next document is
 laid out by ranges of the key, a single shuffle.
 """
 
@@ -32,7 +32,6 @@ from vellum.llm.common import text_of
 SKETCH = 64
 #: Levels of phrases; names of level FIRST and above count. Level 2 phrases have about nine characters.
 FIRST, LEVELS = 2, 5
-SHORT = 256
 #: Rows of a range, at most on average, and sampled keys for each range.
 RANGE_ROWS, SAMPLED = 100_000, 64
 #: Characters that are parsed at a time.
@@ -96,11 +95,10 @@ def _sketches(texts: list[str]) -> list[np.ndarray]:
     row = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     row = _mix(row + _A)
     sizes = np.array([len(t) for t in texts])
-    short = sizes < SHORT
     owner, found = np.arange(len(texts)), []
     for level in range(LEVELS + 1):
         # a row of one name goes no further, so it counts whatever its level
-        counts = np.full(len(owner), level >= FIRST) | (sizes == 1) | (short[owner] & (level == 1))
+        counts = np.full(len(owner), level >= FIRST) | (sizes == 1)
         if counts.any():
             value, held = (row, np.repeat(owner, sizes)) if counts.all() else (row[np.repeat(counts, sizes)], np.repeat(owner[counts], sizes[counts]))
             found.append(held.astype(np.uint64) << np.uint64(32) | _mix(value ^ _C) >> np.uint64(32))
