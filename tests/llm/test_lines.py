@@ -67,6 +67,42 @@ def test_empty_table_and_long_text(spark):
     assert rows[9].n == 0 and rows[1].text == rows[2].text == ""
 
 
-@pytest.mark.parametrize("line,words", [("a\tb  c\r", ["a", "b", "c"]), ("", []), ("\x0b\x0c", []), ("a b c", ["a b", "c"])])
+def texts_of(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lines.drop_recurring_lines(df, dropped="n_dropped").collect()
+    assert sorted(((r.doc_id, r.n_dropped, r.text) for r in got), key=str) == by_sql(df.toPandas())
+    return {r.doc_id: r.text for r in got}
+
+
+def test_documents_count_and_not_lines(spark):
+    own = "\n".join(f"error in module main at {w} stage of the run" for w in ("alpha", "beta", "gamma"))
+    other = "error in module main was seen by nobody else today"
+    assert texts_of(spark, [(1, own), (2, other)]) == {1: own, 2: other}
+    # a line that repeats in one document only
+    assert texts_of(spark, [(1, "one line of its own\n" * 5), (2, "quite another line")])[1] == "one line of its own\n" * 5
+    # two documents with the template, one of them three times
+    rows = [(1, own), (2, "error in module main at delta stage of the run"), (3, "error in module main was not seen in that week")]
+    assert texts_of(spark, rows) == dict(rows)
+    got = texts_of(spark, [(1, own), (2, own), (3, "error in module main at delta stage of the run")])
+    assert got == {1: own.split("\n")[0], 2: "", 3: ""}
+
+
+@pytest.mark.parametrize("line", ["Page {} of 10", "Copyright {} Example Media", "Posted on 2024-01-{} at 10:30"])
+def test_lines_of_many_numbers(spark, line):
+    assert texts_of(spark, [(i, line.format(10 + i) + f"\nword{'abcd'[i]} of its own") for i in range(4)])[3] == "wordd of its own"
+
+
+def test_rows_of_numbers_stay(spark):
+    rows = [(i, "12 14 15 16\nsum 4 5 6 7") for i in range(4)]
+    assert texts_of(spark, rows) == dict(rows)
+
+
+def test_passages_need_two_documents(spark):
+    long = " ".join(f"word{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(60))
+    short = " ".join(long.split()[:49])
+    assert texts_of(spark, [(1, f"a b {long}\nend"), (2, f"a b {long}\nown"), (3, short), (4, short)]) == {1: f"a b {long}\nend", 2: "own", 3: short, 4: short}
+
+
+@pytest.mark.parametrize("line,words", [("a\tb  c\r", "a b c"), ("", ""), ("\x0b\x0c", ""), ("a\u00a0b c", "a\u00a0b c"), ("a1 b  2 c-3,x", "<*> b <*> <*>"), ("v" * 500_000 + " 7", "v" * 500_000 + " <*>")])
 def test_tokens(spark, line, words):
-    assert spark.createDataFrame([(line,)], "line string").select(lines.tokens(lines.F.col("line"))).first()[0] == words
+    assert spark.createDataFrame([(line,)], "line string").select(lines.F.trim(lines.tokenised(lines.F.col("line")))).first()[0] == words

@@ -1,14 +1,20 @@
 """Line dedup with a tree of line templates, in DataFrame functions only.
 
 As in a log-template tree of fixed depth, a line goes down by its number of tokens and then by its first DEPTH
-tokens, tokens with a digit counting as the variable <*>. In the leaf it reaches, a token is constant at its
-place if lines of at least min_docs documents have it there, else it is variable too. What is left is the line's
-template. A template with a share of at least SIMILARITY constant tokens that lines of at least min_docs
-documents have is recurring: its first line stays (smallest document id, then position), all others are dropped.
+tokens, tokens with a digit counting as the variable <*>. In the leaf it reaches, any other token is constant at its
+place if enough documents have lines with it there, else it is generalised to <*> too. What is left is the line's
+template. It is one if at most 1 - SIMILARITY of its places are generalised and at least WORDS of them hold constant
+words. A template that lines of enough documents have is recurring: its first line stays (smallest document id, then
+position), all others are dropped.
+
+Enough are min_docs documents, or PASSAGE_DOCS for lines of PASSAGE tokens and more: a short line may stand in two
+documents by chance or because they are copies, which document-level dedup handles; a long passage may not.
+A document counts once, however many of its lines have the word or the template. Lines without constant words, such as
+rows of numbers, are content and stay.
 
 Only leaves that two documents reach can hold such a template, so the first pass counts leaves by their hashes,
-and the lines of other leaves go no further. Equal lines are counted together before anything is joined, so a
-line that a third of all documents have is one row of the tree.
+and the lines of other leaves go no further. Documents with the same lines in a leaf are counted together before
+anything is joined, so what a third of all documents have is one row of the tree.
 """
 
 from __future__ import annotations
@@ -19,58 +25,72 @@ from pyspark.sql import functions as F
 from vellum.llm.common import free_name, text_of, written
 
 DEPTH = 4
-SIMILARITY = 0.8
-#: Documents that must share a template; a pair of copies is left to document-level dedup.
+SIMILARITY, WORDS = 0.8, 0.5
+#: Documents that must share a template.
 MIN_DOCS = 3
+#: Lines of so many tokens need so many documents at most.
+PASSAGE, PASSAGE_DOCS = 50, 2
 #: Shorter lines have no template.
 MIN_TOKENS = 3
 VARIABLE = "<*>"
+#: A token with a digit, from its first character on.
+_NUMBERED = r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+"
 
 
-def tokens(line: Column) -> Column:
-    """Words between white space (U+0020, U+0009 to U+000D)."""
-    return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
-
+def tokenised(text: Column) -> Column:
+    """The text with its tokens set apart by single spaces inside each line, those with a digit as the variable.
 
-def masked(words: Column) -> Column:
-    return F.transform(words, lambda w: F.when(w.rlike("[0-9]"), VARIABLE).otherwise(w))
+    White space is U+0020 and U+0009 to U+000D; a line may keep a space at its ends.
+    """
+    spaced = F.translate(text, "\t\x0b\x0c\r", "    ")
+    spaced = F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " {2,}+", " ")).otherwise(spaced)
+    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, _NUMBERED, VARIABLE)).otherwise(spaced)
 
 
 def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, version, pos, words, leaf) of each line that is long enough; version tells texts of one id apart."""
+    """(doc, version, pos, line, n, leaf) of each line that is long enough; version tells texts of one id apart."""
     whole = text_of(text)
-    lines = df.select(F.col(key).alias("doc"), F.xxhash64(whole).alias("version"), F.posexplode(F.split(whole, "\n")).alias("pos", "line"))
-    lines = lines.select("doc", "version", "pos", tokens(F.col("line")).alias("words")).where(F.size("words") >= MIN_TOKENS)
-    return lines.withColumn("leaf", F.xxhash64(F.size("words"), masked(F.slice("words", 1, DEPTH))))
+    docs = df.select(F.col(key).alias("doc"), F.xxhash64(whole).alias("version"), F.split(tokenised(whole), "\n").alias("lines"))
+    lines = docs.select("doc", "version", F.posexplode("lines").alias("pos", "line")).withColumn("line", F.trim("line"))
+    lines = lines.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= MIN_TOKENS)
+    return lines.withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", DEPTH)))
+
+
+def _least(min_docs: int) -> Column:
+    return F.when(F.col("n") >= PASSAGE, F.lit(min(min_docs, PASSAGE_DOCS))).otherwise(F.lit(min_docs))
 
 
 def dropped_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc, version, pos) of each line to drop."""
-    lines = _lines(df, key, text)
-    reached = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min(F.xxhash64("doc", "version")).alias("low"), F.max(F.xxhash64("doc", "version")).alias("high"))
-    leaves = written(reached.where((F.col("n") >= min_docs) & (F.col("low") != F.col("high"))).select("leaf"))
-    found = written(lines.join(leaves, "leaf").select("doc", "version", "pos", "leaf", masked(F.col("words")).alias("words")).withColumn("line", F.xxhash64("leaf", "words")))
-
-    # One row for each distinct line: its words, the documents that have it, and its first place.
-    in_doc = found.groupBy("line", "doc", "version").agg(F.min("pos").alias("pos"))
-    spread = in_doc.groupBy("line").agg(F.count("*").alias("docs"), F.min(F.struct(F.col("doc").isNotNull().alias("known"), "doc", "pos")).alias("first"))
-    words = found.groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("words").alias("words"))
-    distinct = written(spread.join(words, "line"))
-
-    placed = distinct.select("line", "leaf", "docs", F.posexplode("words").alias("at", "word"))
-    support = placed.where(F.col("word") != VARIABLE).groupBy("leaf", "at", "word").agg(F.sum("docs").alias("support"))
-    constant = written(support.where(F.col("support") >= min_docs).drop("support").withColumn("constant", F.lit(True)))
-    judged = placed.join(constant, ["leaf", "at", "word"], "left").select("line", "at", F.when(F.col("constant"), F.col("word")).alias("word"))
-    shapes = judged.groupBy("line").agg(
-        (F.count("word") / F.count("*")).alias("share"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("word", F.lit(VARIABLE)).alias("word")))), lambda x: x["word"]), " ").alias("template"),
+    lines, least = _lines(df, key, text), _least(min_docs)
+    who = lines.select("leaf", "n", F.xxhash64("doc", "version").alias("who"))
+    reached = who.groupBy("leaf", "n").agg(F.count("*").alias("lines"), F.min("who").alias("low"), F.max("who").alias("high"))
+    leaves = written(reached.where((F.col("lines") >= least) & (F.col("low") != F.col("high"))).select("leaf"))
+    found = written(lines.join(leaves, "leaf").withColumn("id", F.xxhash64("line")))
+
+    # How many documents have which set of lines in a leaf; a set is at most what one document has.
+    sets = found.groupBy("leaf", "n", "doc", "version").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    sets = sets.groupBy("leaf", "n", "ids").agg(F.count("*").alias("docs"))
+    sets = written(sets.select("leaf", "n", F.xxhash64("ids").alias("set"), "docs", F.explode("ids").alias("id")))
+    distinct = written(found.select("leaf", "n", "id", "line").distinct())
+
+    words = distinct.select("leaf", "n", "id", F.posexplode(F.split("line", " ")).alias("at", "word"))
+    seen = words.where(F.col("word") != VARIABLE).join(sets.drop("n"), ["leaf", "id"]).groupBy("leaf", "n", "at", "word", "set").agg(F.max("docs").alias("docs"))
+    constant = seen.groupBy("leaf", "n", "at", "word").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
+    constant = constant.select("leaf", "at", "word", F.lit(True).alias("constant"))
+    judged = words.join(constant, ["leaf", "at", "word"], "left").withColumn("shown", F.when(F.col("constant"), F.col("word")).otherwise(VARIABLE))
+    shapes = judged.groupBy("leaf", "n", "id").agg(
+        F.count("constant").alias("words"), F.count_if(F.col("word") == VARIABLE).alias("masked"), F.bit_xor(F.xxhash64("at", "shown")).alias("template")
     )
-    shapes = shapes.where(F.col("share") >= SIMILARITY).join(distinct.select("line", "docs", "first"), "line")
-    shapes = written(shapes)
-    recurring = shapes.groupBy("template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs)
-    drop = shapes.select("line", "template").join(recurring.select("template", "first"), "template").select("line", "first.doc", "first.pos")
-    drop = written(drop.select("line", F.col("doc").alias("first_doc"), F.col("pos").alias("first_pos")))
-    lost = found.select("doc", "version", "pos", "line").join(drop, "line")
+    shapes = shapes.where(((F.col("words") + F.col("masked")) / F.col("n") >= SIMILARITY) & (F.col("words") / F.col("n") >= WORDS))
+    shapes = written(shapes.select("leaf", "id", "template"))
+    met = sets.join(shapes, ["leaf", "id"]).groupBy("leaf", "n", "template", "set").agg(F.max("docs").alias("docs"))
+    recurring = met.groupBy("leaf", "n", "template").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
+    recurring = written(shapes.join(recurring.select("leaf", "template"), ["leaf", "template"]))
+
+    lost = found.select("leaf", "id", "doc", "version", "pos").join(recurring, ["leaf", "id"]).drop("id")
+    first = lost.groupBy("leaf", "template").agg(F.min(F.struct(F.col("doc").isNotNull().alias("known"), "doc", "pos")).alias("first"))
+    lost = lost.join(first.select("leaf", "template", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos")), ["leaf", "template"])
     return lost.where(~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos")))).select("doc", "version", "pos")
 
 
@@ -80,7 +100,7 @@ def drop_recurring_lines(df: DataFrame, key: str = "doc_id", text: str = "text",
     dropped: a column for the number of lines dropped, if wanted. Lines end at \\n. Rows of one key and text are
     one document, with the same result; of a key with several texts each is a document of its own. A null key is
     a key like any other, before all others. A null text stays null, an empty one empty; a text that loses all
-    its lines becomes empty. Tables without rows stay empty.
+    its lines becomes empty. Lines of one template inside a single document all stay. Tables without rows stay empty.
     """
     doc, version, gone = free_name(df, "_doc"), free_name(df, "_version"), free_name(df, "_gone")
     lost = dropped_lines(df, key, text, min_docs).groupBy("doc", "version").agg(F.sort_array(F.collect_set("pos")).alias(gone))
@@ -101,31 +121,36 @@ def drop_recurring_lines(df: DataFrame, key: str = "doc_id", text: str = "text",
 #: The same for DuckDB: one row for each document, with the lines it lost and the text that is left.
 SQL = rf"""
 WITH whole AS (
-  SELECT DISTINCT doc_id AS doc, coalesce(text, '') AS body FROM documents
+  SELECT doc, body, row_number() OVER () AS d FROM (SELECT DISTINCT doc_id AS doc, coalesce(text, '') AS body FROM documents)
 ), cuts AS (
-  SELECT doc, body, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS pos FROM whole
+  SELECT d, doc, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS pos FROM whole
 ), lines AS (
-  SELECT doc, body, pos, list_transform(list_filter(string_split(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{VARIABLE}' ELSE x END) AS words FROM cuts
+  SELECT d, doc, pos, list_transform(list_filter(string_split(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{VARIABLE}' ELSE x END) AS words FROM cuts
 ), long AS (
-  SELECT doc, body, pos, words, len(words) AS n, words[1:{DEPTH}] AS lead FROM lines WHERE len(words) >= {MIN_TOKENS}
+  SELECT d, doc, pos, words, len(words) AS n, words[1:{DEPTH}] AS lead, CASE WHEN len(words) >= {PASSAGE} THEN {min(MIN_DOCS, PASSAGE_DOCS)} ELSE {MIN_DOCS} END AS least
+  FROM lines WHERE len(words) >= {MIN_TOKENS}
 ), spread AS (
-  SELECT words, n, lead, count(*) AS docs, min(struct_pack(known := doc IS NOT NULL, doc := doc, pos := pos)) AS first
-  FROM (SELECT words, n, lead, doc, body, min(pos) AS pos FROM long GROUP BY ALL) GROUP BY ALL
+  SELECT DISTINCT words, n, lead, least, d FROM long
 ), placed AS (
-  SELECT words, n, lead, docs, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM spread
-), judged AS (
-  SELECT words, n, lead, place, word, CASE WHEN word <> '{VARIABLE}' AND sum(docs) OVER (PARTITION BY n, lead, place, word) >= {MIN_DOCS} THEN word END AS fixed FROM placed
+  SELECT d, n, lead, least, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM spread
+), constant AS (
+  SELECT n, lead, place, word FROM placed WHERE word <> '{VARIABLE}' GROUP BY n, lead, least, place, word HAVING count(DISTINCT d) >= least
+), parted AS (
+  SELECT words, n, lead, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM (SELECT DISTINCT words, n, lead FROM long)
 ), shapes AS (
-  SELECT words, list_aggregate(list(coalesce(fixed, '{VARIABLE}') ORDER BY place), 'string_agg', ' ') AS template FROM judged GROUP BY words HAVING count(fixed) / count(*) >= {SIMILARITY}
+  SELECT p.words, list_aggregate(list(coalesce(c.word, '{VARIABLE}') ORDER BY p.place), 'string_agg', ' ') AS template
+  FROM parted p LEFT JOIN constant c ON p.n = c.n AND p.lead = c.lead AND p.place = c.place AND p.word = c.word
+  GROUP BY p.words, p.n HAVING (count(c.word) + count_if(p.word = '{VARIABLE}')) / p.n >= {SIMILARITY} AND count(c.word) / p.n >= {WORDS}
+), told AS (
+  SELECT l.d, l.doc, l.pos, l.least, s.template FROM long l JOIN shapes s ON l.words = s.words
 ), drops AS (
-  SELECT words, min(first) OVER (PARTITION BY template) AS first, sum(docs) OVER (PARTITION BY template) AS docs FROM shapes JOIN spread USING (words)
+  SELECT template, min(struct_pack(known := doc IS NOT NULL, doc := doc, pos := pos)) AS first FROM told GROUP BY template, least HAVING count(DISTINCT d) >= least
 ), lost AS (
-  SELECT l.doc, l.body, l.pos FROM long l JOIN drops d ON l.words = d.words AND d.docs >= {MIN_DOCS}
-  WHERE NOT (l.doc IS NOT DISTINCT FROM d.first.doc AND l.pos = d.first.pos)
+  SELECT t.d, t.pos FROM told t JOIN drops USING (template) WHERE NOT (t.doc IS NOT DISTINCT FROM drops.first.doc AND t.pos = drops.first.pos)
 ), kept AS (
-  SELECT c.doc, c.body, count(l.pos) AS n_dropped, string_agg(c.line, chr(10) ORDER BY c.pos) FILTER (l.pos IS NULL) AS text
-  FROM cuts c LEFT JOIN lost l ON c.doc IS NOT DISTINCT FROM l.doc AND c.body = l.body AND c.pos = l.pos GROUP BY c.doc, c.body
+  SELECT c.d, count(l.pos) AS n_dropped, string_agg(c.line, chr(10) ORDER BY c.pos) FILTER (l.pos IS NULL) AS text
+  FROM cuts c LEFT JOIN lost l ON c.d = l.d AND c.pos = l.pos GROUP BY c.d
 )
-SELECT d.doc_id, CAST(k.n_dropped AS INTEGER) AS n_dropped, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
-FROM documents d JOIN kept k ON d.doc_id IS NOT DISTINCT FROM k.doc AND coalesce(d.text, '') = k.body
+SELECT x.doc_id, CAST(k.n_dropped AS INTEGER) AS n_dropped, CASE WHEN x.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM documents x JOIN whole w ON x.doc_id IS NOT DISTINCT FROM w.doc AND coalesce(x.text, '') = w.body JOIN kept k ON w.d = k.d
 """
