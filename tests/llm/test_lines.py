@@ -105,4 +105,5 @@ def test_passages_need_two_documents(spark):
 
 @pytest.mark.parametrize("line,words", [("a\tb  c\r", "a b c"), ("", ""), ("\x0b\x0c", ""), ("a\u00a0b c", "a\u00a0b c"), ("a1 b  2 c-3,x", "<*> b <*> <*>"), ("v" * 500_000 + " 7", "v" * 500_000 + " <*>")])
 def test_tokens(spark, line, words):
-    assert spark.createDataFrame([(line,)], "line string").select(lines.F.trim(lines.tokenised(lines.F.col("line")))).first()[0] == words
+    df = lines.spaced(spark.createDataFrame([(line,)], "line string"), "line")
+    assert df.select(lines.F.trim(lines.masked("line"))).first()[0] == words

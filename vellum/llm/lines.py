@@ -34,63 +34,82 @@ PASSAGE, PASSAGE_DOCS = 50, 2
 MIN_TOKENS = 3
 VARIABLE = "<*>"
 #: A token with a digit, from its first character on.
-_NUMBERED = r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+"
+_NUMBERED = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
 
-def tokenised(text: Column) -> Column:
-    """The text with its tokens set apart by single spaces inside each line, those with a digit as the variable.
+def spaced(df: DataFrame, text: str) -> DataFrame:
+    """df with white space inside the lines of its texts as single spaces; a line may keep one at its ends.
 
-    White space is U+0020 and U+0009 to U+000D; a line may keep a space at its ends.
+    White space is U+0020 and U+0009 to U+000D. Column by column, so that no step is worked out twice.
     """
-    spaced = F.translate(text, "\t\x0b\x0c\r", "    ")
-    spaced = F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " {2,}+", " ")).otherwise(spaced)
-    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, _NUMBERED, VARIABLE)).otherwise(spaced)
+    other = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c"))
+    df = df.withColumn(text, F.when(other, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(F.col(text)))
+    return df.withColumn(text, F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " {2,}+", " ")).otherwise(F.col(text)))
+
+
+def masked(line: str) -> Column:
+    """The line with its tokens that have a digit as the variable."""
+    return F.when(F.rlike(line, F.lit("[0-9]")), F.regexp_replace(line, _NUMBERED, VARIABLE)).otherwise(F.col(line))
 
 
 def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, version, pos, line, n, leaf) of each line that is long enough; version tells texts of one id apart."""
-    whole = text_of(text)
-    docs = df.select(F.col(key).alias("doc"), F.xxhash64(whole).alias("version"), F.split(tokenised(whole), "\n").alias("lines"))
-    lines = docs.select("doc", "version", F.posexplode("lines").alias("pos", "line")).withColumn("line", F.trim("line"))
-    lines = lines.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= MIN_TOKENS)
-    return lines.withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", DEPTH)))
+    docs = df.select(F.col(key).alias("doc"), text_of(text).alias("text"))
+    docs = spaced(docs.withColumn("version", F.xxhash64("text")), "text").select("doc", "version", F.split("text", "\n").alias("lines"))
+    # split gives a line at least; the outer form spares a filter that would split all texts once more to see that
+    lines = docs.select("doc", "version", F.posexplode_outer("lines").alias("pos", "line")).withColumn("line", F.trim("line"))
+    lines = lines.where(F.octet_length(F.substring_index("line", " ", MIN_TOKENS - 1)) < F.octet_length("line"))
+    lines = lines.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).withColumn("lead", F.substring_index("line", " ", DEPTH))
+    return lines.withColumn("leaf", F.xxhash64("n", masked("lead"))).drop("lead")
 
 
 def _least(min_docs: int) -> Column:
     return F.when(F.col("n") >= PASSAGE, F.lit(min(min_docs, PASSAGE_DOCS))).otherwise(F.lit(min_docs))
 
 
-def dropped_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc, version, pos) of each line to drop."""
-    lines, least = _lines(df, key, text), _least(min_docs)
-    who = lines.select("leaf", "n", F.xxhash64("doc", "version").alias("who"))
-    reached = who.groupBy("leaf", "n").agg(F.count("*").alias("lines"), F.min("who").alias("low"), F.max("who").alias("high"))
-    leaves = written(reached.where((F.col("lines") >= least) & (F.col("low") != F.col("high"))).select("leaf"))
-    found = written(lines.join(leaves, "leaf").withColumn("id", F.xxhash64("line")))
-
+def _judged(found: DataFrame, least: Column) -> DataFrame:
+    """(leaf, id, template) of the lines with a recurring template in leaves that different lines reach."""
     # How many documents have which set of lines in a leaf; a set is at most what one document has.
-    sets = found.groupBy("leaf", "n", "doc", "version").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    sets = sets.groupBy("leaf", "n", "ids").agg(F.count("*").alias("docs"))
-    sets = written(sets.select("leaf", "n", F.xxhash64("ids").alias("set"), "docs", F.explode("ids").alias("id")))
-    distinct = written(found.select("leaf", "n", "id", "line").distinct())
-
+    sets = found.groupBy("leaf", "n", "doc", "version").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    sets = written(sets.groupBy("leaf", "n", "lines").agg(F.count("*").alias("docs")))
+    # A spot is a word at its place.
+    spots = F.transform("lines", lambda line: F.transform(F.split(line, " "), lambda w, at: F.when(w != VARIABLE, F.xxhash64(at, w))))
+    seen = sets.select("leaf", "n", "docs", F.explode(F.array_distinct(F.array_compact(F.flatten(spots)))).alias("spot"))
+    constant = seen.groupBy("leaf", "n", "spot").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("leaf", "spot", F.lit(True).alias("constant"))
+    distinct = sets.select("leaf", "n", F.explode("lines").alias("line")).distinct().withColumn("id", F.xxhash64("line"))
     words = distinct.select("leaf", "n", "id", F.posexplode(F.split("line", " ")).alias("at", "word"))
-    seen = words.where(F.col("word") != VARIABLE).join(sets.drop("n"), ["leaf", "id"]).groupBy("leaf", "n", "at", "word", "set").agg(F.max("docs").alias("docs"))
-    constant = seen.groupBy("leaf", "n", "at", "word").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
-    constant = constant.select("leaf", "at", "word", F.lit(True).alias("constant"))
-    judged = words.join(constant, ["leaf", "at", "word"], "left").withColumn("shown", F.when(F.col("constant"), F.col("word")).otherwise(VARIABLE))
-    shapes = judged.groupBy("leaf", "n", "id").agg(
-        F.count("constant").alias("words"), F.count_if(F.col("word") == VARIABLE).alias("masked"), F.bit_xor(F.xxhash64("at", "shown")).alias("template")
+    words = words.select("leaf", "n", "id", (F.col("word") == VARIABLE).alias("variable"), F.xxhash64("at", "word").alias("spot"), F.xxhash64("at", F.lit(VARIABLE)).alias("blank"))
+    shapes = words.join(constant, ["leaf", "spot"], "left").groupBy("leaf", "n", "id").agg(
+        F.count("constant").alias("words"), F.count_if("variable").alias("masked"), F.bit_xor(F.when(F.col("constant"), F.col("spot")).otherwise(F.col("blank"))).alias("template")
     )
     shapes = shapes.where(((F.col("words") + F.col("masked")) / F.col("n") >= SIMILARITY) & (F.col("words") / F.col("n") >= WORDS))
     shapes = written(shapes.select("leaf", "id", "template"))
-    met = sets.join(shapes, ["leaf", "id"]).groupBy("leaf", "n", "template", "set").agg(F.max("docs").alias("docs"))
+    met = sets.select("leaf", "n", "docs", F.xxhash64("lines").alias("set"), F.explode("lines").alias("line")).withColumn("id", F.xxhash64("line"))
+    met = met.join(shapes, ["leaf", "id"]).groupBy("leaf", "n", "template", "set").agg(F.max("docs").alias("docs"))
     recurring = met.groupBy("leaf", "n", "template").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
-    recurring = written(shapes.join(recurring.select("leaf", "template"), ["leaf", "template"]))
+    return shapes.join(recurring.select("leaf", "template"), ["leaf", "template"]).select("leaf", "id", "template")
+
 
-    lost = found.select("leaf", "id", "doc", "version", "pos").join(recurring, ["leaf", "id"]).drop("id")
-    first = lost.groupBy("leaf", "template").agg(F.min(F.struct(F.col("doc").isNotNull().alias("known"), "doc", "pos")).alias("first"))
-    lost = lost.join(first.select("leaf", "template", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos")), ["leaf", "template"])
+def dropped_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+    """(doc, version, pos) of each line to drop."""
+    lines, least = _lines(df, key, text), _least(min_docs)
+    who = lines.select("leaf", "n", F.xxhash64("doc", "version").alias("who"), F.xxhash64("line").alias("line"))
+    reached = who.groupBy("leaf", "n").agg(F.count("*").alias("lines"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("who", "line")])
+    reached = reached.where((F.col("lines") >= least) & (F.col("min_who") != F.col("max_who")))
+    leaves = written(reached.select("leaf", (F.col("min_line") == F.col("max_line")).alias("alone")))
+    found = lines.join(leaves, "leaf").withColumn("line", masked("line"))
+    variables = F.when(F.contains("line", F.lit(VARIABLE)), F.regexp_count("line", F.lit(r"(?<![^ ])<\*>(?![^ ])"))).otherwise(0)
+    found = found.withColumn("id", F.xxhash64("line")).withColumn("words", F.col("n") - variables).where(~F.col("alone") | (F.col("words") / F.col("n") >= WORDS))
+    found = written(found.withColumn("line", F.when(~F.col("alone"), F.col("line"))))
+
+    # A line that is alone in its leaf is its own template.
+    lone = found.where("alone").groupBy("leaf", "n", "id", "doc", "version").agg(F.min("pos")).groupBy("leaf", "n", "id").agg(F.count("*").alias("docs"))
+    lone = lone.where(F.col("docs") >= least).select("leaf", "id", F.lit(0).cast("long").alias("template"))
+    recurring = written(lone.unionByName(_judged(found.where("NOT alone"), least)))
+    places = found.groupBy("leaf", "id").agg(F.min(F.struct(F.col("doc").isNotNull().alias("known"), "doc", "pos")).alias("first"))
+    first = recurring.join(places, ["leaf", "id"]).groupBy("leaf", "template").agg(F.min("first").alias("first"))
+    drop = recurring.join(first, ["leaf", "template"]).select("leaf", "id", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    lost = found.select("leaf", "id", "doc", "version", "pos").join(written(drop), ["leaf", "id"])
     return lost.where(~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos")))).select("doc", "version", "pos")
 
 
