@@ -41,11 +41,13 @@ def free_name(df: DataFrame, wanted: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir, which all executors and the driver share.
 
-    Where no such folder is set (a single machine, as in tests) a temporary one is made.
+    Where no such folder is set a single machine makes a temporary one, as in tests; a cluster needs the setting.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='vellum-')}"
         atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
         context.setCheckpointDir(root)

@@ -97,7 +97,8 @@ def dropped_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_do
     reached = who.groupBy("leaf", "n").agg(F.count("*").alias("lines"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("who", "line")])
     reached = reached.where((F.col("lines") >= least) & (F.col("min_who") != F.col("max_who")))
     leaves = written(reached.select("leaf", (F.col("min_line") == F.col("max_line")).alias("alone")))
-    found = lines.join(leaves, "leaf").withColumn("line", masked("line"))
+    # one plan at every size, here and below: leaves and lines grow with the corpus
+    found = lines.join(leaves.hint("merge"), "leaf").withColumn("line", masked("line"))
     variables = F.when(F.contains("line", F.lit(VARIABLE)), F.regexp_count("line", F.lit(r"(?<![^ ])<\*>(?![^ ])"))).otherwise(0)
     found = found.withColumn("id", F.xxhash64("line")).withColumn("words", F.col("n") - variables).where(~F.col("alone") | (F.col("words") / F.col("n") >= WORDS))
     found = written(found.withColumn("line", F.when(~F.col("alone"), F.col("line"))))
@@ -109,7 +110,7 @@ def dropped_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_do
     places = found.groupBy("leaf", "id").agg(F.min(F.struct(F.col("doc").isNotNull().alias("known"), "doc", "pos")).alias("first"))
     first = recurring.join(places, ["leaf", "id"]).groupBy("leaf", "template").agg(F.min("first").alias("first"))
     drop = recurring.join(first, ["leaf", "template"]).select("leaf", "id", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
-    lost = found.select("leaf", "id", "doc", "version", "pos").join(written(drop), ["leaf", "id"])
+    lost = found.select("leaf", "id", "doc", "version", "pos").join(written(drop).hint("merge"), ["leaf", "id"])
     return lost.where(~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos")))).select("doc", "version", "pos")
 
 
@@ -124,7 +125,7 @@ def drop_recurring_lines(df: DataFrame, key: str = "doc_id", text: str = "text",
     doc, version, gone = free_name(df, "_doc"), free_name(df, "_version"), free_name(df, "_gone")
     lost = dropped_lines(df, key, text, min_docs).groupBy("doc", "version").agg(F.sort_array(F.collect_set("pos")).alias(gone))
     lost = lost.select(F.col("doc").alias(doc), F.col("version").alias(version), gone)
-    joined = df.join(lost, F.col(key).eqNullSafe(F.col(doc)) & (F.xxhash64(text_of(text)) == F.col(version)), "left")
+    joined = df.join(lost.hint("merge"), F.col(key).eqNullSafe(F.col(doc)) & (F.xxhash64(text_of(text)) == F.col(version)), "left")
     lines, n = F.split(F.col(text), "\n"), F.size(gone)
     # The runs between dropped lines, so that the work grows with the lines and not with lines times drops.
     before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(gone, i - 1))
