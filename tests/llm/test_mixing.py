@@ -84,6 +84,34 @@ def test_blocks_come_twice_at_most(spark):
     assert sum(n for (s, _), n in times.items() if s == 0) == pytest.approx(150, abs=3)
 
 
+def test_draws_meet_their_targets_and_vary(spark):
+    """Every shard is full, every source ends at what it is due, and a shard's counts spread as multinomial ones."""
+    sources = [mixing.Source(n, 10_000_000, 9, 0.0, 400_000, k) for n, k in (("a", 300_000.0), ("b", 100_000.0), (None, 200_000.0))]
+    shards, last = [], Counter()
+    for run in mixing.runs(sources):
+        for s in run.single(mixing.SEED):
+            shards.append((s.first, s.due.tolist()))
+            assert s.before.tolist() == [last[i] for i in range(3)]
+            last.update(dict(enumerate(s.due.tolist())))
+    assert [f for f, _ in shards] == list(range(len(shards))) and [last[i] for i in range(3)] == [300_000, 100_000, 200_000]
+    assert {sum(c) for _, c in shards[:-1]} == {mixing.SLOTS}
+    counts = np.array([c for _, c in shards[:-1]])
+    p = np.array([0.5, 1 / 6, 1 / 3])
+    assert counts.mean(axis=0) == pytest.approx(mixing.SLOTS * p, rel=0.01)
+    assert counts.var(axis=0) == pytest.approx(mixing.SLOTS * p * (1 - p), rel=0.35)
+    assert [r.due.tolist() for r in mixing.runs(sources)] == [r.due.tolist() for r in mixing.runs(sources)]
+    rows = mixing.slots(spark, sources)
+    assert rows.count() == 600_000 and rows.select("src", "slot").distinct().count() == 600_000 and rows.rdd.getNumPartitions() > 8
+
+
+def test_more_draws_than_the_driver_takes():
+    many = [mixing.Source(str(i), 1, 1, 0.0, 10_000, 5000.0 + i) for i in range(3000)]
+    found = mixing.runs(many)
+    assert len(found) * len(many) <= mixing.MAX_DRAWS and sum(r.due for r in found).tolist() == [5000 + i for i in range(3000)]
+    last = list(found[-1].single(mixing.SEED))[-1]
+    assert last.first == found[0].shards * 0 + sum(r.shards for r in found) - 1 and (last.before + last.due).tolist() == [5000 + i for i in range(3000)]
+
+
 def test_edge_cases(spark):
     rows = [(1, None, "a", 0), (2, "", None, 0), (3, " \n", "b", 0), (4, "x y " * 30_000, None, 1), (4, "x y " * 30_000, None, 1), (None, "one two three", "a", 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, _row int")

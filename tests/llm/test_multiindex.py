@@ -37,6 +37,23 @@ def test_recall_and_scores(spark):
     assert hits >= 0.9 * 5 * len(want)
 
 
+def test_recall_on_the_larger_table(spark):
+    large = SF.replace("0.01", "0.1")
+    table = spark.read.parquet(f"{large}/embeddings.parquet").toPandas()
+    m, ids = np.array(table.embedding.tolist(), dtype=float), table.vec_id.to_numpy()
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    got = {}
+    for r in queries.op3_multi_index(spark, large).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    asked = np.flatnonzero(ids % 50 == 0)
+    for q in asked:
+        near = m @ m[q]
+        near[q] = -2
+        hits += len(got[ids[q]] & set(ids[np.argsort(-near)[:5]].tolist()))
+    assert set(got) == set(ids[asked].tolist()) and hits >= 0.9 * 5 * len(asked)
+
+
 def test_walk_is_in_order_of_summed_distance():
     rng = np.random.default_rng(3)
     for _ in range(20):

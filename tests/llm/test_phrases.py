@@ -79,6 +79,17 @@ def test_query_matches_plain_version(spark):
     assert min(r.near_edited for r in long) > 0.2 and np.mean([r.near_next for r in long]) < 0.05
 
 
+def test_one_key_lies_in_many_ranges(spark):
+    """Rows of one key and rows without one follow one another by the hashes of their texts, over all ranges."""
+    rows = [(k, f"text number {i} of key {k}") for i in range(300) for k in (7, None)] + [(9, "first"), (-(1 << 63), "last")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = {(r.doc_id, r.text): r.h for r in df.selectExpr("*", "xxhash64(text) h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r]))
+    want = sorted(hashlib.sha256(phrases.edited(t, order[(i + 1) % len(order)][1]).encode()).hexdigest() for i, (_, t) in enumerate(order))
+    out = phrases.compare_with_next(df, ranges=12)
+    assert sorted(r.edited_sha256 for r in out.collect()) == want
+
+
 @pytest.mark.parametrize("ranges", [1, 3, 50])
 def test_edge_cases(spark, ranges):
     texts = {9: "same text of some length, twice", 7: "same text of some length, twice", 5: None, 4: "", 3: "ß😀é", -2: "z" * 200_000, None: "no key"}

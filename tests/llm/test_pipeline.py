@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from test_mixing import plain_targets
+from test_shingles import plain_kept
 from test_simhash import plain_components, plain_fingerprint
 from vellum.llm import bpe, lines, mixing, quality
 
@@ -45,8 +46,9 @@ def test_against_plain_versions(spark, kept):
     assert sorted(con.sql(f"SELECT doc_id, text FROM ({lines.SQL})").fetchall()) == sorted((r.doc_id, r.text) for r in kept[1].collect())
     assert all(r.n_chars == len(r.text) for r in kept[1].collect())
 
-    prints = {r.doc_id: plain_fingerprint(r.text) for r in kept[1].collect()}
-    assert sorted(r.doc_id for r in kept[2].collect()) == sorted(set(plain_components(prints).values()))
+    texts = {r.doc_id: r.text for r in kept[1].collect()}
+    first = set(plain_components({k: plain_fingerprint(t) for k, t in texts.items()}).values())
+    assert sorted(r.doc_id for r in kept[2].collect()) == sorted(plain_kept({k: texts[k] for k in first}))
 
     sizes = {r.doc_id: (r.source, len(WORD.findall(r.text))) for r in kept[2].collect()}
     words, got = Counter(), Counter()

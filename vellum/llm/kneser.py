@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 _known: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 #: What stands before the first token, and the token after the last word.
 BEGIN, END = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xA24BAED4963EE407)
-WORDS = np.dtype([("hash", "<u8"), ("count", "<i8"), ("before", "<i8"), ("total", "<i8"), ("once", "<i4"), ("twice", "<i4"), ("more", "<i4")])
+WORDS = np.dtype([("hash", "<u8"), ("count", "<i8"), ("before", "<i8"), ("total", "<i8"), ("once", "<i8"), ("twice", "<i8"), ("more", "<i8")])
 PACKED = "kind string, shard int, data binary"
 
 
@@ -225,7 +226,7 @@ def _merge_pairs(at: str, shards: int):
         held = None
         keys, first, n = _summed(_pair_key(before, word), n)
         before, word = before[first], word[first]
-        _store(at, f"pairs-{shard}", keys, n.astype("<u4"))
+        _store(at, f"pairs-{shard}", keys, n.astype("<u8"))
         words, _, after = _summed(word, np.ones(len(word), np.int64))
         where = _word_shard(words, shards)
         order = np.argsort(where, kind="stable")
@@ -306,7 +307,8 @@ class Model:
             elif isinstance(store, fs.LocalFileSystem):
                 self._open[name] = np.memmap(path, dtype=np.uint8, mode="r")
             else:
-                with tempfile.NamedTemporaryFile(delete=False) as copy, store.open_input_stream(path) as source:
+                # in the folder that Spark gives the worker and clears
+                with tempfile.NamedTemporaryFile(dir=SparkFiles.getRootDirectory(), delete=False) as copy, store.open_input_stream(path) as source:
                     while block := source.read(1 << 24):
                         copy.write(block)
                 self._open[name] = np.memmap(copy.name, dtype=np.uint8, mode="r")
@@ -334,9 +336,9 @@ class Model:
         out = np.zeros(len(keys), np.int64)
         for shard, at in self._by_shard(_pair_shard(before, keys, self.hot, self.shards)):
             data = self._bytes(f"pairs-{shard}")
-            n = len(data) // 12
+            n = len(data) // 16
             if n:
-                table, counts = data[: 8 * n].view("<u8"), data[8 * n :].view("<u4")
+                table, counts = data[: 8 * n].view("<u8"), data[8 * n :].view("<u8")
                 where = np.minimum(np.searchsorted(table, keys[at]), n - 1)
                 out[at] = np.where(table[where] == keys[at], counts[where], 0)
         return out

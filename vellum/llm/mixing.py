@@ -1,15 +1,16 @@
 """Mixing sources to target weights.
 
 The words of a source, in a pseudorandom order of its documents, are packed end to end into blocks of BLOCK words.
-An output shard has a fixed number of slots and draws how many come from each source: the whole part of its
-expectation for certain, the rest by a multinomial draw. A shard's expectation makes up for what the draws before
-it gave too much or too little, so that a source ends within a slot or two of its target. Slots of a source are numbered over all shards; slot i
-takes block permutation(i mod blocks), with another permutation for each round through the blocks. Slots and
-documents meet by block number.
+An output shard has SLOTS slots and draws how many come from each source: multinomial draws, given that over all
+shards every source ends at its target. A run of shards holds what its sources are due, and its first half draws its
+slots from that, down to the single shard. Slots of a source are numbered
+over all shards; slot i takes block permutation(i mod blocks), with another permutation for each round through the
+blocks. Slots and documents meet by block number.
 
 No task sees a whole source: its documents are dealt to chunks, a running sum over the chunks' totals (a row for
 each chunk) gives a chunk's first word, and a window inside the chunk gives each document's. What reaches the
-driver is one row for each source (MAX_SOURCES at most) and the draws (MAX_DRAWS at most).
+driver is one row for each source (MAX_SOURCES at most). It halves the shards into runs (MAX_DRAWS numbers at most);
+tasks draw on from there.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SHARE = 1.5
 MOST = 2
 MAX_SOURCES = 100_000
 MAX_DRAWS = 200_000
+#: The driver stops at runs of so many shards.
+RUN = 16
 CHUNK_ROWS = 1000
 SEED = 20
 
@@ -77,25 +80,52 @@ def plan(slim: DataFrame, weights=WEIGHTS, share: float = SHARE, block: int = BL
     return out
 
 
-def draw(sources: list[Source], seed: int = SEED) -> list[tuple[int, int, int, int]]:
-    """(shard, source, first slot of the source, how many), none of them zero."""
-    total = round(sum(s.slots for s in sources))
-    if not total:
-        return []
-    size = max(SLOTS, math.ceil(total * len(sources) / MAX_DRAWS))
-    p = np.array([s.slots for s in sources]) / sum(s.slots for s in sources)
-    limit, used, rng, out = np.array([MOST * s.blocks for s in sources]), np.zeros(len(sources), np.int64), np.random.default_rng(seed), []
-    for shard in range(math.ceil(total / size)):
-        slots = min(size, total - shard * size)
-        due = np.maximum(p * (shard * size + slots) - used, 0)
-        sure = np.floor(due).astype(np.int64)
-        while sure.sum() > slots:
-            sure[sure.argmax()] -= 1
-        rest = due - sure
-        counts = sure + (rng.multinomial(slots - sure.sum(), rest / rest.sum()) if slots > sure.sum() and rest.sum() else 0)
-        counts = np.minimum(counts, limit - used)
-        out += [(shard, int(i), int(used[i]), int(counts[i])) for i in np.flatnonzero(counts)]
-        used += counts
+def drawn(rng: np.random.Generator, n: int, due: np.ndarray) -> np.ndarray:
+    """How many of n slots come from each source, of which there are due: multinomial draws that end at their totals.
+
+    Such draws, given their totals, are hypergeometric. numpy draws these below a billion slots; runs of more are
+    halved by plain multinomial draws, where what a source does not have is drawn again.
+    """
+    if due.sum() < 1_000_000_000:
+        return rng.multivariate_hypergeometric(due, n, method="marginals")
+    out = np.zeros_like(due)
+    while n > out.sum():
+        rest = due - out
+        out += np.minimum(rng.multinomial(n - out.sum(), rest / rest.sum()), rest)
+    return out
+
+
+@dataclass
+class Run:
+    """Shards in a row: the first one, how many, what each source is due there, and its slots in the shards before."""
+
+    first: int
+    shards: int
+    due: np.ndarray
+    before: np.ndarray
+
+    def halves(self, seed: int) -> tuple[Run, Run]:
+        n = self.shards // 2
+        left = drawn(np.random.default_rng([seed, self.first, self.shards]), n * SLOTS, self.due)
+        return Run(self.first, n, left, self.before), Run(self.first + n, self.shards - n, self.due - left, self.before + left)
+
+    def single(self, seed: int):
+        """Its shards, one by one, in order."""
+        todo = [self]
+        while todo:
+            run = todo.pop()
+            if run.shards > 1:
+                todo += reversed(run.halves(seed))
+            elif run.shards:
+                yield run
+
+
+def runs(sources: list[Source], seed: int = SEED) -> list[Run]:
+    """All shards as runs of RUN at most, or fewer and longer runs beyond MAX_DRAWS numbers."""
+    due = np.array([min(MOST * s.blocks, round(s.slots)) for s in sources], dtype=np.int64)
+    out = [Run(0, math.ceil(due.sum() / SLOTS), due, np.zeros_like(due))]
+    while any(r.shards > RUN for r in out) and 2 * len(out) * len(sources) <= MAX_DRAWS:
+        out = [half for r in out for half in (r.halves(seed) if r.shards > 1 else (r,))]
     return out
 
 
@@ -119,10 +149,24 @@ def permuted(index: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
 
 def slots(spark, sources: list[Source], seed: int = SEED) -> DataFrame:
     """The mix as (shard, src, slot, round, block), a row for each block that a shard takes."""
-    rows = spark.createDataFrame(draw(sources, seed), "shard long, src int, first long, n long")
+    parts = [(r.first, r.shards, r.due.tolist(), r.before.tolist()) for r in runs(sources, seed)]
+    tasks = max(1, len(parts) // 4)
+    spread = spark.createDataFrame(parts, "first long, shards long, due array<long>, before array<long>").repartition(tasks)
+
+    def draw(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                run = Run(row["first"], row["shards"], *(np.array(row[c], dtype=np.int64) for c in ("due", "before")))
+                for shard in run.single(seed):
+                    src = np.flatnonzero(shard.due)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(src), shard.first)), pa.array(src.astype(np.int32)), pa.array(shard.before[src]), pa.array(shard.due[src])], names=["shard", "src", "first", "n"]
+                    )
+
+    rows = spread.mapInArrow(draw, "shard long, src int, first long, n long")
     # at most MAX_SOURCES rows of two numbers
     blocks = spark.createDataFrame([(i, s.blocks) for i, s in enumerate(sources)], "src int, blocks long")
-    rows = rows.repartition("shard").join(F.broadcast(blocks), "src").select("shard", "src", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
+    rows = rows.join(F.broadcast(blocks), "src").select("shard", "src", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
     rows = rows.withColumn("round", F.floor(F.col("slot") / F.col("blocks")).cast("long"))
 
     def block_of(src: pa.Array, slot: pa.Array, n: pa.Array, turn: pa.Array) -> pa.Array:

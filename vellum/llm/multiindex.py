@@ -90,7 +90,10 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
     queries and df share key and vector. Rows with a null id take no part, nor do vectors that are null, empty,
     zero, or hold a null or non-finite number, nor those of another length than most. Rows repeated with id and
     vector count once; an id with several vectors is an entry with each. Empty tables give no rows. Other columns
-    of either table are not read.
+    of either table are not read. Ids that are not numbers are cast to long, and fail or count as null by the session.
+
+    A query's vector goes to each block it visits, so what is shuffled grows with queries times share times entries;
+    with more centroids a smaller share gives the same recall.
     """
     spark = df.sparkSession
     good = lambda d: d.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable("v"))
@@ -134,6 +137,9 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
 
     placed = indexed.withColumn("block", F.arrow_udf(block_of, "long")("cell", "hash"))
     asked = good(queries).where(F.size("v") == width).distinct()
+    # a walk costs much more than the row it starts from
+    n = asked.count()
+    asked = asked.repartition(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 16), n // 2048), "id")
     visits = F.explode(F.arrow_udf(visits_of, "array<struct<block:bigint,cells:array<int>>>")("v"))
     asked = written(asked.select("id", "v", visits.alias("visit")).select("id", "v", "visit.block", "visit.cells"))
     groups = written(asked.groupBy("block").agg(F.ceil(F.count("*") / group).cast("int").alias("groups")))

@@ -19,6 +19,7 @@ laid out by ranges of the key, a single shuffle.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -215,36 +216,38 @@ def compare_with_next(df: DataFrame, key: str = "doc_id", text: str = "text", ra
     """One row for each row of df: key, n_chars, and how its fingerprint likens to its edited text's and the next's.
 
     The next document is that of descending key (after the last the first; a lone document is its own next). Null
-    texts count as empty, null keys come last; rows of one key follow one another in the order of their texts.
-    An empty table gives no rows. near_edited, near_next: likeness, 0 to 1.
+    texts count as empty, null keys come last; rows of one key follow one another in the order of their texts' hashes.
+    Keys are cast to long; one that is no number fails or counts as null by the session. An empty table gives no rows.
+    near_edited, near_next: likeness, 0 to 1.
 
-    A sample of keys (SAMPLED for each range) cuts them into ranges. A range's first row also goes, as a guest, to
+    A sample of (key, hash of the text), SAMPLED for each range, cuts the rows into ranges, so that rows of one key
+    need not lie in one. A range's first row also goes, as a guest, to
     the end of the range before it, so that no task needs another's rows; the texts are shuffled once. The driver
     holds the sample, and of each range its bounds.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
+    rows = df.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text")).withColumn("hash", F.xxhash64("text"))
+    # ascending in these three is descending in keys, null keys last
+    order = [F.col("key").isNull().alias("unknown"), F.coalesce(F.bitwise_not("key"), F.lit(0)).alias("down"), "hash"]
     total = rows.count()
     ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE_ROWS)
-    sample = rows.select("key").where(F.pmod(F.xxhash64("key"), F.lit(max(1, total // (SAMPLED * ranges)))) == 0).where("key IS NOT NULL")
-    drawn = np.sort(np.array([r[0] for r in sample.collect()], dtype=np.int64))
-    edges = spark.sparkContext.broadcast(np.unique(drawn[np.arange(1, ranges) * len(drawn) // ranges]) if len(drawn) else drawn)
-    last = len(edges.value) + 1
-
-    def place(keys: pa.Array) -> pa.Array:
-        # range 0 holds the largest keys, the last one those that are null
-        found = len(edges.value) - np.searchsorted(edges.value, keys.fill_null(0).to_numpy(zero_copy_only=False))
-        return pa.array(np.where(keys.is_null().to_numpy(zero_copy_only=False), last, found).astype(np.int32))
-
-    placed = rows.withColumn("bucket", F.arrow_udf(place, "int")("key"))
-    firsts = sorted((r["bucket"], r["key"]) for r in placed.select("bucket", "key").groupBy("bucket").agg(F.max("key").alias("key")).collect())
+    sample = rows.where(F.pmod(F.xxhash64("key", "hash"), F.lit(max(1, total // (SAMPLED * ranges)))) == 0).select(*order).distinct()
+    drawn = sorted(map(tuple, sample.collect()))
+    edges = spark.sparkContext.broadcast(sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)}) if drawn else [])
+
+    def place(unknown: pa.Array, down: pa.Array, hashed: pa.Array) -> pa.Array:
+        at = zip(unknown.to_pylist(), down.to_pylist(), hashed.to_pylist())
+        return pa.array([bisect_right(edges.value, t) for t in at], pa.int32())
+
+    placed = rows.withColumn("bucket", F.arrow_udf(place, "int")(*order))
+    firsts = sorted((r["bucket"], *r["first"]) for r in placed.groupBy("bucket").agg(F.min(F.struct(*order)).alias("first")).collect())
     # a range's first row is the guest of the range before, that of the first one of the last
-    leaders = spark.createDataFrame([(b, k, firsts[i - 1][0]) for i, (b, k) in enumerate(firsts)], "bucket int, key long, host int")
-    lead = leaders.select(F.col("bucket").alias("own"), F.col("key").alias("first"), "host")
-    led = placed.join(F.broadcast(lead), (F.col("bucket") == F.col("own")) & F.col("key").eqNullSafe(F.col("first")), "left")
+    leaders = spark.createDataFrame([(b, u, d, h, firsts[i - 1][0]) for i, (b, u, d, h) in enumerate(firsts)], "own int, unknown boolean, down long, first long, host int")
+    first = (F.col("bucket") == F.col("own")) & (F.col("hash") == F.col("first")) & (F.col("key").isNull() == F.col("unknown")) & (F.coalesce(F.bitwise_not("key"), F.lit(0)) == F.col("down"))
+    led = placed.join(F.broadcast(leaders), first, "left")
     stay = F.struct("bucket", F.lit(False).alias("guest"))
     go = F.struct(F.col("host").alias("bucket"), F.lit(True).alias("guest"))
-    laid = led.select("key", "text", F.explode(F.when(F.col("host").isNull(), F.array(stay)).otherwise(F.array(stay, go))).alias("to"))
-    laid = laid.select("to.bucket", "key", "text", "to.guest").repartitionById(last + 1, F.col("bucket"))
-    laid = laid.sortWithinPartitions("guest", F.col("key").desc_nulls_last(), "text")
+    laid = led.select("key", "text", "hash", F.explode(F.when(F.col("host").isNull(), F.array(stay)).otherwise(F.array(stay, go))).alias("to"))
+    laid = laid.select("to.bucket", "key", "text", "to.guest", "hash").repartitionById(len(edges.value) + 1, F.col("bucket"))
+    laid = laid.sortWithinPartitions("guest", F.col("key").desc_nulls_last(), "hash", "text").drop("hash")
     return laid.mapInArrow(_compare, COMPARED).withColumnRenamed("key", key)

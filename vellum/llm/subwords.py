@@ -15,12 +15,13 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import free_name, idle_memory
 
-#: Texts are worked through in runs of about so many code points; longer ones are cut at white space.
+#: Texts are worked through in runs of about so many code points; longer ones are cut at white space, or inside a
+#: word that goes on for as many more: its pieces count as words.
 CHUNK = 1 << 18
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
@@ -62,7 +63,7 @@ def _runs(texts: list[str]):
             start = 0
             while start < len(t):
                 end = start + CHUNK
-                while end < len(t) and not t[end].isspace():
+                while end < len(t) and end < start + 2 * CHUNK and not t[end].isspace():
                     end += 1
                 yield [(i, t[start:end])]
                 start = end
@@ -213,12 +214,14 @@ def _all_bags(texts: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, n
     return np.concatenate([d for d, _, _ in parts]), np.concatenate([f for _, f, _ in parts]), np.concatenate([np.diff(np.append(b, len(f))) for _, f, b in parts])
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, shape: Shape, max_rows: int = 3000, max_chars: int = 50_000, **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, shape: Shape, max_rows: int = 3000, max_chars: int = 50_000, max_total: int = 12_000_000, **options) -> Model:
     """Trains on a bounded sample of labelled rows.
 
     Of each class come at most max_rows / 2 ids, those with the smallest hashes, and of these the texts of at most
-    max_chars code points: so many texts, each whole, reach the driver. Rows without id, label or text are not
-    drawn; an id with both labels counts as 1. A text without words scores as the share of class 1 among all
+    max_chars code points, in the order of the hashes until they have max_total / 2 code points together: so many
+    texts, each whole, reach the driver (about 9 bytes of features a code point). Rows without id, label or text are
+    not drawn; an id with both labels counts as 1, of an id with several texts comes the one with the smallest hash,
+    so that reruns learn the same. A text without words scores as the share of class 1 among all
     labelled ids. Without any labelled text to train on, every text scores so (0.5 if there is no label either).
     """
     hashed, mark = "_hash", "_label"
@@ -229,7 +232,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, sha
     drawn = [marks.where(F.col(mark) == y).orderBy(hashed, "_key").limit(max_rows // 2) for y in (0, 1)]
     ids = drawn[0].unionByName(drawn[1])
     texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).where(F.length("_text") <= max_chars)
-    rows = texts.join(F.broadcast(ids), F.col("_id") == F.col("_key")).select("_key", "_text", mark).limit(2 * max_rows).collect()
+    texts = texts.join(F.broadcast(ids), F.col("_id") == F.col("_key")).groupBy("_key", mark, hashed).agg(F.min(F.struct(F.xxhash64("_text").alias("_order"), "_text")).alias("_one"))
+    # the windows hold max_rows / 2 rows at most
+    upto = F.sum(F.length("_one._text")).over(Window.partitionBy(mark).orderBy(hashed, "_key"))
+    rows = texts.withColumn("_upto", upto).where(F.col("_upto") <= max_total // 2).select("_key", F.col("_one._text").alias("_text"), mark).collect()
     rows.sort(key=lambda r: (str(r["_key"]), r["_text"]))
     if not rows:
         return Model(np.zeros(1 << shape.bits), float(np.log((prior + 1e-9) / (1 - prior + 1e-9))), shape, prior)
