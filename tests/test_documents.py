@@ -136,7 +136,7 @@ def test_provider_halves_and_keeps(spark):
     got = translate.halved(translate.Tagging("hi", fails_at=7), texts, least=1)
     assert [g is None for g in got] == [len(t) % 7 == 0 for t in texts]
     df = spark.createDataFrame([(t,) for t in texts], "body string")
-    rows = translate.run(df, translate.Tagging("hi", fails_at=7)).collect()
+    rows = translate.run(df, translate.Tagging("hi", fails_at=7), least=1).collect()
     assert {r.body for r in rows if r.translated is None} == {"x" * 7, "x" * 14}
 
 

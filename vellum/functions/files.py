@@ -46,7 +46,7 @@ def image_type(data: Column, hint: Column) -> Column:
     of = lambda ext, mime: F.struct(F.lit(ext).alias("ext"), F.lit(mime).alias("mime"))
     found = reduce(lambda w, m: w.when(head.startswith(m[0]), of(m[1], m[2])), MAGIC[1:], F.when(head.startswith(MAGIC[0][0]), of(*MAGIC[0][1:])))
     found = found.when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), of(".webp", "image/webp"))
-    text = F.lower(F.decode(F.unhex(F.regexp_replace(head, "(?:..)*?(?=3C)", "")), "ISO-8859-1"))
+    text = F.lower(F.decode(F.substring(data, 1, 2048), "ISO-8859-1"))
     found = found.when(F.regexp_replace(head, "^(?:09|0A|0B|0C|0D|20)+", "").startswith("3C") & F.coalesce(text.contains("<svg"), F.lit(False)), of(".svg", "image/svg+xml"))
     known = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".bmp": "image/bmp", ".tif": "image/tiff", ".tiff": "image/tiff", ".webp": "image/webp", ".svg": "image/svg+xml"}
     hinted = F.lower(F.coalesce(hint, F.lit("")))

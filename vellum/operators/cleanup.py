@@ -15,17 +15,11 @@ PROSE = ("p", "div", "li", "h1", "h2", "h3", "h4", "blockquote", "span")
 
 
 def blocks(pages: DataFrame, key: str = "path") -> DataFrame:
-    """Elements of each page with body, the collapsed text of the element and all below it."""
+    """Elements of each page with body, the collapsed text of the element and all below it, and until, the number of
+    the first element after those."""
     page = F.concat_ws("\x00", F.col(key), F.col("spine_ix").cast("string"))
-    nodes = markup.nodes(pages.withColumn("_page", page), "html", "_page")
-    # an element's descendants follow it until one that is not deeper
-    packed = nodes.groupBy("_page").agg(F.sort_array(F.collect_list(F.struct("node", "depth", "text"))).alias("all"))
-    joined = nodes.join(packed, "_page")
-    later = F.filter("all", lambda n: n["node"] > F.col("node"))
-    until = F.array_min(F.transform(F.filter(later, lambda n: n["depth"] <= F.col("depth")), lambda n: n["node"]))
-    inside = F.filter("all", lambda n: (n["node"] >= F.col("node")) & (until.isNull() | (n["node"] < until)))
-    body = T.collapse(F.array_join(F.transform(inside, lambda n: n["text"]), " "))
-    return joined.select("_page", "node", "parent", "depth", "tag", "attrs", body.alias("body"), until.alias("until"))
+    nodes = markup.nodes(pages.withColumn("_page", page), "html", "_page", bodies=True)
+    return nodes.select("_page", "node", "parent", "depth", "tag", "attrs", T.collapse(F.col("body")).alias("body"), "until")
 
 
 def page_facts(pages: DataFrame, key: str = "path") -> DataFrame:
@@ -69,7 +63,7 @@ def dropped_blocks(pages: DataFrame, key: str = "path") -> DataFrame:
     footer = F.col("tag").isin("footer", "small") | F.coalesce(F.lower(F.col("attrs")["class"]).contains("footer"), F.lit(False))
     gone = b.where(F.col("tag").isin(*BLOCKS) & clutter.droppable(F.col("body"), footer))
     w = Window.partitionBy("_page").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    end = F.max(F.coalesce("until", F.lit(1 << 30))).over(w)
+    end = F.max("until").over(w)
     outer = gone.withColumn("_end", end).where(F.col("_end").isNull() | (F.col("node") >= F.col("_end")))
     parts = F.split("_page", "\x00")
     return outer.select(parts[0].alias(key), parts[1].cast("int").alias("spine_ix"), "node", "tag", "body")

@@ -32,3 +32,10 @@ def page_number(text: Column) -> Column:
 def page_budget(chars: Column, images: Column, chapters: Column) -> Column:
     """Pages that a rendering may have at most."""
     return F.lit(50) + F.floor(chars / 1200) + 2 * images + 2 * chapters
+
+
+def fitted(width: Column, height: Column, most_width: float, most_height: float) -> Column:
+    """struct(width, height): a picture scaled down, never up, into a frame; one pixel at least each way."""
+    scale = F.least(F.lit(float(most_width)) / width, F.lit(float(most_height)) / height, F.lit(1.0))
+    side = lambda x: F.greatest(F.floor(x * scale).cast("long"), F.lit(1))
+    return F.struct(side(width).alias("width"), side(height).alias("height"))

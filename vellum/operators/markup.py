@@ -1,11 +1,13 @@
-"""HTML as text nodes, element nodes and titles, from parser events."""
+"""HTML and XML as text nodes, element nodes and titles, and edits in place, from parser events."""
 
 from __future__ import annotations
 
+from collections import Counter
+from html import escape
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
@@ -13,18 +15,40 @@ from vellum.functions import text as T
 #: Elements whose text is not translated, and elements without an end tag.
 SKIPPED = frozenset("script style code pre svg math head title meta link".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that plain markup has not, and the attributes that it keeps.
+DROPPED = frozenset("script style noscript template iframe object embed video audio canvas form input button select textarea head title meta link base svg".split())
+KEPT = ("src", "href", "style", "class", "colspan", "rowspan", "alt", "dir", "lang")
+
+
+def _line_starts(page: str) -> list[int]:
+    starts = [0]
+    while (at := page.find("\n", starts[-1])) >= 0:
+        starts.append(at + 1)
+    return starts
 
 
 class TextNodes(HTMLParser):
-    """Text between tags, outside skipped elements; unclosed elements do no harm."""
+    """Text between tags, outside skipped elements; unclosed elements do no harm.
+
+    found: the texts; places: where each begins in the page.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.found: list[str] = []
+        self.places: list[int] = []
         self.skipping: list[str] = []
         self.title: list[str] | None = None
         self.in_title = False
 
+    def feed(self, page: str) -> None:
+        self.lines = _line_starts(page)
+        super().feed(page)
+
+    def _here(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
     def handle_starttag(self, tag, attrs):
         if tag == "title" and self.title is None:
             self.title, self.in_title = [], True
@@ -42,6 +66,7 @@ class TextNodes(HTMLParser):
             self.title.append(data)
         if not self.skipping and data.strip():
             self.found.append(data)
+            self.places.append(self._here())
 
 
 def _parsed(page: str | None) -> TextNodes:
@@ -56,49 +81,190 @@ def text_nodes(df: DataFrame, page: str) -> DataFrame:
     return df.withColumn("texts", F.arrow_udf(lambda pages: pa.array([_parsed(p.as_py()).found for p in pages], pa.list_(pa.string())), "array<string>")(F.col(page)))
 
 
+def with_texts(page: str, texts: list[str | None]) -> str:
+    """The page with its text nodes replaced, in order; null leaves one as it is. All markup stays untouched."""
+    parser, out, at = _parsed(page), [], 0
+    for start, new in zip(parser.places, texts):
+        if new is None:
+            continue
+        # a < that begins no tag is a text by itself
+        stop = start + 1 if page[start] == "<" else page.find("<", start)
+        out += [page[at:start], escape(new, quote=False)]
+        at = stop if stop >= 0 else len(page)
+    return "".join([*out, page[at:]])
+
+
+def replaced_texts(page: Column, texts: Column) -> Column:
+    """Pages with their text nodes replaced, see with_texts."""
+
+    def run(pages: pa.Array, news: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else with_texts(p, n or []) for p, n in zip(pages.to_pylist(), news.to_pylist())], pa.string())
+
+    return F.arrow_udf(run, "string")(page, texts)
+
+
 def titles(df: DataFrame, page: str = "html") -> DataFrame:
     """Adds title: that of the page, white space collapsed, at most 150 characters."""
     raw = F.arrow_udf(lambda pages: pa.array(["".join(_parsed(p.as_py()).title or []) for p in pages], pa.string()), "string")(F.col(page))
     return df.withColumn("title", F.left(T.collapse(raw), F.lit(150)))
 
 
-class _Nodes(HTMLParser):
-    def __init__(self):
+class Elements(HTMLParser):
+    """Elements in the order of their start tags: parent, depth, tag, attrs, own text, the element after the last one
+    inside (until), and where the element begins and ends in the page."""
+
+    def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.open: list[int] = []
+        self.names: Counter = Counter()
+        self.lines, self.page = _line_starts(page), page
+        self.feed(page)
+        self.close()
+        self._end(0, len(page))
 
-    def handle_starttag(self, tag, attrs):
-        self.rows.append({"parent": self.open[-1] if self.open else None, "depth": len(self.open), "tag": tag, "attrs": [(k, v or "") for k, v in dict(attrs).items()], "text": ""})
-        if tag not in EMPTY:
+    def _here(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def _end(self, to: int, at: int) -> None:
+        while len(self.open) > to:
+            row = self.rows[self.open.pop()]
+            self.names[row["tag"]] -= 1
+            row["until"], row["stop"] = len(self.rows), at
+
+    def _start(self, tag, attrs, closed: bool):
+        start = self._here()
+        stop = start + len(self.get_starttag_text() or "")
+        self.rows.append({"parent": self.open[-1] if self.open else None, "depth": len(self.open), "tag": tag, "attrs": [(k, v or "") for k, v in dict(attrs).items()], "texts": [], "until": len(self.rows) + 1, "start": start, "stop": stop})
+        if not closed:
             self.open.append(len(self.rows) - 1)
+            self.names[tag] += 1
+
+    def handle_starttag(self, tag, attrs):
+        self._start(tag, attrs, tag in EMPTY)
+
+    def handle_startendtag(self, tag, attrs):
+        self._start(tag, attrs, True)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.rows[self.open[i]]["tag"] == tag:
-                del self.open[i:]
-                return
+        if not self.names[tag]:
+            return
+        i = len(self.open) - 1
+        while self.rows[self.open[i]]["tag"] != tag:
+            i -= 1
+        here = self._here()
+        self._end(i + 1, here)
+        self._end(i, self.page.find(">", here) + 1 or len(self.page))
 
     def handle_data(self, data):
         if self.open:
-            self.rows[self.open[-1]]["text"] += data
+            self.rows[self.open[-1]]["texts"].append(data)
 
 
-NODE = "array<struct<parent:int,depth:int,tag:string,attrs:map<string,string>,text:string>>"
-_NODE = pa.list_(pa.struct([("parent", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())]))
+NODE = "array<struct<parent:int,depth:int,tag:string,attrs:map<string,string>,text:string,until:int,body:string>>"
+_NODE = pa.list_(pa.struct([("parent", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("until", pa.int32()), ("body", pa.string())]))
 
 
-def nodes(df: DataFrame, page: str, key: str) -> DataFrame:
-    """(key, node, parent, depth, tag, attrs, text): the elements of each page in the order of their start tags."""
+def nodes(df: DataFrame, page: str, key: str, bodies: bool = False) -> DataFrame:
+    """(key, node, parent, depth, tag, attrs, text): the elements of each page in the order of their start tags.
+
+    bodies: also until, the number of the first element after those inside, and body, the texts of the element and
+    of all inside it. One pass over the page, inside its row.
+    """
 
     def run(pages: pa.Array) -> pa.Array:
         out = []
         for p in pages.to_pylist():
-            parser = _Nodes()
-            parser.feed(p or "")
-            parser.close()
-            out.append(parser.rows)
+            rows = Elements(p or "").rows
+            texts = ["".join(r.pop("texts")) for r in rows]
+            for i, (row, text) in enumerate(zip(rows, texts)):
+                row["text"] = text
+                row["body"] = " ".join(texts[i : row["until"]]) if bodies else None
+            out.append(rows)
         return pa.array(out, _NODE)
 
     found = df.select(key, F.posexplode(F.arrow_udf(run, NODE)(F.col(page))).alias("node", "n"))
-    return found.select(key, "node", "n.*")
+    kept = ["parent", "depth", "tag", "attrs", "text", *(["until", "body"] if bodies else [])]
+    return found.select(key, "node", *[F.col(f"n.{c}").alias(c) for c in kept])
+
+
+def without(page: str, spans: list[tuple[int, int]]) -> str:
+    """The page without some spans of it, which may lie inside one another."""
+    out, at = [], 0
+    for start, stop in sorted(spans):
+        if start >= at:
+            out.append(page[at:start])
+        at = max(at, stop)
+    return "".join([*out, page[at:]])
+
+
+class _Clean(HTMLParser):
+    """Plain markup: lower-case names, no comments, no dropped elements, few attributes, outside links only."""
+
+    def __init__(self, images: frozenset[str] | None):
+        super().__init__(convert_charrefs=True)
+        self.images, self.out, self.open, self.dropped = images, [], [], []
+
+    def handle_starttag(self, tag, attrs, closed=False):
+        tag, given = tag.rsplit(":", 1)[-1], dict(attrs)
+        if tag in DROPPED:
+            if not closed and tag not in EMPTY:
+                self.dropped.append(tag)
+            return
+        href = next((v or "" for k, v in attrs if k.rsplit(":", 1)[-1] in ("href", "src")), "")
+        if tag == "image":
+            tag, given = "img", {"src": href}
+        if self.dropped and not (tag == "img" and self.dropped == ["svg"]):
+            return
+        if tag == "img":
+            if self.images is None or href in self.images:
+                self._write("img", {"src": href, "alt": given.get("alt")}, True)
+            return
+        shown = tag != "a" or href.startswith(("http://", "https://", "mailto:"))
+        empty = closed or tag in EMPTY
+        if shown:
+            self._write(tag, {k: given[k] for k in KEPT if k in given}, empty)
+        if not empty:
+            self.open.append((tag, shown))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs, True)
+
+    def handle_endtag(self, tag):
+        tag = tag.rsplit(":", 1)[-1]
+        if self.dropped:
+            if tag in self.dropped:
+                del self.dropped[self.dropped.index(tag) :]
+        elif any(t == tag for t, _ in self.open):
+            while True:
+                last, shown = self.open.pop()
+                if shown:
+                    self.out.append(f"</{last}>")
+                if last == tag:
+                    return
+
+    def _write(self, tag, attrs, empty):
+        said = "".join(f' {k}="{escape(v or "")}"' for k, v in attrs.items() if v is not None)
+        self.out.append(f"<{tag}{said}/>" if empty and tag in EMPTY else f"<{tag}{said}></{tag}>" if empty else f"<{tag}{said}>")
+
+    def handle_data(self, data):
+        if not self.dropped:
+            self.out.append(escape(data, quote=False))
+
+
+def cleaned(page: Column, images: Column | None = None) -> Column:
+    """Pages as plain well-formed markup, see _Clean; the text after a dropped element stays, and so do the first
+    images of drawings. images: the sources that may stay (array), all if not given."""
+
+    def one(p: str | None, kept) -> str | None:
+        if p is None:
+            return None
+        parser = _Clean(None if kept is None else frozenset(kept))
+        parser.feed(p)
+        parser.close()
+        return "".join([*parser.out, *(f"</{t}>" for t, shown in reversed(parser.open) if shown)])
+
+    if images is None:
+        return F.arrow_udf(lambda pages: pa.array([one(p, None) for p in pages.to_pylist()], pa.string()), "string")(page)
+    return F.arrow_udf(lambda pages, kept: pa.array([one(p, k or []) for p, k in zip(pages.to_pylist(), kept.to_pylist())], pa.string()), "string")(page, images)

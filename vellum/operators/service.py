@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.config import FAILS, REQUEST_CHARS, REQUEST_ITEMS
+from vellum.config import COOL_BUSY, COOL_FAILS, COOL_PING, FAILS, REQUEST_CHARS, REQUEST_ITEMS
 
 
 def dashboard(users: DataFrame, jobs: DataFrame, payments: DataFrame, now: int) -> DataFrame:
@@ -117,9 +117,30 @@ def recover(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("status", F.when(F.col("status").isin("queued", "running"), "failed").otherwise(F.col("status")))
 
 
-def request_status(secret_ok: Column, n_items: Column, n_chars: Column, served: Column) -> Column:
-    """HTTP status of a request to a worker; a failure of the service itself is a 200 that says so."""
-    return F.when(~secret_ok, 401).when(n_items == 0, 200).when((n_items > REQUEST_ITEMS) | (n_chars > REQUEST_CHARS), 413).otherwise(F.when(served, 200).otherwise(200))
+def request_status(secret_ok: Column, n_items: Column, n_chars: Column) -> Column:
+    """HTTP status of a request to a worker. Whether its service then succeeds is told in the body of the 200."""
+    return F.when(~secret_ok, 401).when(n_items == 0, 200).when((n_items > REQUEST_ITEMS) | (n_chars > REQUEST_CHARS), 413).otherwise(200)
+
+
+def load(jobs: DataFrame, workers: DataFrame) -> DataFrame:
+    """One row: jobs queued and running, and workers that can take one. workers: enabled, healthy."""
+    waiting = jobs.agg(F.count_if(F.col("status") == "queued").alias("queued"), F.count_if(F.col("status") == "running").alias("running"))
+    return waiting.join(workers.agg(F.count_if(F.col("enabled") & F.col("healthy")).alias("available")))  # two frames of one row
+
+
+def cool_until(kind: Column, fails: Column, at: Column) -> Column:
+    """Second until which an endpoint rests: after a failed ping, a busy reply, or FAILS failures in a row; null if not."""
+    return F.when(kind == "ping", at + COOL_PING).when(kind == "busy", at + COOL_BUSY).when(fails >= FAILS, at + COOL_FAILS)
+
+
+def tally(sent: DataFrame, key: str, failed: Column) -> DataFrame:
+    """(key, ok, failed): how many messages arrived and how many did not."""
+    return sent.groupBy(key).agg(F.count_if(~failed).alias("ok"), F.count_if(failed).alias("failed"))
+
+
+def listed(workers: DataFrame) -> DataFrame:
+    """Workers in the order in which they were added."""
+    return workers.orderBy("added", "url")
 
 
 def reconcile(stored: DataFrame, live: DataFrame) -> DataFrame:

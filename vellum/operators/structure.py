@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,17 +75,36 @@ def first_seen(df: DataFrame, keys: list[str], value: str, order: str) -> DataFr
     return df.groupBy(*keys, value).agg(F.min(order).alias(order))
 
 
+def _beside(df: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """df with what was found of its keys, null keys being keys."""
+    named = found.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in found.columns if c not in keys])
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return df.join(named, met).drop(*[f"_{k}" for k in keys])
+
+
 def keep_last(df: DataFrame, keys: list[str], order: str, remove: str) -> DataFrame:
     """Takes the last removal back where all rows of a key would be removed."""
-    w = Window.partitionBy(*keys)
-    every = F.min(F.col(remove).cast("int")).over(w) == 1
-    return df.withColumn(remove, F.col(remove) & ~(every & (F.col(order) == F.max(order).over(w))))
+    ends = df.groupBy(*keys).agg(F.min(F.col(remove).cast("int")).alias("_every"), F.max(order).alias("_last"))
+    last = (F.col("_every") == 1) & (F.col(order) == F.col("_last"))
+    return _beside(df, ends, keys).withColumn(remove, F.col(remove) & ~last).drop("_every", "_last")
 
 
 def clamp_levels(levels: Column) -> Column:
     """Outline levels such that none is more than one deeper than the one before; the first is 1."""
-    start = F.array().cast("array<int>")
-    return F.aggregate(levels, start, lambda done, x: F.concat(done, F.array(F.least(x.cast("int"), F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + 1))))
+
+    def run(column: pa.Array) -> pa.Array:
+        out = []
+        for row in column.to_pylist():
+            depth, found = 0, []
+            for level in row or []:
+                depth = min(level, depth + 1)
+                found.append(depth)
+            out.append(None if row is None else found)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return F.arrow_udf(run, "array<int>")(levels.cast("array<int>"))
 
 
 def ranged(bookmarks: DataFrame, parts: DataFrame, doc: str) -> DataFrame:
@@ -102,13 +124,41 @@ def image_names(images: DataFrame, doc: str, order: list[str], data: str, least:
 
 def size_estimates(pages: DataFrame, doc: str, estimate: str, total: str) -> DataFrame:
     """Page estimates scaled to the document's real size, plus 200, at least 512."""
-    summed = F.sum(estimate).over(Window.partitionBy(doc))
-    return pages.withColumn("scaled", F.greatest(F.lit(512), F.floor(F.col(estimate) * (F.col(total) / summed)) + 200).cast("long"))
+    summed = pages.groupBy(doc).agg(F.sum(estimate).alias("_sum"))
+    scaled = F.greatest(F.lit(512), F.floor(F.col(estimate) * (F.col(total) / F.col("_sum"))) + 200).cast("long")
+    return _beside(pages, summed, [doc]).withColumn("scaled", scaled).drop("_sum")
+
+
+def medians(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, median, upper_median): the middle value, interpolated, and the upper one of an even number.
+
+    Works on how often each value occurs, so no group is gathered.
+    """
+    times = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(key)
+    upto = times.withColumn("upto", F.sum("n").over(w.orderBy(value))).withColumn("all", F.sum("n").over(w))
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col(value)))
+    low, high = at(F.floor((F.col("all") + 1) / 2)), at(F.floor(F.col("all") / 2) + 1)
+    return upto.groupBy(key).agg(((low + high) / 2).alias("median"), high.alias("upper_median"))
+
+
+def book_sizes(images: DataFrame, chapters: DataFrame, doc: str) -> DataFrame:
+    """(doc, image_bytes, chars): bytes of a book's images (doc, data) and characters of its chapters (doc, text)."""
+    a = images.groupBy(doc).agg(F.sum(F.octet_length("data")).alias("image_bytes"))
+    b = chapters.groupBy(doc).agg(F.sum(F.char_length("text")).alias("chars"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return a.join(b, doc, "full_outer").select(doc, zero("image_bytes"), zero("chars"))
+
+
+def unused(media: DataFrame, used: DataFrame, key: str) -> DataFrame:
+    """Media that nothing uses."""
+    return media.join(used.select(key), key, "left_anti")
 
 
-def upper_median(values: Column) -> Column:
-    """The middle value, the upper one of an even number."""
-    return F.element_at(F.sort_array(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
+def pooled(labels: dict[str, DataFrame]) -> DataFrame:
+    """Frames of equal columns in one, told apart by origin, for a pass over all of them."""
+    frames = [df.withColumn("origin", F.lit(name)) for name, df in labels.items()]
+    return reduce(lambda a, b: a.unionByName(b), frames)
 
 
 def runs(events: DataFrame, keys: list[str], order: str, kind: str = "kind", text: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from vellum.config import BATCH_CHARS, BATCH_ITEMS
@@ -71,7 +72,7 @@ def halved(provider: Provider, texts: list[str], least: int = 4) -> list[str | N
         return halved(provider, texts[:middle], least) + halved(provider, texts[middle:], least)
 
 
-def run(unique: DataFrame, provider: Provider, body: str = "body", items: int = BATCH_ITEMS, chars: int = BATCH_CHARS, least: int = 1) -> DataFrame:
+def run(unique: DataFrame, provider: Provider, body: str = "body", items: int = BATCH_ITEMS, chars: int = BATCH_CHARS, least: int = 4) -> DataFrame:
     """Adds translated to distinct texts: null where the provider failed, so that callers keep the text.
 
     Each Arrow batch of a partition is packed into requests by the limits. Tasks may run twice: providers must
@@ -88,3 +89,11 @@ def run(unique: DataFrame, provider: Provider, body: str = "body", items: int =
             yield frame.assign(translated=out)
 
     return unique.mapInPandas(part, StructType([*unique.schema.fields, StructField("translated", StringType())]))
+
+
+def complete(done: DataFrame, column: str = "translated") -> DataFrame:
+    """done, or an error when it is run and has texts but no reply at all."""
+    tally = done.agg(F.count("*").alias("_all"), F.count(column).alias("_some"))
+    none = (F.col("_all") > 0) & (F.col("_some") == 0)
+    passed = tally.select(F.when(none, F.raise_error(F.lit("no text could be translated")).cast("boolean")).otherwise(True).alias("_ok"))
+    return done.join(F.broadcast(passed)).where("_ok").drop("_ok")  # a frame of one row

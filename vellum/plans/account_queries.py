@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.config import DAY, FREE_CHARS, PLANS
 from vellum.functions import text as T
-from vellum.operators import accounts
+from vellum.operators import accounts, packing
 from vellum.sources import tables
 
 QUERIES: dict = {}
@@ -130,6 +130,5 @@ def latest_settings(spark, sf_dir):
 @query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'error' WHEN c_acctbal = 0 THEN NULL WHEN CAST(floor(c_acctbal) AS BIGINT) < 512 THEN 'error' WHEN CAST(floor(c_acctbal) AS BIGINT) > 9000 THEN 'error' ELSE 'ok' END AS verdict FROM customer""")
 def split_validation(spark, sf_dir):
     """Balances as wished part sizes in KB, between 512 and 9000."""
-    kb = F.floor("c_acctbal").cast("long")
-    verdict = F.when(F.col("c_acctbal") < 0, "error").when(F.col("c_acctbal") == 0, None).when((kb < 512) | (kb > 9000), "error").otherwise("ok")
-    return tables.load(spark, sf_dir, "customer").select("c_custkey", verdict.alias("verdict"))
+    kb = F.when(F.col("c_acctbal").between(0.001, 1), 1).otherwise(F.floor("c_acctbal")).cast("long")
+    return tables.load(spark, sf_dir, "customer").select("c_custkey", packing.split_size(kb, 9000).alias("verdict"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.functions import messages
-from vellum.operators import accounts, cleanup, layout, packing
+from vellum.operators import accounts, cleanup, layout, packing, service, structure
 from vellum.plans.account_queries import PLAN_SQL
 from vellum.plans.service_queries import JOBS
 from vellum.sources import packages, tables
@@ -44,8 +44,8 @@ def block_headings(spark, sf_dir):
 
 
 @query(f"""WITH {PLAN_SQL} SELECT plan, CASE currency WHEN 'XTR' THEN price || ' ⭐' ELSE '₹' || price END AS price_label,
-  concat_ws('; ', CASE kind WHEN 'sub' THEN 'Valid ' || days || ' days' ELSE credits || ' file credits' END, CASE WHEN kind <> 'sub' THEN 'Never expires — use anytime' WHEN daily_limit = 0 THEN 'Unlimited translations' ELSE daily_limit || ' files every day' END,
-  'Files up to ' || max_mb || ' MB', CASE priority WHEN 0 THEN 'Priority queue (skip the line)' WHEN 1 THEN 'Faster queue than Free' END) AS features FROM plans""")
+  concat_ws('; ', CASE kind WHEN 'sub' THEN days || ' days of access' ELSE 'credits: ' || credits END, CASE WHEN kind <> 'sub' THEN 'no end date' WHEN daily_limit = 0 THEN 'no daily limit' ELSE 'daily limit: ' || daily_limit || ' files' END,
+  'largest file: ' || max_mb || ' MB', CASE priority WHEN 0 THEN 'served first' WHEN 1 THEN 'served before free jobs' END) AS features FROM plans""")
 def plan_features(spark, sf_dir):
     c = F.col
     features = messages.plan_features(c("kind"), c("days"), c("daily_limit"), c("credits"), c("max_mb"), c("priority"))
@@ -78,8 +78,7 @@ def toc_prune(spark, sf_dir):
 
 @query("""SELECT user_id, count(*) FILTER (event_type <> 'error') AS ok, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1""")
 def broadcast_tally(spark, sf_dir):
-    bad = F.col("event_type") == "error"
-    return tables.load(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(~bad).alias("ok"), F.count_if(bad).alias("failed"))
+    return service.tally(tables.load(spark, sf_dir, "events"), "user_id", F.col("event_type") == "error")
 
 
 @query("""SELECT p_partkey, p_size <= 4 AS page_number FROM part""")
@@ -93,9 +92,9 @@ def page_number_lines(spark, sf_dir):
 SELECT origin, label, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL""")
 def pooled_labels(spark, sf_dir):
     """Chapters and labels pooled into one pass, told apart afterwards by their origin."""
-    a = tables.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), F.lit("chapter").alias("origin"))
-    b = tables.load(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("label"), F.lit("label").alias("origin"))
-    return a.unionByName(b).groupBy("origin", "label").agg(F.count("*").alias("n"))
+    a = tables.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
+    b = tables.load(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("label"))
+    return structure.pooled({"chapter": a, "label": b}).groupBy("origin", "label").agg(F.count("*").alias("n"))
 
 
 @query()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.operators import accounts, service
+from vellum.operators import accounts, service, structure
 from vellum.plans.account_queries import NOW, PAY_SQL, SUB_SQL, USE_SQL, MOVES_SQL, _moves, _paid
 from vellum.functions import text as T
 from vellum.sources import tables
@@ -99,7 +99,7 @@ def crash_recovery(spark, sf_dir):
 def request_status(spark, sf_dir):
     """Orders as requests: customers as items, a tenth of the price as characters."""
     items = F.when(F.col("o_orderkey") % 5 == 0, 0).otherwise(F.greatest(F.col("o_custkey") % 500, F.lit(1)))
-    code = service.request_status(F.col("o_custkey") % 11 != 0, items, F.col("o_totalprice") / 10, F.lit(True))
+    code = service.request_status(F.col("o_custkey") % 11 != 0, items, F.col("o_totalprice") / 10)
     return tables.load(spark, sf_dir, "orders").select("o_orderkey", code.alias("code"))
 
 
@@ -116,4 +116,4 @@ def worker_reconcile(spark, sf_dir):
 def unused_media(spark, sf_dir):
     """Parts that no large order uses, as media that no kept slice uses."""
     used = tables.load(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
-    return tables.load(spark, sf_dir, "part").select("p_partkey").join(used, "p_partkey", "left_anti")
+    return structure.unused(tables.load(spark, sf_dir, "part").select("p_partkey"), used, "p_partkey")

@@ -78,7 +78,7 @@ def batch_plan(spark, sf_dir):
 def translate_expand(spark, sf_dir):
     """Distinct segments of a source through a provider that fails for some, joined back to every place."""
     segs = _segments(spark, sf_dir)
-    done = translate.run(segs.select("source", "body").distinct(), translate.Tagging("hi", fails_at=97))
+    done = translate.run(segs.select("source", "body").distinct(), translate.Tagging("hi", fails_at=97), least=1)
     return segments.expand(segs, done, ["source"]).select("doc_id", "pos", "translated")
 
 
@@ -201,7 +201,7 @@ def bookmark_ranges(spark, sf_dir):
 @query("""SELECT source, CAST(median(n_chars) AS DOUBLE) AS median, list_sort(list(n_chars))[len(list(n_chars)) // 2 + 1] AS upper_median FROM documents GROUP BY source""")
 def medians(spark, sf_dir):
     """Interpolating and upper median of document sizes."""
-    return load(spark, sf_dir, "documents").groupBy("source").agg(F.median("n_chars").alias("median"), structure.upper_median(F.collect_list("n_chars")).alias("upper_median"))
+    return structure.medians(load(spark, sf_dir, "documents").select("source", "n_chars"), "source", "n_chars")
 
 
 @query("""SELECT doc_id, lang, greatest(512, CAST(floor(n_chars * (3000000.0 / sum(n_chars) OVER (PARTITION BY source, lang))) AS BIGINT) + 200) AS scaled FROM documents""")
@@ -210,29 +210,6 @@ def size_estimates(spark, sf_dir):
     return structure.size_estimates(docs, "g", "n_chars", "total").select("doc_id", "lang", "scaled")
 
 
-NAMES = [("a.EPUB", None), ("b.txt", "application/pdf"), ("c", "text/html; charset=utf-8"), ("d.doc", "application/msword"), (".md", "text/markdown"), ("e.tar.htm", ""), (None, " Application/PDF "), ("", None)]
-SIZES = ["500kb", "25 MB", "1.5g", "1,5g", "20", "0", "x", "12 TB", " 7 k ", "0.5m", ""]
-PATHS = [("OEBPS", "text/ch1.xhtml#a"), ("OEBPS/text", "../images/a%20b.png"), ("", "./x/../y.html"), ("a/b", "../../c"), ("a", "b+c.html"), ("", "../up.html")]
-
-
-@query("""SELECT * FROM (VALUES (1, '.epub'), (2, '.txt'), (3, '.html'), (4, NULL), (5, '.md'), (6, '.htm'), (7, '.pdf'), (8, NULL)) v(n, format)""")
-def detect_format(spark, sf_dir):
-    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(NAMES, 1)], "n int, name string, media string")
-    return rows.select("n", files.detect_format(F.col("name"), F.col("media")).alias("format"))
-
-
-@query("""SELECT * FROM (VALUES (1, 500), (2, 25600), (3, 1572864), (4, 1572864), (5, 20480), (6, 0), (7, NULL), (8, NULL), (9, 7), (10, 512), (11, NULL)) v(n, kb)""")
-def size_parse(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(SIZES, 1)), "n int, text string")
-    return rows.select("n", T.parse_size_kb(F.col("text")).cast("int").alias("kb"))
-
-
-@query("""SELECT * FROM (VALUES (1, 'OEBPS/text/ch1.xhtml'), (2, 'OEBPS/images/a b.png'), (3, 'y.html'), (4, 'c'), (5, 'a/b+c.html'), (6, '../up.html')) v(n, path)""")
-def path_normalise(spark, sf_dir):
-    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(PATHS, 1)], "n int, base string, href string")
-    return rows.select("n", files.normal_path(F.col("base"), F.col("href")).alias("path"))
-
-
 @query("""SELECT doc_id, CASE WHEN n_chars >= 1000000 THEN 'M' WHEN n_chars >= 1000 THEN CAST(n_chars // 1000 AS VARCHAR) || 'k' ELSE CAST(n_chars AS VARCHAR) END AS chars,
   CAST(CAST(round_even(n_chars / 1024.0, 0) AS BIGINT) AS VARCHAR) || ' KB' AS size FROM documents""")
 def size_format(spark, sf_dir):

@@ -5,10 +5,14 @@ Python opens zips and XML, a file in a row; which entries, pages and media belon
 
 from __future__ import annotations
 
+import codecs
 import io
+import re
 import zipfile
 from xml.etree import ElementTree
 
+from functools import reduce
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -50,6 +54,24 @@ def _decode(data: bytes) -> str:
     return data.decode("latin-1")
 
 
+_DECLARED = re.compile(rb"(?:charset|encoding)\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.I)
+
+
+def decode_markup(data: bytes) -> str:
+    """Text of HTML or XML bytes: by the encoding that the first 4 KiB declare, if it is a known one, else as _decode."""
+    declared = _DECLARED.search(data[:4096])
+    if declared and data[:2] not in (b"\xff\xfe", b"\xfe\xff"):
+        try:
+            return data.decode(codecs.lookup(declared[1].decode()).name, "replace").removeprefix("\ufeff")
+        except (LookupError, ValueError):
+            pass
+    return _decode(data)
+
+
+def decoded_markup(content: Column) -> Column:
+    return F.arrow_udf(lambda column: pa.array([None if v is None else decode_markup(v) for v in column.to_pylist()], pa.string()), "string")(content)
+
+
 def entries(packed: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """(key, ix, name, stored, data, error): a row for each entry of each zip; one with an error if it is no zip."""
 
@@ -129,7 +151,7 @@ def spine(rows: DataFrame, key: str = "path") -> DataFrame:
 
 def chapters(pages: DataFrame, key: str = "path") -> DataFrame:
     """(key, ch, name, title, html): pages with content, titled by first heading, page title or number."""
-    html = pages.withColumn("html", decoded(F.col("data"))).drop("data")
+    html = pages.withColumn("html", decoded_markup(F.col("data"))).drop("data")
     page = F.concat_ws("\x00", F.col(key), F.col("spine_ix").cast("string"))
     nodes = markup.nodes(html.withColumn("_page", page), "html", "_page")
     text = T.collapse(F.col("text"))
@@ -200,3 +222,19 @@ def html_blocks(pages: DataFrame, key: str = "path", page: str = "html") -> Data
     """(key, pos, tag, body): headings, paragraphs, list items and quotations of pages."""
     nodes = markup.nodes(pages, page, key).where(F.col("tag").rlike("^(?:h[1-6]|p|li|blockquote|pre|td|th)$"))
     return nodes.select(key, F.col("node").alias("pos"), F.when(F.col("tag").rlike("^h[1-6]$"), F.col("tag")).when(F.col("tag") == "li", "li").otherwise("p").alias("tag"), T.collapse(F.col("text")).alias("body")).where("body != ''")
+
+
+def any_blocks(documents: DataFrame) -> DataFrame:
+    """(path, pos, tag, body): blocks of files of any readable kind. documents: path, ext, kind, content."""
+    of = lambda kind: documents.where(F.col("kind") == kind)
+    texts = of("txt").select("path", "ext", decoded(F.col("content")).alias("text"))
+    book = chapters(spine(entries(of("epub")))).select("path", "ch", F.concat_ws("\x00", "path", F.col("ch").cast("string")).alias("part"), "html")
+    book = book.select("path", "ch", "part").join(html_blocks(book.select("part", "html"), "part"), "part")
+    found = [
+        text_blocks(texts.where("ext != '.md'").drop("ext")),
+        markdown_blocks(texts.where("ext = '.md'").drop("ext")),
+        html_blocks(of("html").select("path", decoded_markup(F.col("content")).alias("html"))),
+        docx_blocks(entries(of("docx"))),
+        book.select("path", (F.col("ch").cast("long") * (1 << 32) + F.col("pos")).alias("pos"), "tag", "body"),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), [f.select("path", F.col("pos").cast("long").alias("pos"), "tag", "body") for f in found])
