@@ -11,6 +11,7 @@ import zipfile
 from urllib.parse import unquote
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,12 +83,13 @@ def cleaned_books(packed: DataFrame, key: str = "path", content: str = "content"
     Pages that leave go with their entries in the manifest, the spine and the contents lists of both kinds; marked
     blocks are cut out of the pages that stay. Prolog, comments and all other bytes of the edited entries stay.
     """
-    pages = packages.spine(packages.entries(packed, key, content), key).withColumn("html", packages.decoded_markup(F.col("data")))
-    removed = cleanup.removed_pages(pages, key)
+    # kept on disk, as what goes is worked out from the pages in several passes
+    pages = packages.spine(packages.entries(packed, key, content), key).withColumn("html", packages.decoded_markup(F.col("data"))).persist(StorageLevel.DISK_ONLY)
+    removed = cleanup.removed_pages(pages, key).persist(StorageLevel.DISK_ONLY)
     staying = pages.join(removed.select(key, "name"), [key, "name"], "left_anti")
     single = Window.partitionBy(key)
     staying = staying.withColumn("_n", F.count("*").over(single)).join(removed.select(key).distinct().withColumn("_some", F.lit(True)), key, "left").where("_n > 1 OR _some").drop("_n", "_some")
-    dropped = cleanup.dropped_blocks(staying, key).join(staying.select(key, "spine_ix", "name"), [key, "spine_ix"])
+    dropped = cleanup.dropped_blocks(staying, key).join(pages.select(key, "spine_ix", "name"), [key, "spine_ix"]).persist(StorageLevel.DISK_ONLY)
     gone = removed.groupBy(key).agg(F.collect_list("name").alias("_gone"))
     cut = dropped.groupBy(key, "name").agg(F.collect_list("node").alias("nodes")).groupBy(key).agg(F.collect_list(F.struct("name", "nodes")).alias("_cut"))
     notes = cleanup.notes(removed, dropped, key).groupBy(key).agg(F.sort_array(F.collect_list("note")).alias("notes"))
