@@ -165,7 +165,7 @@ def test_text_parts_fit(spark):
         text = "\n".join("x" * rng.choice([0, 0, 5, 20, 60]) for _ in range(rng.randrange(1, 50)))
         parts = packing.cut_text(text, 64)
         assert "\n".join(parts) == text and all(len(p) + 1 <= 64 for p in parts)
-    assert packing.cut_text("a\nb\n\nc\nd", 7) == ["a\nb\n", "c\nd"] and packing.cut_text("", 7) == [""]
+    assert packing.cut_text("a\nb\n\nc\nd", 6) == ["a\nb\n", "c\nd"] and packing.cut_text("", 7) == [""]
     row = packing.split_texts(spark.createDataFrame([("a.txt", "y" * 50 + "\n" + "z")], "name string, text string"), 20, least=1).first()
     assert row.error == "no part can be smaller than 50 bytes" and row.parts == 2
 

@@ -134,11 +134,11 @@ def medians(df: DataFrame, key: str, value: str) -> DataFrame:
 
     Works on how often each value occurs, so no group is gathered.
     """
-    times = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
+    times = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_times"))
     w = Window.partitionBy(key)
-    upto = times.withColumn("upto", F.sum("n").over(w.orderBy(value))).withColumn("all", F.sum("n").over(w))
-    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col(value)))
-    low, high = at(F.floor((F.col("all") + 1) / 2)), at(F.floor(F.col("all") / 2) + 1)
+    upto = times.withColumn("_upto", F.sum("_times").over(w.orderBy(value))).withColumn("_all", F.sum("_times").over(w))
+    at = lambda place: F.min(F.when(F.col("_upto") >= place, F.col(value)))
+    low, high = at(F.floor((F.col("_all") + 1) / 2)), at(F.floor(F.col("_all") / 2) + 1)
     return upto.groupBy(key).agg(((low + high) / 2).alias("median"), high.alias("upper_median"))
 
 
