@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.config import ADMIN_MB, CREDIT_MB, DAY, FREE_CHARS, FREE_MB, PLAN_COLUMNS, PLANS
@@ -27,43 +27,61 @@ def rank(plan: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), plan)
 
 
+def _by_day(rows: DataFrame, order: list[str]) -> tuple:
+    """rows with the day of at, and the windows over a user's day: up to a row, and before it."""
+    w = Window.partitionBy("user_id", "day").orderBy(*order)
+    past, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("day", F.floor(F.col("at") / DAY)), past, before
+
+
 def subscriptions(payments: DataFrame) -> DataFrame:
-    """(user_id, until, plan): each user's subscription after all payments, folded in the order of their times.
+    """(user_id, until, plan): each user's subscription after all payments, in the order of their times.
 
     payments: user_id, at (epoch seconds), id, plan, days. The same plan extends; another one adds its days and the
-    higher tier stays. A lapsed subscription leaves nothing but its end. Stars are stored as premium.
-    """
-    key = F.when(F.col("plan") == "stars", "premium").otherwise(F.col("plan"))
-    events = payments.select("user_id", F.struct("at", "id", key.alias("plan"), "days").alias("e"))
-    start = F.struct(F.lit(0).cast("long").alias("until"), F.lit("").alias("plan"))
+    higher tier stays. A lapsed subscription leaves nothing but its end. Stars are stored as premium, and so is a
+    plan that is unknown or missing; missing days add nothing.
 
-    def step(s, e):
-        live = s["until"] > e["at"]
-        until = F.greatest(e["at"], s["until"]) + e["days"] * DAY
-        keep = live & (s["plan"] != e["plan"]) & (rank(e["plan"]) < rank(s["plan"]))
-        return F.struct(until.cast("long").alias("until"), F.when(keep, s["plan"]).otherwise(e["plan"]).alias("plan"))
-
-    folded = events.groupBy("user_id").agg(F.aggregate(F.sort_array(F.collect_list("e")), start, step).alias("s"))
-    return folded.select("user_id", "s.until", "s.plan")
+    until is the paid time so far plus the largest (start - time paid before it), so sums and maxima of a day are
+    enough for the days after it: a task sorts one day of a user, and one row a day is composed afterwards.
+    """
+    key = F.when(F.col("plan").isin(*[p[0] for p in PLANS if p[0] != "stars"]), F.col("plan")).otherwise("premium")
+    paid = (F.coalesce("days", F.lit(0)) * DAY).cast("long")
+    rows, past, before = _by_day(payments.select("user_id", "at", "id", key.alias("plan"), paid.alias("paid")), ["at", "id", "plan", "paid"])
+    rows = rows.withColumn("sum", F.sum("paid").over(past)).withColumn("lead", F.col("at") - F.col("sum") + F.col("paid"))
+    rows = rows.withColumn("lead_before", F.max("lead").over(before)).withColumn("n", F.row_number().over(past))
+    days = Window.partitionBy("user_id").orderBy("day")
+    earlier = days.rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("user_id", "day").agg(F.sum("paid").alias("paid"), F.max("lead").alias("lead"))
+    starts = starts.withColumn("base", F.coalesce(F.sum("paid").over(earlier), F.lit(0)))
+    starts = starts.withColumn("best", F.greatest(F.lit(0), F.max(F.col("lead") - F.col("base")).over(earlier)))
+    joined = rows.join(starts.select("user_id", "day", "base", "best"), ["user_id", "day"])
+    held = F.col("base") + F.col("sum") - F.col("paid") + F.greatest("best", F.col("lead_before") - F.col("base"))
+    joined = joined.withColumn("until", F.greatest("at", held) + F.col("paid")).withColumn("lapsed", held <= F.col("at"))
+    joined = joined.withColumn("run", F.sum(F.col("lapsed").cast("int")).over(past))
+    top = F.max(F.struct(rank(F.col("plan")).alias("rank"), "n", "plan"))
+    runs = joined.groupBy("user_id", "day", "run").agg(top.alias("top"), F.max_by("until", "n").alias("until"))
+    last = runs.groupBy("user_id", "day").agg(F.max("run").alias("run"), F.max_by("top", "run").alias("top"), F.max_by("until", "run").alias("until"))
+    tier = F.struct("top.rank", "day", "top.plan")
+    epoch = F.sum((F.col("run") > 0).cast("int")).over(days.rowsBetween(Window.unboundedPreceding, 0))
+    tiers = last.select("user_id", "day", "until", tier.alias("tier"), epoch.alias("epoch")).groupBy("user_id", "epoch").agg(F.max("tier").alias("tier"), F.max_by("until", "day").alias("until"))
+    return tiers.groupBy("user_id").agg(F.max_by("until", "epoch").alias("until"), F.max_by("tier.plan", "epoch").alias("plan"))
 
 
 def ledger(events: DataFrame) -> DataFrame:
     """(user_id, balance, spent, refused): grants add, a spend takes one credit if there is one.
 
-    events: user_id, at, id, delta (positive: a grant; -1: a spend). Balances never fall below zero.
+    events: user_id, at, id, delta (positive: a grant; -1: a spend; missing: nothing). Balances never fall below zero.
+
+    What was refused is the deepest point of the sum without a floor, which a day gives by its own sum and minimum:
+    a task sorts one day of a user, and one row a day is composed afterwards.
     """
-    start = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("balance", "spent", "refused")])
-
-    def step(s, e):
-        spend, can = e["delta"] < 0, s["balance"] > 0
-        return F.struct(
-            F.when(spend & ~can, s["balance"]).otherwise(s["balance"] + e["delta"]).alias("balance"),
-            (s["spent"] + (spend & can).cast("long")).alias("spent"),
-            (s["refused"] + (spend & ~can).cast("long")).alias("refused"),
-        )
-
-    folded = events.groupBy("user_id").agg(F.aggregate(F.sort_array(F.collect_list(F.struct("at", "id", "delta"))), start, step).alias("s"))
-    return folded.select("user_id", "s.*")
+    rows, past, _ = _by_day(events.select("user_id", "at", "id", F.coalesce("delta", F.lit(0)).alias("delta")), ["at", "id", "delta"])
+    rows = rows.withColumn("sum", F.sum("delta").over(past))
+    days = rows.groupBy("user_id", "day").agg(F.sum("delta").alias("sum"), F.min("sum").alias("low"), F.count_if(F.col("delta") < 0).alias("spends"))
+    earlier = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("low", F.coalesce(F.sum("sum").over(earlier), F.lit(0)) + F.col("low"))
+    total = days.groupBy("user_id").agg(F.sum("sum").alias("sum"), F.greatest(F.lit(0), -F.min("low")).alias("refused"), F.sum("spends").alias("spends"))
+    return total.select("user_id", (F.col("sum") + F.col("refused")).alias("balance"), (F.col("spends") - F.col("refused")).alias("spent"), "refused")
 
 
 def daily_usage(usage: DataFrame) -> DataFrame:
