@@ -68,7 +68,12 @@ def translated_books(packed: DataFrame, provider, key: str = "path", content: st
     """(key, content): packages whose pages are translated in place; the rest of the package stays."""
     pages = packages.spine(packages.entries(packed, key, content), key).select(key, "name", packages.decoded_markup(F.col("data")).alias("html"))
     pages = pages.withColumn("_page", F.concat_ws("\x00", key, "name"))
-    new = translated_pages(pages, provider, "_page").groupBy(key).agg(F.collect_list(F.struct("name", F.encode("html", "UTF-8").alias("data"))).alias("_pages"))
+    return rebuilt(packed, translated_pages(pages, provider, "_page").select(key, "name", F.encode("html", "UTF-8").alias("data")), key, content)
+
+
+def rebuilt(packed: DataFrame, changed: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """(key, content): packages with their changed entries (key, name, data); one without any keeps its bytes."""
+    new = changed.groupBy(key).agg(F.collect_list(F.struct("name", "data")).alias("_pages"))
 
     def run(contents: pa.Array, pages: pa.Array) -> pa.Array:
         return pa.array([c if p is None else rezipped(c, {e["name"]: e["data"] for e in p}) for c, p in zip(contents.to_pylist(), pages.to_pylist())], pa.binary())
@@ -158,7 +163,7 @@ def _pruned(rows: list[dict], base: str, gone: set[str], kind: str) -> list[tupl
 
 
 def convert(documents: DataFrame, to: str) -> DataFrame:
-    """(path, name, content): files as the kind of the extension to (.txt, .html or .epub).
+    """(path, name, content): files as the kind of the extension to (.txt, .html, .epub or .docx).
 
     documents: path, name, ext, kind, content. A file of that kind is copied byte for byte; others are read as blocks
     and written anew. Rows of an unknown or unreadable kind have null content.
@@ -170,9 +175,9 @@ def convert(documents: DataFrame, to: str) -> DataFrame:
     blocks = packages.any_blocks(others)
     titles = others.select("path", F.regexp_replace("name", r"\.[^./]+$", "").alias("title"), F.lit(None).cast("string").alias("author"))
     titles = titles.join(blocks.select("path").distinct(), "path", "left_semi")
-    made = {".txt": writers.as_text, ".html": writers.as_html, ".epub": writers.as_epub}[to](blocks, titles)
+    made = {".txt": writers.as_text, ".html": writers.as_html, ".epub": writers.as_epub, ".docx": writers.as_word}[to](blocks, titles)
     data = F.col(made.columns[1])
-    made = made.select("path", (data if to == ".epub" else F.encode(data, "UTF-8")).alias("content"))
+    made = made.select("path", (data if to in (".epub", ".docx") else F.encode(data, "UTF-8")).alias("content"))
     return copies.unionByName(others.select("path", name.alias("name")).join(made, "path", "left").select("path", "name", "content"))
 
 
