@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import service, structure
+from vellum.operators import service, structure, translate
 
 
 def test_runs_are_cut_by_tabs_and_breaks(spark):
@@ -19,3 +20,30 @@ def test_table_rows_and_image_names(spark):
 def test_health(spark):
     row = service.health(spark.createDataFrame([(3, True), (4, False)], "strings long, served boolean"), "local", 7).first()
     assert (row.status, row.requests, row.strings, row.errors, row.max_items) == ("ok", 2, 7, 1, 400)
+
+
+class Scripted:
+    """Raises or returns what it is told, and counts its calls."""
+
+    def __init__(self, *acts):
+        self.acts, self.calls = list(acts), 0
+
+    def translate(self, texts):
+        self.calls += 1
+        act = self.acts.pop(0) if self.acts else texts
+        if isinstance(act, Exception):
+            raise act
+        return act
+
+
+def test_second_provider_takes_over_and_rests():
+    bad = lambda n: Scripted(*[translate.Failed("no")] * n)
+    second = Scripted(translate.Failed("once"), ["x"])
+    assert translate.Fallback(bad(1), second, pause=0).translate(["a"]) == ["x"] and second.calls == 2
+    assert translate.Fallback(Scripted(["y"]), second).translate(["a"]) == ["y"] and second.calls == 2
+    busy = Scripted(translate.Busy("429"), ["z"])
+    both = translate.Fallback(bad(2), busy, pause=0, rest=60)
+    for _ in range(2):
+        with pytest.raises(translate.Failed):
+            both.translate(["a"])
+    assert busy.calls == 1

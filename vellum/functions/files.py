@@ -82,6 +82,16 @@ def safe_css(css: Column) -> Column:
     return F.regexp_replace(css, r"(?i)url\s*\([^)]*\)", "none")
 
 
+def short_id(url: Column) -> Column:
+    """Ten hex digits that stand for an address."""
+    return F.left(F.sha1(url), F.lit(10))
+
+
+def is_image(name: Column) -> Column:
+    """Whether a name has the extension of a picture that packages can hold."""
+    return extension(name).isin(".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tif", ".tiff", ".webp", ".svg")
+
+
 def data_uri(mime: Column, data: Column) -> Column:
     return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(data))
 

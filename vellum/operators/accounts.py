@@ -138,6 +138,18 @@ def checkout_ok(payment: Column, user: Column, currency: Column, amount: Column)
     return payment.isNotNull() & (payment["user_id"] == user) & (payment["status"] != "paid") & (currency == "XTR") & (amount == payment["amount"])
 
 
+def updated(log: DataFrame, key: str, order: str, fields: list[str], floored: tuple[str, ...] = ()) -> DataFrame:
+    """One row a key: the last value that an update gave to each field, null if none did; floored ones are 0 at least."""
+    last = [F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fields]
+    found = log.groupBy(key).agg(*last)
+    return found.select(key, *[F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(0))).alias(c) if c in floored else c for c in fields])
+
+
+def settings_under(settings: DataFrame, prefix: str, name: str = "name") -> DataFrame:
+    """Settings whose name begins with the prefix, letter case and all, named by the rest."""
+    return settings.where(F.col(name).startswith(prefix)).withColumn(name, F.substring(name, len(prefix) + 1, 1 << 30))
+
+
 def latest(log: DataFrame, key: str, order: str, deleted: str | None = None) -> DataFrame:
     """Current rows of an append-only log: the last entry of each key, without those deleted."""
     rest = [c for c in log.columns if c not in (key, order)]

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.functions import files
 from vellum.functions import text as T
 
 
@@ -114,6 +115,11 @@ def ranged(bookmarks: DataFrame, parts: DataFrame, doc: str) -> DataFrame:
     return b.join(p, hit).select(F.col(f"p.{doc}"), "p.part", "b.title", (F.col("b.page") - F.col("p.start")).alias("page"))
 
 
+def image_order(images: DataFrame, keys: list[str], name: str = "name") -> DataFrame:
+    """Pictures of a package with their place (ix, from 1) by name; files of other kinds are left out."""
+    return images.where(files.is_image(F.col(name))).withColumn("ix", F.row_number().over(Window.partitionBy(*keys).orderBy(name)))
+
+
 def image_names(images: DataFrame, doc: str, order: list[str], data: str, least: int = 64) -> DataFrame:
     """(doc, sha1, name, uses): distinct images of a document, named by first use; tiny ones are left out."""
     kept = images.where(F.octet_length(data) >= least).withColumn("sha1", F.sha1(F.col(data).cast("binary")))

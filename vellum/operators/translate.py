@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from vellum.config import BATCH_CHARS, BATCH_ITEMS
+from vellum.config import BATCH_CHARS, BATCH_ITEMS, COOL_BUSY
 from vellum.operators.packing import next_fit
 
 
@@ -21,6 +21,10 @@ class Failed(Exception):
     """A provider could not translate a batch."""
 
 
+class Busy(Failed):
+    """A provider asks for a rest."""
+
+
 class Provider(Protocol):
     def translate(self, texts: list[str]) -> list[str]:
         """One reply for each text, or Failed. May be called again with the same texts."""
@@ -40,6 +44,32 @@ class Tagging:
         return [f"[{self.lang}] {t}" for t in texts]
 
 
+class Fallback:
+    """A provider, and another one for what it fails at: a few attempts with pauses, none while that one rests.
+
+    A rest is known to the process that was told so; other workers find out themselves.
+    """
+
+    def __init__(self, first: Provider, second: Provider, attempts: int = 2, pause: float = 1.5, rest: float = COOL_BUSY):
+        self.first, self.second, self.attempts, self.pause, self.rest, self.until = first, second, attempts, pause, rest, 0.0
+
+    def translate(self, texts: list[str]) -> list[str]:
+        try:
+            return self.first.translate(texts)
+        except Failed:
+            pass
+        for k in range(self.attempts):
+            if time.monotonic() < self.until:
+                break
+            try:
+                return self.second.translate(texts)
+            except Busy:
+                self.until = time.monotonic() + self.rest
+            except Failed:
+                time.sleep(self.pause * (k + 1))
+        raise Failed("neither provider answered")
+
+
 class Http:
     """A worker's endpoint: posts text_list, lang and source, and takes as many texts back."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import files, messages
 from vellum.functions import text as T
-from vellum.operators import cleanup, layout, packing, service, structure
+from vellum.operators import accounts, cleanup, layout, packing, service, structure
 from vellum.plans.service_queries import JOBS
 from vellum.plans.text_queries import LINES, W
 from vellum.sources import tables
@@ -173,3 +173,39 @@ def split_chapter_parts(spark, sf_dir):
     turns = tables.load(spark, sf_dir, "conversations")
     chapters = turns.select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("ch"), "role", T.lines(F.coalesce("text", F.lit(""))).alias("blocks"), F.lit(0).cast("long").alias("media"))
     return packing.split_chapters(chapters.withColumnRenamed("role", "title"), 8192, css=300)
+
+
+@query("""SELECT page_id, left(sha1(url), 10) AS short FROM pages""")
+def short_ids(spark, sf_dir):
+    return tables.load(spark, sf_dir, "pages").select("page_id", files.short_id(F.col("url")).alias("short"))
+
+
+@query("""SELECT doc_id, md5(left(text, 150)) AS head, md5(right(text, 120)) AS tail FROM documents""")
+def clipped_texts(spark, sf_dir):
+    text = F.col("text")
+    return tables.load(spark, sf_dir, "documents").select("doc_id", F.md5(T.clipped(text, 150)).alias("head"), F.md5(T.tail(text, 120)).alias("tail"))
+
+
+@query("""SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id % 10, doc_id) AS ix FROM documents WHERE doc_id % 4 < 2""")
+def image_order(spark, sf_dir):
+    """Documents as pictures of a package for each language, named by last digits, half of them of other kinds."""
+    n = F.col("doc_id")
+    name = F.concat((n % 10).cast("string"), F.format_string("%012d", n), _dealt(n, [".PNG", ".jpeg", ".txt", ""]))
+    found = structure.image_order(tables.load(spark, sf_dir, "documents").select("doc_id", "lang", name.alias("name")), ["lang"])
+    return found.select("doc_id", F.col("ix").cast("long").alias("ix"))
+
+
+@query("""SELECT p_partkey, substr(name, 5) AS name FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'lim_' WHEN 1 THEN 'limX' ELSE 'LIM_' END || p_size AS name FROM part) WHERE p_partkey % 3 = 0""")
+def settings_under(spark, sf_dir):
+    """Parts as settings."""
+    settings = tables.load(spark, sf_dir, "part").select("p_partkey", F.concat(_dealt(F.col("p_partkey"), ["lim_", "limX", "LIM_"]), F.col("p_size").cast("string")).alias("name"))
+    return accounts.settings_under(settings, "lim_")
+
+
+@query("""WITH log AS (SELECT user_id, struct_pack(t := epoch_us(ts), i := event_id) AS moment, CASE WHEN event_id % 3 = 0 THEN event_type END AS lang, CASE WHEN event_id % 3 = 1 THEN event_id % 40 - 20 END AS credits FROM events)
+SELECT user_id, arg_max(lang, moment) FILTER (lang IS NOT NULL) AS lang, greatest(0, arg_max(credits, moment) FILTER (credits IS NOT NULL)) + CASE WHEN max(credits) IS NULL THEN NULL ELSE 0 END AS credits FROM log GROUP BY 1""")
+def field_updates(spark, sf_dir):
+    """Events as updates of one field each."""
+    n = F.col("event_id")
+    log = tables.load(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), F.when(n % 3 == 0, F.col("event_type")).alias("lang"), F.when(n % 3 == 1, n % 40 - 20).alias("credits"))
+    return accounts.updated(log, "user_id", "at", ["lang", "credits"], floored=("credits",))
