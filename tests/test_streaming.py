@@ -75,3 +75,27 @@ def test_pending_choices(spark, tmp_path):
     df = spark.createDataFrame(rows, "user_id long, choice string, ts timestamp")
     got = result(spark, accounts.pending_choices(stream(spark, df, tmp_path, "picks", parts=5, order="ts").withWatermark("ts", "1 second")), tmp_path, "choices")
     assert sorted((r.user_id, r.choice, r.timed_out) for r in got.collect()) == [(1, "epub", False), (2, "pdf", True), (3, "txt", False)]
+
+
+def test_waits_are_extended(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    at = lambda s: t + timedelta(seconds=s)
+    rows = [
+        (1, "epub", at(0)), (1, "pdf", at(80)), (1, "txt", at(120)), (1, "done", at(160)),  # each choice leaves 45 s
+        (2, "epub", at(0)), (2, "late", at(91)), (2, "done", at(92)),  # 90 s are over: a wait of its own
+        (3, "custom", at(0)), (3, "done", at(170)),  # typing: a second window
+        (4, "custom", at(0)), (4, "done", at(181)),
+        (5, "epub", at(4000)), (5, "done", at(4001)),
+    ]
+    df = spark.createDataFrame(rows, "user_id long, choice string, ts timestamp")
+    want = [(1, "txt", False), (2, "epub", True), (2, "late", False), (3, "custom", False), (4, "custom", True), (5, "epub", False)]
+    for parts in (1, 12):
+        got = result(spark, accounts.pending_choices(stream(spark, df, tmp_path, f"waits{parts}", parts=parts, order="ts").withWatermark("ts", "1 second")), tmp_path, f"waited{parts}")
+        assert sorted(((r.user_id, r.choice, r.timed_out) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_banned_user_loses_the_slot(spark, tmp_path):
+    rows = [(1, 10, "queued", 1, False), (1, 10, "running", 2, True), (1, 11, "queued", 3, False), (1, 11, "cancelled", 4, False), (1, 12, "queued", 5, False)]
+    df = spark.createDataFrame(rows, "user_id long, job_id long, status string, seq long, banned boolean")
+    got = result(spark, accounts.job_slots(stream(spark, df, tmp_path, "bans", order="seq")), tmp_path, "banned_slots")
+    assert sorted((r.job_id, r.verdict) for r in got.collect()) == [(10, "accepted"), (10, "cancelled"), (11, "accepted"), (11, "cancelled"), (12, "accepted")]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.config import COOL_BUSY, COOL_FAILS, COOL_PING, FAILS, REQUEST_CHARS, REQUEST_ITEMS
+from vellum.functions.text import trim
 
 
 def dashboard(users: DataFrame, jobs: DataFrame, payments: DataFrame, now: int) -> DataFrame:
@@ -117,9 +118,25 @@ def recover(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("status", F.when(F.col("status").isin("queued", "running"), "failed").otherwise(F.col("status")))
 
 
-def request_status(secret_ok: Column, n_items: Column, n_chars: Column) -> Column:
-    """HTTP status of a request to a worker. Whether its service then succeeds is told in the body of the 200."""
-    return F.when(~secret_ok, 401).when(n_items == 0, 200).when((n_items > REQUEST_ITEMS) | (n_chars > REQUEST_CHARS), 413).otherwise(200)
+def start_state(cancelled: Column, banned: Column, kept: Column) -> Column:
+    """Status of a job whose turn has come. kept: its file is still there."""
+    return F.when(cancelled | banned, "cancelled").when(~kept, "failed").otherwise("running")
+
+
+def request_status(secret_ok: Column, n_items: Column, n_chars: Column, known: Column | None = None, parsed: Column | None = None) -> Column:
+    """HTTP status of a request to a worker: known route, secret, body, size. Whether its service then succeeds is told in the body of the 200."""
+    known, parsed = (F.lit(True) if c is None else c for c in (known, parsed))
+    asked = F.when(~known, 404).when(~secret_ok, 401).when(~parsed, 422).when(n_items == 0, 200)
+    return asked.when((n_items > REQUEST_ITEMS) | (n_chars > REQUEST_CHARS), 413).otherwise(200)
+
+
+def requests(bodies: DataFrame, body: str = "body", lang: str = "hi", source: str = "auto") -> DataFrame:
+    """Adds parsed, texts, lang, source from a JSON body. Anything but an object is not parsed; what it lacks is taken from the defaults."""
+    v = F.try_parse_json(body)
+    named = lambda key, default: F.coalesce(F.nullif(trim(F.try_variant_get(v, f"$.{key}", "string")), F.lit("")), F.lit(default))
+    texts = F.coalesce(F.try_variant_get(v, "$.text_list", "array<string>"), F.array().cast("array<string>"))
+    parsed = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    return bodies.withColumns({"parsed": parsed, "texts": texts, "lang": named("lang", lang), "source": named("source", source)})
 
 
 def load(jobs: DataFrame, workers: DataFrame) -> DataFrame:

@@ -103,6 +103,30 @@ def request_status(spark, sf_dir):
     return tables.load(spark, sf_dir, "orders").select("o_orderkey", code.alias("code"))
 
 
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, doc_id % 11 AS k FROM documents),
+p AS (SELECT *, k NOT IN (0, 1, 2) AS parsed, CASE WHEN k < 3 THEN 0 WHEN k = 3 THEN 500 WHEN k = 4 THEN 0 ELSE 2 END AS n_items FROM d)
+SELECT doc_id, parsed, n_items, CASE WHEN k < 3 OR k = 4 OR trim(lang) = '' THEN 'hi' ELSE lang END AS lang,
+  CASE WHEN doc_id % 13 = 0 THEN 404 WHEN doc_id % 7 = 0 THEN 401 WHEN NOT parsed THEN 422 WHEN n_items = 500 OR (n_items = 2 AND length(text) + 1 > 30000) THEN 413 ELSE 200 END AS code FROM p""")
+def request_bodies(spark, sf_dir):
+    """Documents as JSON bodies: two texts, 500, none, or no object at all."""
+    k, text = F.col("doc_id") % 11, F.coalesce(F.col("text"), F.lit(""))
+    texts = F.when(k == 3, F.array_repeat(F.lit("a"), 500)).otherwise(F.array(text, F.lit("b")))
+    body = F.when(k == 0, "no json {").when(k == 1, "[1, 2]").when(k == 2, "null").when(k == 4, '{"text_list": 7}').otherwise(F.to_json(F.struct(texts.alias("text_list"), "lang")))
+    asked = service.requests(tables.load(spark, sf_dir, "documents").select("doc_id", body.alias("body")))
+    n_chars = F.aggregate("texts", F.lit(0), lambda a, t: a + F.length(t))
+    code = service.request_status(F.col("doc_id") % 7 != 0, F.size("texts"), n_chars, F.col("doc_id") % 13 != 0, F.col("parsed"))
+    return asked.select("doc_id", "parsed", F.size("texts").alias("n_items"), "lang", code.alias("code"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 OR c_acctbal < 0 THEN 'cancelled' WHEN o_orderkey % 5 = 0 THEN 'failed' ELSE 'running' END AS status
+FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O'""")
+def job_starts(spark, sf_dir):
+    """Open orders as jobs whose turn has come; customers in debt are banned."""
+    users = tables.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") < 0).alias("banned"))
+    jobs = tables.load(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select("o_orderkey", "o_custkey").join(users, "o_custkey")
+    return jobs.select("o_orderkey", service.start_state(F.col("o_orderkey") % 7 == 0, F.col("banned"), F.col("o_orderkey") % 5 != 0).alias("status"))
+
+
 @query("""WITH a AS (SELECT s_suppkey AS url, s_suppkey % 2 = 0 AS want FROM supplier WHERE s_suppkey % 3 <> 0), b AS (SELECT s_suppkey AS url, s_suppkey % 5 = 0 AS have FROM supplier WHERE s_suppkey % 7 <> 0)
 SELECT coalesce(a.url, b.url) AS url, CASE WHEN have IS NULL THEN 'add' WHEN want IS NULL THEN 'remove' WHEN want AND NOT have THEN 'enable' WHEN NOT want AND have THEN 'disable' ELSE 'keep' END AS action FROM a FULL JOIN b ON a.url = b.url""")
 def worker_reconcile(spark, sf_dir):

@@ -32,20 +32,24 @@ ACTIVE = ("queued", "running")
 def job_slots(events: DataFrame) -> DataFrame:
     """(user_id, job_id, verdict): a user has one job at a time; others are refused until it ends.
 
-    events: user_id, job_id, status, seq. States: queued, running, done, failed, cancelled.
+    events: user_id, job_id, status, seq; banned if there is such a column. States: queued, running, done, failed,
+    cancelled. A job waiting in the queue is free at once when cancelled; one of a banned user is cancelled when it
+    would run.
     """
+    judged = events if "banned" in events.columns else events.withColumn("banned", F.lit(False))
 
     def step(key, frames, state: GroupState):
         held = state.get[0] if state.exists else None
         out = []
         for frame in frames:
             for r in frame.sort_values("seq").itertuples():
-                if r.status == "queued":
+                status = "cancelled" if r.status == "running" and r.banned else r.status
+                if status == "queued":
                     verdict = "accepted" if held is None else "refused"
                     held = r.job_id if held is None else held
                     out.append((key[0], r.job_id, verdict))
-                elif r.job_id == held and r.status not in ACTIVE:
-                    out.append((key[0], r.job_id, r.status))
+                elif r.job_id == held and status not in ACTIVE:
+                    out.append((key[0], r.job_id, status))
                     held = None
         if held is None:
             state.remove()
@@ -53,36 +57,49 @@ def job_slots(events: DataFrame) -> DataFrame:
             state.update((held,))
         yield pd.DataFrame(out, columns=["user_id", "job_id", "verdict"])
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, job_id long, verdict string", "held long", "append", GroupStateTimeout.NoTimeout)
+    return judged.groupBy("user_id").applyInPandasWithState(step, "user_id long, job_id long, verdict string", "held long", "append", GroupStateTimeout.NoTimeout)
 
 
-def pending_choices(choices: DataFrame, wait_ms: int = 90_000) -> DataFrame:
-    """(user_id, choice, timed_out): the last choice of a user, or a timeout once nothing came for wait_ms.
+def pending_choices(choices: DataFrame, wait_ms: int = 90_000, more_ms: int = 45_000) -> DataFrame:
+    """(user_id, choice, timed_out): the last choice of a user, or a timeout once the wait is over.
 
-    choices: user_id, choice, ts with a watermark; done ends the wait at once.
+    choices: user_id, choice, ts with a watermark; done ends the wait at once. The wait is wait_ms from the first
+    choice; each further one leaves at least the lesser of wait_ms and more_ms. custom says that the user is typing:
+    a wait that ends meanwhile goes on once for wait_ms. Results do not depend on how rows fall into batches.
     """
+    names = ["user_id", "choice", "timed_out"]
 
     def step(key, frames, state: GroupState):
+        last, until, typing = state.get if state.exists else (None, 0, False)
+        rows = [] if state.hasTimedOut else [r for frame in frames for r in frame.itertuples()]
+        out = []
+
+        def expire(now):
+            nonlocal last, until, typing
+            if last is not None and now >= until and typing:
+                until, typing = until + wait_ms, False
+            if last is not None and now >= until:
+                out.append((key[0], last, True))
+                last = None
+
+        for r in sorted(rows, key=lambda r: r.ts):
+            at = int(r.ts.timestamp() * 1000)
+            expire(at)
+            if r.choice == "done":
+                out.extend([(key[0], last, False)] if last is not None else [])
+                last = None
+                continue
+            until = at + wait_ms if last is None else max(until, at + min(wait_ms, more_ms))
+            last, typing = r.choice, r.choice == "custom"
         if state.hasTimedOut:
-            last = state.get[0]
+            expire(state.getCurrentWatermarkMs())
+        if last is not None:
+            state.update((last, until, typing))
+            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame([(key[0], last, True)], columns=["user_id", "choice", "timed_out"])
-            return
-        last, out, newest = (state.get[0] if state.exists else None), [], 0
-        for frame in frames:
-            for r in frame.sort_values("ts").itertuples():
-                newest = max(newest, int(r.ts.timestamp() * 1000))
-                if r.choice == "done":
-                    out.append((key[0], last, False))
-                    last = None
-                else:
-                    last = r.choice
-        if last is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((last,))
-            state.setTimeoutTimestamp(max(newest + wait_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["user_id", "choice", "timed_out"])
+        yield pd.DataFrame(out, columns=names)
 
-    return choices.groupBy("user_id").applyInPandasWithState(step, "user_id long, choice string, timed_out boolean", "last string", "append", GroupStateTimeout.EventTimeTimeout)
+    return choices.groupBy("user_id").applyInPandasWithState(
+        step, "user_id long, choice string, timed_out boolean", "last string, until long, typing boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )
