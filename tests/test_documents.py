@@ -82,6 +82,23 @@ def test_epub_round_trip(spark):
     assert "<h1>Chapter 5</h1>" in writers.as_html(whole, titles).first().html
 
 
+def test_cover_styles_and_pictures(spark):
+    blocks = spark.createDataFrame([("b", 1, "h1", "One & two"), ("b", 2, "img", "z.png"), ("b", 3, "p", "Text"), ("b", 4, "h1", "Next")], "path string, pos int, tag string, body string")
+    titles = spark.createDataFrame([("b", "Book <1>", "A & B", "p{color:red}", "c.png")], "path string, title string, author string, css string, cover string")
+    images = spark.createDataFrame([("b", n, "image/png", bytearray(n.encode())) for n in ("z.png", "c.png", "unused.png")] * 2, "path string, name string, media string, data binary")
+    made = bytes(writers.as_epub(blocks, titles, images=images).first().content)
+    rows = packages.entries(spark.createDataFrame([("m", bytearray(made))], "path string, content binary")).cache()
+    names = [r.name for r in rows.orderBy("ix").collect()]
+    assert names[0] == "mimetype" and [n for n in names if "images/" in n] == ["OEBPS/images/c.png", "OEBPS/images/z.png"] and "OEBPS/toc.ncx" in names
+    assert packages.extras(rows).collect() == [("m", "Book <1>", "A & B", "en", "OEBPS/images/c.png", "p{color:red}")]
+    assert [r.title for r in packages.chapters(packages.spine(rows)).orderBy("ch").collect()] == ["One & two", "Next"]
+    plain = bytes(writers.as_epub(blocks, titles.drop("css", "cover")).first().content)
+    bare = packages.extras(packages.entries(spark.createDataFrame([("p", bytearray(plain))], "path string, content binary"))).first()
+    assert (bare.title, bare.cover, bare.css) == ("Book <1>", None, None)
+    cut = spark.createDataFrame([("cut", bytearray(made[:200] + b"#" * 40 + made[240:])), ("none", None)], "path string, content binary")
+    assert [(r.path, r.name, r.error is None) for r in packages.entries(cut).orderBy("path").collect()] == [("cut", None, False), ("none", None, False)]
+
+
 def test_bad_package_and_docx(spark):
     bad = packages.entries(spark.createDataFrame([("x", bytearray(b"no zip"))], "path string, content binary")).first()
     assert bad.error and bad.name is None

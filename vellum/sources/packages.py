@@ -9,6 +9,7 @@ import codecs
 import io
 import re
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 from functools import reduce
@@ -24,6 +25,8 @@ from vellum.operators import markup, structure
 
 #: A package with more entries or more unpacked bytes is not opened.
 MAX_ENTRIES, MAX_BYTES = 20_000, 1 << 30
+#: Unpacked bytes that leave a worker together.
+PIECE = 32 << 20
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
@@ -73,22 +76,31 @@ def decoded_markup(content: Column) -> Column:
 
 
 def entries(packed: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """(key, ix, name, stored, data, error): a row for each entry of each zip; one with an error if it is no zip."""
+    """(key, ix, name, stored, data, error): a row for each entry of each zip; one with an error if it is no whole zip.
+
+    A worker holds PIECE bytes of a package, or its largest entry, at a time.
+    """
+    columns = [key, "ix", "name", "stored", "data"]
 
     def run(frames):
         for frame in frames:
             for k, data in zip(frame[key], frame[content]):
-                rows, error = [], None
                 try:
                     with zipfile.ZipFile(io.BytesIO(data)) as z:
                         infos = z.infolist()
                         if len(infos) > MAX_ENTRIES or sum(i.file_size for i in infos) > MAX_BYTES:
                             raise ValueError("package is too large")
-                        rows = [(k, ix, i.filename, i.compress_type == zipfile.ZIP_STORED, z.read(i)) for ix, i in enumerate(infos)]
-                except (zipfile.BadZipFile, ValueError, RuntimeError, OSError) as e:
-                    error = str(e)
-                out = pd.DataFrame(rows or [(k, 0, None, None, None)], columns=[key, "ix", "name", "stored", "data"])
-                yield out.assign(error=error)
+                        if not infos or (bad := z.testzip()) is not None:
+                            raise ValueError("package is empty" if not infos else f"{bad} is damaged")
+                        rows, held = [], 0
+                        for ix, i in enumerate(infos):
+                            rows.append((k, ix, i.filename, i.compress_type == zipfile.ZIP_STORED, z.read(i)))
+                            held += i.file_size
+                            if held >= PIECE or ix + 1 == len(infos):
+                                yield pd.DataFrame(rows, columns=columns).assign(error=None)
+                                rows, held = [], 0
+                except (zipfile.BadZipFile, zlib.error, NotImplementedError, ValueError, TypeError, RuntimeError, OSError) as e:
+                    yield pd.DataFrame([(k, 0, None, None, None)], columns=columns).assign(error=str(e))
 
     return packed.select(key, content).mapInPandas(run, f"{key} string, ix int, name string, stored boolean, data binary, error string")
 
@@ -99,7 +111,7 @@ def kept_entries(rows: DataFrame, key: str = "path") -> DataFrame:
     return rows.where(F.col("name").isNotNull() & ~F.col("name").endswith("/")).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-PACKAGE = "struct<title:string,author:string,lang:string,manifest:array<struct<id:string,href:string,media:string,properties:string>>,spine:array<string>>"
+PACKAGE = "struct<title:string,author:string,lang:string,cover:string,manifest:array<struct<id:string,href:string,media:string,properties:string>>,spine:array<string>>"
 
 
 def _package(data: bytes | None):
@@ -108,7 +120,7 @@ def _package(data: bytes | None):
     except ElementTree.ParseError:
         return None
     local = lambda e: e.tag.rsplit("}", 1)[-1]
-    out = {"title": None, "author": None, "lang": None, "manifest": [], "spine": []}
+    out = {"title": None, "author": None, "lang": None, "cover": None, "manifest": [], "spine": []}
     for e in root.iter():
         match local(e):
             case "title" if out["title"] is None:
@@ -117,6 +129,8 @@ def _package(data: bytes | None):
                 out["author"] = (e.text or "").strip() or None
             case "language" if out["lang"] is None:
                 out["lang"] = (e.text or "").strip() or None
+            case "meta" if e.get("name") == "cover" and out["cover"] is None:
+                out["cover"] = e.get("content")
             case "item":
                 out["manifest"].append({"id": e.get("id"), "href": e.get("href"), "media": e.get("media-type"), "properties": e.get("properties") or ""})
             case "itemref":
@@ -124,6 +138,18 @@ def _package(data: bytes | None):
     return out
 
 
+def _books(found: DataFrame, key: str) -> DataFrame:
+    """(key, base, p): folder and content of each book's package file."""
+    container = found.where("lower(name) = 'meta-inf/container.xml'").select(key, F.expr("xpath_string(cast(data as string), \"//*[local-name()='rootfile']/@full-path\")").alias("named"))
+    opf = found.where("lower(name) like '%.opf'").join(container, key, "left")
+    first = Window.partitionBy(key).orderBy(F.when(F.lower("name") == F.lower("named"), 0).otherwise(1), "ix")
+    opf = opf.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    types = pa.struct([("title", pa.string()), ("author", pa.string()), ("lang", pa.string()), ("cover", pa.string()), ("manifest", pa.list_(pa.struct([(c, pa.string()) for c in ("id", "href", "media", "properties")]))), ("spine", pa.list_(pa.string()))])
+    parsed = F.arrow_udf(lambda c: pa.array([_package(v) for v in c.to_pylist()], types), PACKAGE)
+    base = F.regexp_replace("name", "/?[^/]*$", "")
+    return opf.select(key, base.alias("base"), parsed("data").alias("p"))
+
+
 def spine(rows: DataFrame, key: str = "path") -> DataFrame:
     """(key, spine_ix, name, nav, data): pages of EPUB packages in reading order.
 
@@ -131,14 +157,7 @@ def spine(rows: DataFrame, key: str = "path") -> DataFrame:
     an empty spine gives every page of the manifest.
     """
     found = kept_entries(rows, key)
-    container = found.where("lower(name) = 'meta-inf/container.xml'").select(key, F.expr("xpath_string(cast(data as string), \"//*[local-name()='rootfile']/@full-path\")").alias("named"))
-    opf = found.where("lower(name) like '%.opf'").join(container, key, "left")
-    first = Window.partitionBy(key).orderBy(F.when(F.lower("name") == F.lower("named"), 0).otherwise(1), "ix")
-    opf = opf.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    types = pa.struct([("title", pa.string()), ("author", pa.string()), ("lang", pa.string()), ("manifest", pa.list_(pa.struct([(c, pa.string()) for c in ("id", "href", "media", "properties")]))), ("spine", pa.list_(pa.string()))])
-    parsed = F.arrow_udf(lambda c: pa.array([_package(v) for v in c.to_pylist()], types), PACKAGE)
-    base = F.regexp_replace("name", "/?[^/]*$", "")
-    books = opf.select(key, base.alias("base"), parsed("data").alias("p"))
+    books = _books(found, key)
     items = books.select(key, "base", F.inline("p.manifest")).select(key, F.col("id"), files.normal_path(F.col("base"), F.col("href")).alias("target"), F.col("media"), F.col("properties").contains("nav").alias("nav"))
     listed = books.select(key, F.posexplode("p.spine").alias("pos", "id")).groupBy(key, "id").agg(F.min("pos").alias("pos"))
     joined = listed.join(items, [key, "id"]).select(key, "pos", "target", "nav")
@@ -149,6 +168,26 @@ def spine(rows: DataFrame, key: str = "path") -> DataFrame:
     return hit.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1).alias("spine_ix"), "name", "nav", "data")
 
 
+def extras(rows: DataFrame, key: str = "path") -> DataFrame:
+    """(key, title, author, lang, cover, css): facts of EPUB packages, the entry of the cover, and all style sheets joined.
+
+    The cover is the item that says so, else the one that the metadata name.
+    """
+    found = kept_entries(rows, key)
+    books = _books(found, key)
+    items = books.select(key, "base", F.col("p.cover").alias("named"), F.posexplode("p.manifest").alias("pos", "i"))
+    own = F.array_contains(F.split("i.properties", " "), "cover-image")
+    wanted = own | (F.col("i.id") == F.col("named")) | (F.col("i.media") == "text/css")
+    paths = items.where(wanted).select(key, "pos", (F.col("i.media") == "text/css").alias("sheet"), own.alias("own"), F.lower(files.normal_path(F.col("base"), F.col("i.href"))).alias("low"))
+    data = found.select(key, "name", F.lower("name").alias("low"), F.when(F.lower("name").endswith(".css"), F.col("data")).alias("data"))
+    hit = paths.join(data, [key, "low"]).withColumn("css", F.when(F.col("sheet"), decoded(F.col("data"))))
+    facts = hit.groupBy(key).agg(
+        F.min_by("name", F.when(~F.col("sheet"), F.struct(~F.col("own"), "pos"))).alias("cover"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("sheet"), F.struct("pos", "css")))), lambda x: x["css"]), "\n").alias("css"),
+    )
+    return books.select(key, "p.title", "p.author", "p.lang").join(facts, key, "left")
+
+
 def chapters(pages: DataFrame, key: str = "path") -> DataFrame:
     """(key, ch, name, title, html): pages with content, titled by first heading, page title or number."""
     html = pages.withColumn("html", decoded_markup(F.col("data"))).drop("data")

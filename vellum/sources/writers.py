@@ -26,8 +26,9 @@ def escaped(c: Column) -> Column:
 def as_text(blocks: DataFrame, titles: DataFrame, key: str = "path") -> DataFrame:
     """(key, text): title and author, then blocks with a blank line between; h1 in capitals, list items with bullets.
 
-    titles: (key, title, author).
+    titles: (key, title, author). Pictures are left out.
     """
+    blocks = blocks.where("tag != 'img'")
     tag, body = F.col("tag"), F.col("body")
     piece = F.when(tag == "h1", F.upper(body)).when(tag == "li", F.concat(F.lit("• "), body)).when(tag == "hr", "* * *").otherwise(body)
     head = F.concat_ws("\n", "title", F.repeat(F.lit("="), F.least(F.char_length("title"), F.lit(60))), "author")
@@ -36,7 +37,8 @@ def as_text(blocks: DataFrame, titles: DataFrame, key: str = "path") -> DataFram
 
 
 def _element() -> Column:
-    return F.when(F.col("tag") == "hr", F.lit("<hr/>")).when(F.col("tag") == "li", F.concat(F.lit("<ul><li>"), escaped(F.col("body")), F.lit("</li></ul>"))).otherwise(
+    picture = F.concat(F.lit('<p><img src="images/'), escaped(F.col("body")), F.lit('" alt=""/></p>'))
+    return F.when(F.col("tag") == "hr", F.lit("<hr/>")).when(F.col("tag") == "img", picture).when(F.col("tag") == "li", F.concat(F.lit("<ul><li>"), escaped(F.col("body")), F.lit("</li></ul>"))).otherwise(
         F.concat(F.lit("<"), F.col("tag"), F.lit(">"), escaped(F.col("body")), F.lit("</"), F.col("tag"), F.lit(">"))
     )
 
@@ -49,8 +51,12 @@ def as_html(blocks: DataFrame, titles: DataFrame, key: str = "path", css: str =
     return joined.select(key, F.concat(head, body, F.lit("\n</body></html>\n")).alias("html"))
 
 
-def as_epub(blocks: DataFrame, titles: DataFrame, key: str = "path") -> DataFrame:
-    """(key, content): EPUB packages. A chapter begins at each h1 or h2; the media type comes first and unpacked."""
+def as_epub(blocks: DataFrame, titles: DataFrame, key: str = "path", images: DataFrame | None = None) -> DataFrame:
+    """(key, content): EPUB packages. A chapter begins at each h1 or h2; the media type comes first and unpacked.
+
+    titles may have css (a style sheet) and cover (the name of an image). images: (key, name, media, data), of which
+    those that blocks (tag img, body: the name) or the cover name are written, by name; a cover without image is none.
+    """
     edge = F.col("tag").isin("h1", "h2")
     from vellum.operators.structure import split_at
 
@@ -58,27 +64,52 @@ def as_epub(blocks: DataFrame, titles: DataFrame, key: str = "path") -> DataFram
     pages = parts.groupBy(key, "group").agg(F.sort_array(F.collect_list(F.struct("pos", _element().alias("x")))).alias("b"), F.min_by("body", F.when(edge, F.col("pos"))).alias("title"))
     pages = pages.select(key, F.struct("group", F.coalesce("title", F.concat(F.lit("Chapter "), F.col("group").cast("string"))).alias("title"), F.array_join(F.transform("b", lambda s: s["x"]), "\n").alias("body")).alias("p"))
     books = titles.join(pages.groupBy(key).agg(F.sort_array(F.collect_list("p")).alias("pages")), key)
-    build = F.arrow_udf(lambda t, a, p: pa.array([_epub(x, y, z) for x, y, z in zip(t.to_pylist(), a.to_pylist(), p.to_pylist())], pa.binary()), "binary")
-    return books.select(key, build("title", "author", "pages").alias("content"))
-
-
-def _epub(title: str, author: str | None, pages: list[dict]) -> bytes:
-    from xml.sax.saxutils import escape
-
+    for c in ("css", "cover"):
+        books = books if c in titles.columns else books.withColumn(c, F.lit(None).cast("string"))
+    if images is None:
+        books = books.withColumn("images", F.lit(None).cast("array<struct<name:string,media:string,data:binary>>"))
+    else:
+        used = blocks.where("tag = 'img'").select(key, F.col("body").alias("name")).unionAll(books.select(key, F.col("cover").alias("name")))
+        kept = images.dropDuplicates([key, "name"]).join(used, [key, "name"], "left_semi")
+        books = books.join(kept.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("name", "media", "data"))).alias("images")), key, "left")
+    parts = ("title", "author", "pages", "css", "cover", "images")
+    build = F.arrow_udf(lambda *c: pa.array([_epub(*row) for row in zip(*[x.to_pylist() for x in c])], pa.binary()), "binary")
+    return books.select(key, build(*parts).alias("content"))
+
+
+def _epub(title: str, author: str | None, pages: list[dict], css: str | None, cover: str | None, images: list[dict] | None) -> bytes:
+    from xml.sax.saxutils import escape, quoteattr
+
+    images, title = images or [], title or ""
+    cover_id = next((f"img{n}" for n, i in enumerate(images) if i["name"] == cover), None)
+    names = [f"ch{p['group']}" for p in pages]
+    item = lambda ident, href, media, more="": f'<item id="{ident}" href={quoteattr(href)} media-type={quoteattr(media)}{more}/>'
+    items = [item("nav", "nav.xhtml", "application/xhtml+xml", ' properties="nav"'), item("ncx", "toc.ncx", "application/x-dtbncx+xml")]
+    items += [item("css", "style.css", "text/css")] if css else []
+    items += [item(f"img{n}", f"images/{i['name']}", i["media"], ' properties="cover-image"' if f"img{n}" == cover_id else "") for n, i in enumerate(images)]
+    items += [item(n, f"{n}.xhtml", "application/xhtml+xml") for n in names]
+    meta = f'<dc:title>{escape(title)}</dc:title><dc:language>en</dc:language><dc:identifier id="id">{escape(title or "book")}</dc:identifier>'
+    meta += f"<dc:creator>{escape(author)}</dc:creator>" if author else ""
+    meta += f'<meta name="cover" content="{cover_id}"/>' if cover_id else ""
+    refs = "".join(f'<itemref idref="{n}"/>' for n in names)
+    links = "".join(f'<li><a href="{n}.xhtml">{escape(p["title"])}</a></li>' for n, p in zip(names, pages))
+    points = "".join(f'<navPoint id="{n}" playOrder="{i}"><navLabel><text>{escape(p["title"])}</text></navLabel><content src="{n}.xhtml"/></navPoint>' for i, (n, p) in enumerate(zip(names, pages), 1))
+    xml = '<?xml version="1.0" encoding="utf-8"?>'
+    page = xml + '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>{}</title>{}</head><body>{}</body></html>'
+    style = '<link rel="stylesheet" type="text/css" href="style.css"/>' if css else ""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr(zipfile.ZipInfo("mimetype"), "application/epub+zip", zipfile.ZIP_STORED)
         z.writestr("META-INF/container.xml", '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')
-        names = [f"ch{p['group']}" for p in pages]
-        items = "".join(f'<item id="{n}" href="{n}.xhtml" media-type="application/xhtml+xml"/>' for n in names)
-        refs = "".join(f'<itemref idref="{n}"/>' for n in names)
-        meta = f"<dc:title>{escape(title or '')}</dc:title><dc:language>en</dc:language><dc:identifier id=\"id\">{escape(title or 'book')}</dc:identifier>" + (f"<dc:creator>{escape(author)}</dc:creator>" if author else "")
-        z.writestr("OEBPS/content.opf", f'<?xml version="1.0" encoding="utf-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">{meta}</metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>{items}</manifest><spine>{refs}</spine></package>')
-        links = "".join(f'<li><a href="{n}.xhtml">{escape(p["title"])}</a></li>' for n, p in zip(names, pages))
-        page = '<?xml version="1.0" encoding="utf-8"?><html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>{}</title></head><body>{}</body></html>'
-        z.writestr("OEBPS/nav.xhtml", page.format("Contents", f'<nav epub:type="toc"><ol>{links}</ol></nav>'))
+        z.writestr("OEBPS/content.opf", f'{xml}<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">{meta}</metadata><manifest>{"".join(items)}</manifest><spine toc="ncx">{refs}</spine></package>')
+        z.writestr("OEBPS/nav.xhtml", page.format("Contents", "", f'<nav epub:type="toc"><ol>{links}</ol></nav>'))
+        z.writestr("OEBPS/toc.ncx", f'{xml}<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content={quoteattr(title or "book")}/></head><docTitle><text>{escape(title)}</text></docTitle><navMap>{points}</navMap></ncx>')
+        if css:
+            z.writestr("OEBPS/style.css", css)
         for n, p in zip(names, pages):
-            z.writestr(f"OEBPS/{n}.xhtml", page.format(escape(p["title"]), p["body"]))
+            z.writestr(f"OEBPS/{n}.xhtml", page.format(escape(p["title"]), style, p["body"]))
+        for i in images:
+            z.writestr(f"OEBPS/images/{i['name']}", i["data"], zipfile.ZIP_STORED)
     return out.getvalue()
 
 
@@ -96,8 +127,9 @@ def _paragraph(body: Column, style: Column, more: Column | None = None) -> Colum
 def as_word(blocks: DataFrame, titles: DataFrame, key: str = "path") -> DataFrame:
     """(key, content): Word packages: title and author, then blocks as styled paragraphs, list items with bullets.
 
-    A new page begins at each h1 or h2, and behind the title. Characters that XML has not are left out.
+    A new page begins at each h1 or h2, and behind the title. Pictures and characters that XML has not are left out.
     """
+    blocks = blocks.where("tag != 'img'")
     style = lambda tag: F.when(tag.rlike("^h[1-6]$"), F.concat(F.lit("Heading"), F.right(tag, F.lit(1)))).when(tag == "li", "ListBullet").when(tag == "hr", "Break").otherwise("Normal")
     opens = lambda tag, i: F.when(tag.isin("h1", "h2") | (i == 0), "<w:pageBreakBefore/>").otherwise("")
     body = lambda s: F.when(s["tag"] == "hr", "* * *").otherwise(F.coalesce(s["body"], F.lit("")))
