@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, kneser, lines, mixing, multiindex, phrases, quality, simhash, subwords, toxicity, wrapper
+from vellum.llm import bpe, kneser, lines, mixing, multiindex, phrases, quality, simhash, subwords, toxicity, vectorcodes, wrapper
 from vellum.llm.common import fold, table, text_of
 
 QUERIES: dict = {}
@@ -99,3 +99,14 @@ def op8_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of each page."""
     found = wrapper.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code, error, error of its label and digest of the codebooks for each vector."""
+    coded = vectorcodes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    digits = F.array_join(F.transform("code", lambda i: F.lower(F.lpad(F.hex(i), 2, "0"))), "")
+    return coded.select("vec_id", digits.alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+ORACLE_SQL["op13_vector_codes"] = vectorcodes.SQL
