@@ -61,12 +61,21 @@ def until_exit(spark: SparkSession, at: str) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and read back as a table in the shared folder, so that lost executors lose nothing."""
-    at = shared_dir(df.sparkSession)
-    df.write.parquet(at)
-    until_exit(df.sparkSession, at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+def written(df: DataFrame, release: bool = False) -> DataFrame:
+    """The same rows, computed once and read back as a table in the shared folder, so that lost executors lose nothing.
+
+    release: the shuffle files behind them are deleted as soon as the table is there, not when the driver frees memory.
+    """
+    spark, at = df.sparkSession, shared_dir(df.sparkSession)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    try:
+        spark.conf.set(name, "true" if release else before)
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(name, before)
+    until_exit(spark, at)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def idle_memory() -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, kneser, lines, mixing, multiindex, phrases, quality, simhash, subwords, toxicity, vectorcodes, wrapper
+from vellum.llm import bpe, kneser, lines, mixing, multiindex, passages, phrases, quality, simhash, subwords, toxicity, vectorcodes, wrapper
 from vellum.llm.common import fold, table, text_of
 
 QUERIES: dict = {}
@@ -110,3 +110,13 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op13_vector_codes"] = vectorcodes.SQL
+
+
+@query
+def op12_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document, how many stand in passages that recur, and the digest of the others."""
+    kept = passages.drop_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op12_fm_index"] = passages.SQL

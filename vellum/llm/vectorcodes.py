@@ -261,7 +261,9 @@ def encode(df: DataFrame, books: Codebooks | None, vector: str = "embedding", co
         return pa.StructArray.from_arrays(both, ["code", "error"], mask=pa.array(~mask))
 
     coded = free_name(out, "coded")
-    found = out.withColumn(coded, F.arrow_udf(run, "struct<code:array<int>,error:bigint>")(F.col(vector))).where(F.col(coded).isNotNull())
+    # not deterministic: else the filter below would compute the codes once more
+    coder = F.arrow_udf(run, "struct<code:array<int>,error:bigint>").asNondeterministic()
+    found = out.withColumn(coded, coder(F.col(vector))).where(F.col(coded).isNotNull())
     return found.withColumns({code: F.col(f"{coded}.code"), error: F.col(f"{coded}.error")}).drop(coded)
 
 
