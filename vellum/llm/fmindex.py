@@ -18,8 +18,24 @@ class Bits:
         packed = np.packbits(bits, bitorder="little")
         words = np.zeros(len(bits) // 64 + 1, np.uint64)
         words.view(np.uint8)[: len(packed)] = packed
+        self._count(words)
+
+    def _count(self, words: np.ndarray) -> None:
         self.words = words
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)]).astype(np.int32 if len(bits) < 2**31 else np.int64)
+        small = len(words) < 2**25
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)]).astype(np.int32 if small else np.int64)
+
+    def __and__(self, other: Bits) -> Bits:
+        return Bits._of(self.words & other.words)
+
+    def __or__(self, other: Bits) -> Bits:
+        return Bits._of(self.words | other.words)
+
+    @staticmethod
+    def _of(words: np.ndarray) -> Bits:
+        bits = Bits.__new__(Bits)
+        bits._count(words)
+        return bits
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         """How many bits are set before each place."""
@@ -27,6 +43,10 @@ class Bits:
         below = (_ONE << (at & 63).astype(np.uint64)) - _ONE
         return self.before[word] + np.bitwise_count(self.words[word] & below)
 
+    def places(self) -> np.ndarray:
+        """Where bits are set, in order."""
+        return np.flatnonzero(np.unpackbits(self.words.view(np.uint8), bitorder="little"))
+
 
 class WaveletMatrix:
     def __init__(self, symbols: np.ndarray, alphabet: int):

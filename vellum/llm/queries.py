@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, kneser, lines, mixing, multiindex, passages, phrases, quality, simhash, subwords, toxicity, vectorcodes, wrapper
+from vellum.llm import alignment, bpe, kneser, lines, mixing, multiindex, passages, phrases, quality, simhash, subwords, toxicity, vectorcodes, wrapper
 from vellum.llm.common import fold, table, text_of
 
 QUERIES: dict = {}
@@ -120,3 +120,9 @@ def op12_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op12_fm_index"] = passages.SQL
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers over each document, and how common its links are."""
+    return alignment.score_links(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
