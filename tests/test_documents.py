@@ -78,7 +78,7 @@ def test_epub_round_trip(spark):
     again = packages.chapters(packages.spine(packages.entries(spark.createDataFrame([("c", bytearray(made))], "path string, content binary"))))
     assert [r.title for r in again.orderBy("ch").collect()] == [f"Chapter {i}" for i in range(1, 6)]
     text = writers.as_text(whole, titles).first().text
-    assert text.startswith("My Book\n=======\nSomeone\n\nCHAPTER 1\n\nA sentence")
+    assert text.startswith("My Book\n=======\n\nSomeone\n\n\nCHAPTER 1\n\nA sentence")
     assert "<h1>Chapter 5</h1>" in writers.as_html(whole, titles).first().html
 
 
@@ -122,7 +122,7 @@ def test_text_and_markdown(spark):
     assert [(r.tag, r.body) for r in rows] == [("h2", "CHAPTER ONE"), ("p", "first line second line"), ("p", "A TITLE that is not short")]
     md = "# Top #\ntext **bold** and *it*\nmore\n\n- one\n- two\n1. three\n---\n`code`"
     rows = packages.markdown_blocks(spark.createDataFrame([("a", md)], "path string, text string")).orderBy("pos").collect()
-    assert [(r.tag, r.body) for r in rows] == [("h1", "Top"), ("p", "text bold and it more"), ("li", "one"), ("li", "two"), ("li", "three"), ("hr", "---"), ("p", "code")]
+    assert [(r.tag, r.body) for r in rows] == [("h1", "Top"), ("p", "text bold and it more"), ("li", "one"), ("li", "two"), ("li", "three"), ("hr", ""), ("p", "code")]
 
 
 def test_splitting_keeps_every_line(spark):

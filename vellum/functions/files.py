@@ -96,6 +96,14 @@ def data_uri(mime: Column, data: Column) -> Column:
     return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(data))
 
 
+def data_of_uri(uri: Column) -> Column:
+    """Bytes of a data: address, base64 or percent-encoded; null if it is none or its base64 is damaged."""
+    meta, rest = F.regexp_extract(uri, "(?s)^data:([^,]*),", 1), F.regexp_extract(uri, "(?s)^data:[^,]*,(.*)$", 1)
+    packed = F.try_to_binary(F.regexp_replace(F.coalesce(F.try_url_decode(F.replace(rest, F.lit("+"), F.lit("%2B"))), rest), r"\s+", ""), F.lit("base64"))
+    plain = F.encode(F.coalesce(F.try_url_decode(F.replace(rest, F.lit("+"), F.lit("%2B"))), rest), "UTF-8")
+    return F.when(~uri.rlike("(?s)^data:[^,]*,"), None).when(F.contains(meta, F.lit(";base64")), packed).otherwise(plain)
+
+
 def worker_url(url: Column) -> Column:
     """Address of a worker with a scheme and without brackets and closing slashes."""
     bare = F.regexp_replace(F.trim(url), r"^[<>]+|[<>]+$", "")

@@ -15,11 +15,11 @@ PROSE = ("p", "div", "li", "h1", "h2", "h3", "h4", "blockquote", "span")
 
 
 def blocks(pages: DataFrame, key: str = "path") -> DataFrame:
-    """Elements of each page with body, the collapsed text of the element and all below it, and until, the number of
-    the first element after those."""
+    """Elements of each page with body, the collapsed text of the element and all below it, as much of it as the rules
+    look at, chars, its whole length, and until, the number of the first element after those."""
     page = F.concat_ws("\x00", F.col(key), F.col("spine_ix").cast("string"))
-    nodes = markup.nodes(pages.withColumn("_page", page), "html", "_page", bodies=True)
-    return nodes.select("_page", "node", "parent", "depth", "tag", "attrs", T.collapse(F.col("body")).alias("body"), "until")
+    nodes = markup.nodes(pages.withColumn("_page", page), "html", "_page", bodies=clutter.BLOCK + 1, tops=clutter.PAGE + 1)
+    return nodes.drop("text")
 
 
 def page_facts(pages: DataFrame, key: str = "path") -> DataFrame:
@@ -34,8 +34,8 @@ def page_facts(pages: DataFrame, key: str = "path") -> DataFrame:
         F.max(F.col("tag") == "nav").alias("has_nav"), F.max(F.col("tag") == "a").alias("has_link"), F.count_if(line).alias("n_lines"), F.count_if(line & hit).alias("hits"),
         F.coalesce(F.min_by("body", F.when(F.col("tag") == "h1", F.col("node"))), F.min_by("body", F.when(F.col("tag") == "h2", F.col("node"))), F.lit("")).alias("heading"),
         F.max(F.coalesce(F.col("attrs")["id"] == "intro", F.lit(False))).alias("has_intro_id"),
-        F.coalesce(F.min_by("body", F.when(F.col("tag") == "body", F.col("node"))), F.max_by("body", F.char_length("body"))).alias("text"),
-        F.coalesce(F.sum(F.when(F.col("tag").isin(*PROSE) & ~holds & ~clutter.clutter_line(F.col("body")), F.char_length("body"))), F.lit(0)).alias("prose"),
+        F.coalesce(F.min_by("body", F.when(F.col("tag") == "body", F.col("node"))), F.max_by("body", "chars")).alias("text"),
+        F.coalesce(F.sum(F.when(F.col("tag").isin(*PROSE) & ~holds & ~clutter.clutter_line(F.col("body")), F.col("chars"))), F.lit(0)).cast("long").alias("prose"),
     )
     page = F.concat_ws("\x00", F.col(key), F.col("spine_ix").cast("string"))
     return pages.withColumn("_page", page).join(facts, "_page", "left").drop("_page")

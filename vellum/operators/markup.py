@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from html import escape
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,18 @@ EMPTY = frozenset("area base br col embed hr img input link meta param source tr
 #: Elements that plain markup has not, and the attributes that it keeps.
 DROPPED = frozenset("script style noscript template iframe object embed video audio canvas form input button select textarea head title meta link base svg".split())
 KEPT = ("src", "href", "style", "class", "colspan", "rowspan", "alt", "dir", "lang")
+#: Elements that begin a block and end an open paragraph, and headings.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BLOCKS = HEADINGS | frozenset(
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup hr html legend"
+    " li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
+)
+#: What a start tag ends if it is open, and how far out that is looked for.
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}),
+    "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}), "option": ({"option"}, {"select"}),
+}
 
 
 def _line_starts(page: str) -> list[int]:
@@ -111,7 +125,9 @@ def titles(df: DataFrame, page: str = "html") -> DataFrame:
 
 class Elements(HTMLParser):
     """Elements in the order of their start tags: parent, depth, tag, attrs, own text, the element after the last one
-    inside (until), and where the element begins and ends in the page."""
+    inside (until), where the element begins and ends in the page, and where what is inside begins and ends.
+
+    A paragraph ends where a block begins, and items, cells and rows where the next one does."""
 
     def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
@@ -131,12 +147,31 @@ class Elements(HTMLParser):
         while len(self.open) > to:
             row = self.rows[self.open.pop()]
             self.names[row["tag"]] -= 1
-            row["until"], row["stop"] = len(self.rows), at
+            row["until"], row["stop"], row["inner_stop"] = len(self.rows), at, at
+
+    def _ended(self, tag: str, start: int) -> None:
+        """Ends what the start tag of a block ends without an end tag."""
+        if self.names["p"] or tag in HEADINGS:
+            i = len(self.open) - 1
+            while i >= 0 and self.rows[self.open[i]]["tag"] not in BLOCKS:
+                i -= 1
+            if i >= 0 and ((inner := self.rows[self.open[i]]["tag"]) == "p" or tag in HEADINGS and inner in HEADINGS):
+                self._end(i, start)
+        if tag in ENDS and any(self.names[t] for t in ENDS[tag][0]):
+            i = len(self.open) - 1
+            while i >= 0 and self.rows[self.open[i]]["tag"] not in ENDS[tag][1]:
+                if self.rows[self.open[i]]["tag"] in ENDS[tag][0]:
+                    self._end(i, start)
+                    break
+                i -= 1
 
     def _start(self, tag, attrs, closed: bool):
         start = self._here()
+        if tag in BLOCKS:
+            self._ended(tag, start)
         stop = start + len(self.get_starttag_text() or "")
-        self.rows.append({"parent": self.open[-1] if self.open else None, "depth": len(self.open), "tag": tag, "attrs": [(k, v or "") for k, v in dict(attrs).items()], "texts": [], "until": len(self.rows) + 1, "start": start, "stop": stop})
+        parent = self.open[-1] if self.open else None
+        self.rows.append({"parent": parent, "depth": len(self.open), "tag": tag, "attrs": [(k, v or "") for k, v in dict(attrs).items()], "texts": [], "until": len(self.rows) + 1, "start": start, "stop": stop, "inner": stop, "inner_stop": stop})
         if not closed:
             self.open.append(len(self.rows) - 1)
             self.names[tag] += 1
@@ -153,42 +188,97 @@ class Elements(HTMLParser):
         i = len(self.open) - 1
         while self.rows[self.open[i]]["tag"] != tag:
             i -= 1
-        here = self._here()
-        self._end(i + 1, here)
-        self._end(i, self.page.find(">", here) + 1 or len(self.page))
+        here, row = self._here(), self.rows[self.open[i]]
+        self._end(i, here)
+        row["stop"] = self.page.find(">", here) + 1 or len(self.page)
 
     def handle_data(self, data):
         if self.open:
             self.rows[self.open[-1]]["texts"].append(data)
 
 
-NODE = "array<struct<parent:int,depth:int,tag:string,attrs:map<string,string>,text:string,until:int,body:string>>"
-_NODE = pa.list_(pa.struct([("parent", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("until", pa.int32()), ("body", pa.string())]))
+class Bodies:
+    """The text of each element and all inside it, white space collapsed: its length, and as much as is wanted.
+
+    Worked out from sums before each element, so a page takes memory in proportion to its size, not to its depth."""
+
+    def __init__(self, rows: list[dict], texts: list[str]):
+        self.rows = rows
+        self.words = [t.split() for t in texts]
+        self.filled = [i for i, w in enumerate(self.words) if w]
+        self.n = list(accumulate((len(w) for w in self.words), initial=0))
+        self.chars = list(accumulate((sum(map(len, w)) for w in self.words), initial=0))
+
+    def size(self, i: int) -> int:
+        until = self.rows[i]["until"]
+        n = self.n[until] - self.n[i]
+        return self.chars[until] - self.chars[i] + max(0, n - 1)
+
+    def head(self, i: int, most: int) -> str:
+        out, size = [], 0
+        for k in self.filled[bisect_left(self.filled, i) : bisect_left(self.filled, self.rows[i]["until"])]:
+            for word in self.words[k]:
+                out.append(word)
+                size += len(word) + 1
+                if size > most:
+                    return " ".join(out)[:most]
+        return " ".join(out)
+
+
+NODE = "array<struct<parent:int,depth:int,tag:string,attrs:map<string,string>,text:string,until:int,body:string,chars:int,owner:int>>"
+_NODE = pa.list_(pa.struct([("parent", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("until", pa.int32()), ("body", pa.string()), ("chars", pa.int32()), ("owner", pa.int32())]))
 
 
-def nodes(df: DataFrame, page: str, key: str, bodies: bool = False) -> DataFrame:
-    """(key, node, parent, depth, tag, attrs, text): the elements of each page in the order of their start tags.
+def _owners(rows: list[dict], tags: frozenset[str]) -> list[int | None]:
+    """The innermost element with one of the tags around each element."""
+    out: list[int | None] = []
+    for row in rows:
+        above = row["parent"]
+        out.append(None if above is None else above if rows[above]["tag"] in tags else out[above])
+    return out
 
-    bodies: also until, the number of the first element after those inside, and body, the texts of the element and
-    of all inside it. One pass over the page, inside its row.
+
+def nodes(df: DataFrame, page: str, key: str, bodies: int = 0, tops: int = 0, owners: tuple[str, ...] = ()) -> DataFrame:
+    """(key, node, parent, depth, tag, attrs, text, until): the elements of each page in the order of their start tags.
+
+    An element is inside another if its number lies between that one's and its until; see inside and children.
+    bodies: also body, the text of the element and all inside it, white space collapsed, of which the first so many
+    characters are given (tops, if more, for body elements and those without parent), and chars, its whole length.
+    owners: also owner, the innermost element with one of these tags around. One pass over the page, inside its row.
     """
+    tags = frozenset(owners)
 
     def run(pages: pa.Array) -> pa.Array:
         out = []
         for p in pages.to_pylist():
             rows = Elements(p or "").rows
             texts = ["".join(r.pop("texts")) for r in rows]
+            around = _owners(rows, tags)
+            held = Bodies(rows, texts) if bodies else None
             for i, (row, text) in enumerate(zip(rows, texts)):
-                row["text"] = text
-                row["body"] = " ".join(texts[i : row["until"]]) if bodies else None
+                most = max(bodies, tops) if row["tag"] == "body" or row["parent"] is None else bodies
+                row |= {"text": text, "body": held.head(i, most) if held else None, "chars": held.size(i) if held else None, "owner": around[i]}
             out.append(rows)
         return pa.array(out, _NODE)
 
     found = df.select(key, F.posexplode(F.arrow_udf(run, NODE)(F.col(page))).alias("node", "n"))
-    kept = ["parent", "depth", "tag", "attrs", "text", *(["until", "body"] if bodies else [])]
+    kept = ["parent", "depth", "tag", "attrs", "text", "until", *(["body", "chars"] if bodies else []), *(["owner"] if owners else [])]
     return found.select(key, "node", *[F.col(f"n.{c}").alias(c) for c in kept])
 
 
+def inside(inner: DataFrame, outer: DataFrame, key: str) -> DataFrame:
+    """Pairs of elements of a page, one inside the other: the columns of inner, and around, the number of the outer one."""
+    o = outer.select(F.col(key).alias("_k"), F.col("node").alias("around"), F.col("until").alias("_until"))
+    hit = F.col(key).eqNullSafe(F.col("_k")) & (F.col("node") > F.col("around")) & (F.col("node") < F.col("_until"))
+    return inner.join(o, hit).drop("_k", "_until")
+
+
+def children(rows: DataFrame, key: str, tags: list[str]) -> DataFrame:
+    """(key, node, and a column for each tag): how many children with each tag the elements that have children have."""
+    count = [F.count_if(F.col("tag") == t).alias(t) for t in tags]
+    return rows.where("parent IS NOT NULL").groupBy(key, F.col("parent").alias("node")).agg(*count)
+
+
 def without(page: str, spans: list[tuple[int, int]]) -> str:
     """The page without some spans of it, which may lie inside one another."""
     out, at = [], 0

@@ -37,9 +37,30 @@ def split_at(df: DataFrame, keys: list[str], order: str, boundary: Column, fille
     return df.withColumn("group", 1 + F.sum(opens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def heading_level(counts: DataFrame) -> Column:
-    """First of h1, h2, h3 that occurs at least twice; null if none does."""
-    return F.when(F.col("h1") >= 2, "h1").when(F.col("h2") >= 2, "h2").when(F.col("h3") >= 2, "h3")
+def heading_level(counts: dict[str, Column] | None = None) -> Column:
+    """First of h1, h2, h3 that occurs at least twice; null if none does. counts: how often each does, else columns."""
+    counts = counts or {h: F.col(h) for h in ("h1", "h2", "h3")}
+    return F.when(counts["h1"] >= 2, "h1").when(counts["h2"] >= 2, "h2").when(counts["h3"] >= 2, "h3")
+
+
+def promoted(blocks: DataFrame, key: str, title: Column, fallback: Column) -> DataFrame:
+    """Adds ch and chapter: blocks of a document as titled chapters.
+
+    A chapter begins at each heading of the first level among h1, h2, h3 that two direct children of the body or more
+    have. It is titled by its first heading, else by fallback and its number; without such a level there is one, titled
+    by its first heading or title. A chapter without text or picture goes but is counted. blocks: key, pos, tag, body,
+    direct; title and fallback are columns of them.
+    """
+    w = Window.partitionBy(key)
+    n = lambda tag: F.count_if((F.col("tag") == tag) & F.col("direct")).over(w)
+    level = heading_level({h: n(h) for h in ("h1", "h2", "h3")})
+    counted = blocks.withColumns({"_title": title, "_fallback": fallback, "_level": level})
+    grouped = split_at(counted, [key], "pos", F.coalesce((F.col("tag") == F.col("_level")) & F.col("direct"), F.lit(False))).withColumnRenamed("group", "ch")
+    heading = F.when(F.col("tag").rlike("^h[1-6]$"), F.struct("pos", F.left(T.collapse(F.col("body")), F.lit(150)).alias("t")))
+    each = Window.partitionBy(key, "ch")
+    named = grouped.withColumns({"_head": F.min(heading).over(each)["t"], "_filled": F.max((F.col("tag") != "hr").cast("int")).over(each)})
+    own = F.when(F.col("_level").isNull(), F.col("_title")).otherwise(F.concat_ws(" ", "_fallback", F.col("ch").cast("string")))
+    return named.where("_filled = 1").withColumn("chapter", F.coalesce("_head", own)).drop("_title", "_fallback", "_level", "_head", "_filled")
 
 
 def boilerplate(pages: DataFrame, doc: str, page: str, line: str, short: int = 80, least_pages: int = 4, least: int = 3, share: float = 0.3) -> DataFrame:

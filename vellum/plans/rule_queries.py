@@ -9,7 +9,7 @@ from vellum.operators import accounts, cleanup, layout, packing, service, struct
 from vellum.plans.account_queries import PLAN_SQL
 from vellum.plans.service_queries import JOBS
 from vellum.sources import packages, tables
-from vellum.sources.writers import _element
+from vellum.sources.writers import piece
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -101,7 +101,7 @@ def pooled_labels(spark, sf_dir):
 def split_html_parts(spark, sf_dir):
     """Pages as blocks in parts of at most about 2 KB."""
     blocks = packages.html_blocks(tables.load(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), "html"))
-    parts = packing.split_blocks(blocks.select("path", "pos", _element().alias("piece")), 2048, 200)
+    parts = packing.split_blocks(blocks.select("path", "pos", piece().alias("piece")), 2048, 200)
     return parts.select(F.col("path").cast("long").alias("page_id"), "part", "parts", "size")
 
 

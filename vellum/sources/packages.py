@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from vellum.functions import files
 from vellum.functions import text as T
-from vellum.operators import markup, structure
+from vellum.operators import blocks, markup, structure
+from vellum.sources import markdown, parts
+from vellum.sources.wordblocks import docx_blocks
 
 #: A package with more entries or more unpacked bytes is not opened.
 MAX_ENTRIES, MAX_BYTES = 20_000, 1 << 30
@@ -140,7 +142,7 @@ def _package(data: bytes | None):
 
 def _books(found: DataFrame, key: str) -> DataFrame:
     """(key, base, p): folder and content of each book's package file."""
-    container = found.where("lower(name) = 'meta-inf/container.xml'").select(key, F.expr("xpath_string(cast(data as string), \"//*[local-name()='rootfile']/@full-path\")").alias("named"))
+    container = parts.root_files(found, key)
     opf = found.where("lower(name) like '%.opf'").join(container, key, "left")
     first = Window.partitionBy(key).orderBy(F.when(F.lower("name") == F.lower("named"), 0).otherwise(1), "ix")
     opf = opf.withColumn("_n", F.row_number().over(first)).where("_n = 1")
@@ -192,48 +194,13 @@ def chapters(pages: DataFrame, key: str = "path") -> DataFrame:
     """(key, ch, name, title, html): pages with content, titled by first heading, page title or number."""
     html = pages.withColumn("html", decoded_markup(F.col("data"))).drop("data")
     page = F.concat_ws("\x00", F.col(key), F.col("spine_ix").cast("string"))
-    nodes = markup.nodes(html.withColumn("_page", page), "html", "_page")
-    text = T.collapse(F.col("text"))
-    heads = nodes.groupBy("_page").agg(
-        F.min_by(text, F.when(F.col("tag").rlike("^h[1-6]$") & (text != ""), F.col("node"))).alias("head"),
-        F.min_by(text, F.when((F.col("tag") == "title") & (text != ""), F.col("node"))).alias("page_title"),
-        F.max((F.col("tag") == "img") | (~F.col("tag").isin("title", "style", "script", "head", "html") & (text != ""))).alias("filled"),
-    )
-    joined = html.withColumn("_page", page).join(heads, "_page").where("filled")
+    read = blocks.of_pages(html.withColumn("_page", page), "_page", hidden=markup.DROPPED).where("tag != 'hr'")
+    heads = read.groupBy("_page").agg(F.min_by(T.collapse(F.col("body")), F.when(F.col("tag").rlike("^h[1-6]$"), F.col("pos"))).alias("head"))
+    joined = markup.titles(html.withColumn("_page", page)).withColumnRenamed("title", "page_title").join(heads, "_page")
     ch = F.row_number().over(Window.partitionBy(key).orderBy("spine_ix"))
     titled = joined.withColumn("ch", ch)
-    return titled.select(key, "ch", "name", F.left(F.coalesce("head", "page_title", F.concat(F.lit("Chapter "), F.col("ch").cast("string"))), F.lit(150)).alias("title"), "html")
-
-
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-
-
-def docx_blocks(rows: DataFrame, key: str = "path") -> DataFrame:
-    """(key, pos, tag, body): paragraphs of Word packages; headings by their style, list items as li.
-
-    Tabs are em spaces and line breaks spaces; text boxes and pictures are not read.
-    """
-
-    def paragraphs(data: bytes | None) -> list[dict]:
-        try:
-            root = ElementTree.fromstring(data or b"")
-        except ElementTree.ParseError:
-            return []
-        out = []
-        for p in root.iter(f"{_W}p"):
-            style = p.find(f"{_W}pPr/{_W}pStyle")
-            name = (style.get(f"{_W}val") if style is not None else "") or ""
-            level = "".join(c for c in name if c.isdigit())
-            tag = f"h{min(int(level), 6)}" if name.lower().startswith(("heading", "title")) and level else "h1" if name.lower() == "title" else "li" if p.find(f"{_W}pPr/{_W}numPr") is not None or name.lower().startswith("list") else "p"
-            parts = {"t": lambda e: e.text or "", "tab": lambda e: " ", "br": lambda e: " ", "cr": lambda e: " "}
-            text = "".join(parts[n](e) for e in p.iter() if (n := e.tag.removeprefix(_W)) in parts)
-            out.append({"tag": tag, "body": text})
-        return out
-
-    types = pa.list_(pa.struct([("tag", pa.string()), ("body", pa.string())]))
-    read = F.arrow_udf(lambda c: pa.array([paragraphs(v) for v in c.to_pylist()], types), "array<struct<tag:string,body:string>>")
-    main = kept_entries(rows, key).where("name = 'word/document.xml'")
-    return main.select(key, F.posexplode(read("data")).alias("pos", "b")).select(key, "pos", "b.tag", "b.body").where(T.collapse(F.col("body")) != "")
+    named = F.coalesce("head", F.when(F.col("page_title") != "", F.col("page_title")), F.concat(F.lit("Chapter "), F.col("ch").cast("string")))
+    return titled.select(key, "ch", "name", F.left(named, F.lit(150)).alias("title"), "html")
 
 
 def text_blocks(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
@@ -242,38 +209,78 @@ def text_blocks(texts: DataFrame, key: str = "path", text: str = "text") -> Data
 
 
 def markdown_blocks(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """(key, pos, tag, body): headings, list items, rules and paragraphs of Markdown, inline marks taken off."""
-    lines = texts.select(key, F.posexplode(T.lines(F.col(text))).alias("line", "raw"))
-    heading, item = F.regexp_extract("raw", r"^(#{1,6})\s+(.*?)\s*#*\s*$", 1), F.regexp_extract("raw", r"^\s*([-*+]|\d+[.)])\s+(.*)$", 1)
-    kind = F.when(T.trim(F.col("raw")) == "", "blank").when(heading != "", F.concat(F.lit("h"), F.length(heading).cast("string"))).when(item != "", F.when(item.rlike("^[0-9]"), "ol").otherwise("ul"))
-    kind = kind.when(F.col("raw").rlike(r"^(?:-{3,}|\*{3,}|_{3,})\s*$"), "hr").otherwise("p")
-    body = F.when(heading != "", F.regexp_extract("raw", r"^(#{1,6})\s+(.*?)\s*#*\s*$", 2)).when(item != "", F.regexp_extract("raw", r"^\s*([-*+]|\d+[.)])\s+(.*)$", 2)).otherwise(T.trim(F.col("raw")))
-    marked = lines.select(key, "line", kind.alias("tag"), body.alias("body"))
-    before = F.lag("tag").over(Window.partitionBy(key).orderBy("line"))
-    opens = (~((F.col("tag") == "p") & F.coalesce(before == "p", F.lit(False)))).cast("int")
-    grouped = marked.withColumn("pos", F.sum(opens).over(Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0))).where("tag != 'blank'")
-    joined = grouped.groupBy(key, "pos").agg(F.first("tag").alias("tag"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "body"))), lambda x: x["body"]), " ").alias("body"))
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("body", r"\*\*(.+?)\*\*|__(.+?)__", "$1$2"), r"(?<![\w*])\*(?!\s)(.+?)\*", "$1"), "`([^`]+)`", "$1")
-    return joined.select(key, "pos", F.when(F.col("tag").isin("ul", "ol"), "li").otherwise(F.col("tag")).alias("tag"), plain.alias("body"))
+    """(key, pos, and the columns of blocks): headings, list items, rules and paragraphs of Markdown with their marks."""
+
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([markdown.blocks(t or "") for t in column.to_pylist()], pa.list_(blocks._BLOCK))
+
+    read = texts.select(key, F.posexplode(F.arrow_udf(run, f"array<{blocks.BLOCK}>")(F.col(text))).alias("pos", "b"))
+    return read.select(key, "pos", *[F.col(f"b.{c}").alias(c) for c in blocks.COLUMNS])
 
 
 def html_blocks(pages: DataFrame, key: str = "path", page: str = "html") -> DataFrame:
-    """(key, pos, tag, body): headings, paragraphs, list items and quotations of pages."""
-    nodes = markup.nodes(pages, page, key).where(F.col("tag").rlike("^(?:h[1-6]|p|li|blockquote|pre|td|th)$"))
-    return nodes.select(key, F.col("node").alias("pos"), F.when(F.col("tag").rlike("^h[1-6]$"), F.col("tag")).when(F.col("tag") == "li", "li").otherwise("p").alias("tag"), T.collapse(F.col("text")).alias("body")).where("body != ''")
+    """(key, pos, and the columns of blocks): all text of pages outside scripts, styles and heads, see blocks.of_pages."""
+    return blocks.of_pages(pages, key, page)
 
 
 def any_blocks(documents: DataFrame) -> DataFrame:
-    """(path, pos, tag, body): blocks of files of any readable kind. documents: path, ext, kind, content."""
+    """(path, ch, chapter, pos, and the columns of blocks): files of any readable kind as titled chapters.
+
+    documents: path, name, ext, kind, content. Elements that plain markup has not are not read. Pages of a book are
+    its chapters; other files have one for each heading of the highest level that recurs, see structure.promoted.
+    A picture is named by its source: an entry of the package, a path beside the file, or data.
+    """
     of = lambda kind: documents.where(F.col("kind") == kind)
     texts = of("txt").select("path", "ext", decoded(F.col("content")).alias("text"))
-    book = chapters(spine(entries(of("epub")))).select("path", "ch", F.concat_ws("\x00", "path", F.col("ch").cast("string")).alias("part"), "html")
-    book = book.select("path", "ch", "part").join(html_blocks(book.select("part", "html"), "part"), "part")
+    pages = chapters(spine(entries(of("epub"))))
+    part = F.concat_ws("\x00", "path", F.col("ch").cast("string"))
+    book = blocks.of_pages(pages.withColumn("part", part), "part", hidden=markup.DROPPED, keep=("path", "ch", "title", "name"))
+    base = F.regexp_replace("name", "/?[^/]*$", "")
+    inside = lambda source: F.when(source.startswith("data:"), source).otherwise(files.normal_path(base, source))
+    book = renamed_pictures(book, inside).drop("part", "name").withColumnRenamed("title", "chapter")
+    named = documents.select("path", F.regexp_replace("name", r"\.[^./]+$", "").alias("stem"))
+    kept = lambda f: f.select("path", F.col("pos").cast("int").alias("pos"), *blocks.COLUMNS)
+    plain = kept(blocks.whole(text_blocks(texts.where("ext != '.md'").drop("ext")))).unionByName(kept(markdown_blocks(texts.where("ext = '.md'").drop("ext"))))
+    plain = structure.promoted(plain.join(named, "path"), "path", F.col("stem"), F.lit("Part"))
+    html = of("html").select("path", decoded_markup(F.col("content")).alias("html"))
+    html_title = F.when(F.col("title") != "", F.col("title")).otherwise(F.col("stem"))
+    html = markup.titles(html).join(named, "path").withColumn("stem", html_title)
+    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    beside = lambda source: F.when(source.rlike("^(?:data:|https?://)"), source).otherwise(F.concat_ws("/", folder, files.normal_path(F.lit(""), source)))
+    pages = renamed_pictures(blocks.of_pages(html, "path", hidden=markup.DROPPED, keep=("stem",)), beside)
+    packed = kept_entries(entries(of("docx")))
+    word = docx_blocks(packed).join(named.join(parts.core_facts(packed), "path", "left").select("path", F.coalesce("title", "stem").alias("stem")), "path")
+    found = [plain, *(structure.promoted(f, "path", F.col("stem"), F.col("stem")) for f in (pages, word)), book]
+    return reduce(lambda a, b: a.unionByName(b), [f.select("path", "ch", "chapter", F.col("pos").cast("long").alias("pos"), *blocks.COLUMNS) for f in found])
+
+
+def renamed_pictures(rows: DataFrame, name) -> DataFrame:
+    """Blocks with the sources of their pictures changed by a column function; a null source takes the picture out."""
+    changed = F.transform("marks", lambda m: m.withField("value", F.when(m["mark"] == "img", name(m["value"])).otherwise(m["value"])))
+    changed = F.filter(changed, lambda m: (m["mark"] != "img") | m["value"].isNotNull())
+    body = F.when(F.col("tag") == "img", name(F.col("body"))).otherwise(F.col("body"))
+    return rows.withColumns({"marks": changed, "body": body}).where("body IS NOT NULL")
+
+
+def pictures(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """(path, source, name, media, data): the pictures that blocks of documents show, named by first use.
+
+    Equal pictures have one name. A picture of an unknown type, of fewer than 64 bytes or without data is none.
+    documents: path, kind, content of all files, among them pictures beside pages (of less than 20 MiB).
+    """
+    single = rows.where("tag = 'img'").select("path", "ch", "pos", F.lit(0).alias("at"), F.col("body").alias("source"))
+    inline = rows.select("path", "ch", "pos", F.explode(F.filter("marks", lambda m: m["mark"] == "img")).alias("m")).select("path", "ch", "pos", F.col("m.at").alias("at"), F.col("m.value").alias("source"))
+    used = single.unionByName(inline).groupBy("path", "source").agg(F.min(F.struct("ch", "pos", "at")).alias("first"))
+    packed = kept_entries(entries(documents.where("kind IN ('epub', 'docx')"))).select("path", F.lower("name").alias("low"), "data")
+    beside = documents.where("kind IS NULL AND octet_length(content) < 20971520").select(F.lower("path").alias("low"), F.col("content").alias("data"))
+    data = F.col("source").startswith("data:")
     found = [
-        text_blocks(texts.where("ext != '.md'").drop("ext")),
-        markdown_blocks(texts.where("ext = '.md'").drop("ext")),
-        html_blocks(of("html").select("path", decoded_markup(F.col("content")).alias("html"))),
-        docx_blocks(entries(of("docx"))),
-        book.select("path", (F.col("ch").cast("long") * (1 << 32) + F.col("pos")).alias("pos"), "tag", "body"),
+        used.where(data).withColumn("data", files.data_of_uri(F.col("source"))),
+        used.where(~data).withColumn("low", F.lower("source")).join(packed, ["path", "low"]).drop("low"),
+        used.where(~data).withColumn("low", F.lower("source")).join(beside, "low").drop("low"),
     ]
-    return reduce(lambda a, b: a.unionByName(b), [f.select("path", F.col("pos").cast("long").alias("pos"), "tag", "body") for f in found])
+    held = reduce(lambda a, b: a.unionByName(b.select(a.columns)), found)
+    kind = files.image_type(F.col("data"), F.when(data, "").otherwise(files.extension(F.col("source"))))
+    held = held.withColumn("type", kind).where("octet_length(data) >= 64 AND type.ext != '.bin'").withColumn("sha1", F.sha1("data"))
+    names = structure.image_names(held, "path", ["first"], "data").select("path", "sha1", F.col("name").alias("stem"))
+    return held.join(names, ["path", "sha1"]).select("path", "source", F.concat("stem", "type.ext").alias("name"), F.col("type.mime").alias("media"), "data")

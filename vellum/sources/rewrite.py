@@ -11,14 +11,14 @@ import zipfile
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import files
 from vellum.functions import text as T
 from vellum.operators import cleanup, markup, translate
-from vellum.sources import packages, writers
+from vellum.shared import written
+from vellum.sources import packages, parts, writers
 
 PAGE = "array<struct<name:string,data:binary>>"
 
@@ -88,13 +88,13 @@ def cleaned_books(packed: DataFrame, key: str = "path", content: str = "content"
     Pages that leave go with their entries in the manifest, the spine and the contents lists of both kinds; marked
     blocks are cut out of the pages that stay. Prolog, comments and all other bytes of the edited entries stay.
     """
-    # kept on disk, as what goes is worked out from the pages in several passes
-    pages = packages.spine(packages.entries(packed, key, content), key).withColumn("html", packages.decoded_markup(F.col("data"))).persist(StorageLevel.DISK_ONLY)
-    removed = cleanup.removed_pages(pages, key).persist(StorageLevel.DISK_ONLY)
+    # what goes is worked out from the pages in several passes
+    pages = written(packages.spine(packages.entries(packed, key, content), key).withColumn("html", packages.decoded_markup(F.col("data"))))
+    removed = written(cleanup.removed_pages(pages, key))
     staying = pages.join(removed.select(key, "name"), [key, "name"], "left_anti")
     single = Window.partitionBy(key)
     staying = staying.withColumn("_n", F.count("*").over(single)).join(removed.select(key).distinct().withColumn("_some", F.lit(True)), key, "left").where("_n > 1 OR _some").drop("_n", "_some")
-    dropped = cleanup.dropped_blocks(staying, key).join(pages.select(key, "spine_ix", "name"), [key, "spine_ix"]).persist(StorageLevel.DISK_ONLY)
+    dropped = written(cleanup.dropped_blocks(staying, key).join(pages.select(key, "spine_ix", "name"), [key, "spine_ix"]))
     gone = removed.groupBy(key).agg(F.collect_list("name").alias("_gone"))
     cut = dropped.groupBy(key, "name").agg(F.collect_list("node").alias("nodes")).groupBy(key).agg(F.collect_list(F.struct("name", "nodes")).alias("_cut"))
     notes = cleanup.notes(removed, dropped, key).groupBy(key).agg(F.sort_array(F.collect_list("note")).alias("notes"))
@@ -166,21 +166,49 @@ def convert(documents: DataFrame, to: str) -> DataFrame:
     """(path, name, content): files as the kind of the extension to (.txt, .html, .epub or .docx).
 
     documents: path, name, ext, kind, content. A file of that kind is copied byte for byte; others are read as blocks
-    and written anew. Rows of an unknown or unreadable kind have null content.
+    and written anew, with their marks, lists, tables, pictures, cover and styles as far as the kind has them. Rows of
+    an unknown or unreadable kind have null content. Pictures beside pages are found if they are among the documents.
     """
     same = files.same_kind(F.col("ext"), F.lit(to))
     name = F.concat(F.regexp_replace("name", r"\.[^./]+$", ""), F.lit(to))
     copies = documents.where(same).select("path", "name", "content")
     others = documents.where(~F.coalesce(same, F.lit(False)))
-    blocks = packages.any_blocks(others)
-    titles = others.select("path", F.regexp_replace("name", r"\.[^./]+$", "").alias("title"), F.lit(None).cast("string").alias("author"))
-    titles = titles.join(blocks.select("path").distinct(), "path", "left_semi")
-    made = {".txt": writers.as_text, ".html": writers.as_html, ".epub": writers.as_epub, ".docx": writers.as_word}[to](blocks, titles)
+    # read once: writers go over the blocks for text, pictures and names
+    blocks = written(packages.any_blocks(others))
+    titles = written(_titles(others).join(blocks.select("path").distinct(), "path", "left_semi"))
+    if to == ".txt":
+        made = writers.as_text(blocks, titles)
+    else:
+        shown = blocks.unionByName(_covers(titles), allowMissingColumns=True)
+        images = written(packages.pictures(documents.where(~F.coalesce(same, F.lit(False))), shown))
+        covers = titles.select("path", F.lower("cover").alias("source")).where("source IS NOT NULL").join(images.withColumn("source", F.lower("source")).select("path", "source", F.col("name").alias("cover_name")), ["path", "source"])
+        titles = titles.drop("cover").join(covers.select("path", F.col("cover_name").alias("cover")).dropDuplicates(["path"]), "path", "left")
+        made = {".html": writers.as_html, ".epub": writers.as_epub, ".docx": writers.as_word}[to](blocks, titles, images=images)
     data = F.col(made.columns[1])
     made = made.select("path", (data if to in (".epub", ".docx") else F.encode(data, "UTF-8")).alias("content"))
     return copies.unionByName(others.select("path", name.alias("name")).join(made, "path", "left").select("path", "name", "content"))
 
 
+def _covers(titles: DataFrame) -> DataFrame:
+    """Covers as pictures behind all others, so that they are read too."""
+    last = F.lit(2**31 - 1)
+    return titles.where("cover IS NOT NULL").select("path", last.alias("ch"), last.cast("long").alias("pos"), F.lit("img").alias("tag"), F.col("cover").alias("body"))
+
+
+def _titles(documents: DataFrame) -> DataFrame:
+    """(path, title, author, lang, css, cover): what documents say of themselves; a title is at least the file's name."""
+    stem = F.regexp_replace("name", r"\.[^./]+$", "")
+    of = lambda kind: documents.where(F.col("kind") == kind)
+    books = packages.extras(packages.entries(of("epub")))
+    pages = of("html").select("path", packages.decoded_markup(F.col("content")).alias("html"))
+    sheets = F.array_join(F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<style\b[^>]*>(.*?)</style\s*>"), 1), lambda s: s), "\n")
+    pages = markup.titles(pages.withColumn("css", sheets)).select("path", "title", "css")
+    word = parts.core_facts(packages.kept_entries(packages.entries(of("docx"))))
+    found = books.unionByName(pages, allowMissingColumns=True).unionByName(word, allowMissingColumns=True)
+    rows = documents.select("path", stem.alias("stem")).join(found, "path", "left")
+    return rows.select("path", F.coalesce(F.when(F.col("title") != "", F.col("title")), "stem").alias("title"), "author", "lang", "css", "cover")
+
+
 def text_only(pages: Column) -> Column:
     """Pages without their images."""
     return F.regexp_replace(pages, r"(?is)<(?:img|image)\b[^>]*>", "")
