@@ -143,8 +143,9 @@ class Index:
     def recurring(self, texts: list[np.ndarray], least: int) -> list[np.ndarray]:
         """For each streamed text, which of its windows of least words recur (len(text) - least + 1 booleans).
 
-        The longest recurring suffix of a text is found first: matching statistics of all its places at once. Places
-        before it are searched from the left: what breaks a match from the right excludes all windows that hold it.
+        The longest recurring suffix of a text is found first: matching statistics of all its places at once. Windows
+        before it are searched from the left: what breaks a match from the right excludes all windows that hold it, and
+        a window that recurs is made as long as it goes.
         """
         lengths = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(lengths)
@@ -156,16 +157,25 @@ class Index:
         whole = ends[enough] - at >= least
         np.add.at(found, at[whole], 1)
         np.add.at(found, ends[enough][whole] - least + 1, -1)
-        place, until = starts[enough], np.minimum(at - 1, ends[enough] - least - 1)
+        place, until = starts[enough].copy(), np.minimum(at - 1, ends[enough] - least - 1)
         live = np.flatnonzero(place <= until)
-        place = place.copy()
         while len(live):
             here = place[live]
             broke = self.backward(symbols, here, here + least)
             hit = broke == here
-            np.add.at(found, here[hit], 1)
-            np.add.at(found, here[hit] + 1, -1)
-            place[live] = np.where(hit, here + 1, broke)
+            place[live] = broke
+            run, here = live[hit], here[hit]
+            # how far a match from here reaches, by halving; one that reaches too far breaks early
+            low, high = here + least, until[run] + least + 1
+            tried = high - 1
+            while len(open_ends := np.flatnonzero(low + 1 < high)):
+                reach = self.backward(symbols, here[open_ends], tried[open_ends]) == here[open_ends]
+                low[open_ends] = np.where(reach, tried[open_ends], low[open_ends])
+                high[open_ends] = np.where(reach, high[open_ends], tried[open_ends])
+                tried = (low + high) // 2
+            np.add.at(found, here, 1)
+            np.add.at(found, low - least + 1, -1)
+            place[run] = low - least + 1
             live = live[place[live] <= until[live]]
         recur = np.cumsum(found)[:-1] > 0
         return [recur[s : max(s, e - least + 1)] for s, e in zip(starts, ends)]
