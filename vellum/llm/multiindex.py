@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by cosine with an inverted multi-index.
 
 Unit vectors are cut into two halves, and each half is quantised by its own codebook (k-means in numpy on a bounded
-sample). A cell is a pair of centroids. A query walks the pairs in the order of their summed distances with a heap
-(the multi-sequence algorithm) until the cells it took hold the wanted share of all entries, and the entries of
-these cells are reranked by the cosine of the original vectors.
+sample, on which the share below is measured as well). A cell is a pair of centroids. A query walks the pairs in the
+order of their summed distances with a heap (the multi-sequence algorithm) until the cells it took hold the wanted
+share of all entries, and the entries of these cells are reranked by the cosine of the original vectors.
 
 Equal vectors are one entry with its few smallest ids, which loses nothing of a result of as many. Entries stand in
 the order of their cells in blocks of about BLOCK; a cell with more of them spans several blocks. A query visits the
@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from vellum.llm.common import written
 
 CENTROIDS = 128
-SAMPLE = 20_000
-#: Share of the entries that a query reranks at least.
-SHARE = 0.35
+#: Entries, and numbers in them, that the driver fits the codebooks on at most.
+SAMPLE, SAMPLE_NUMBERS = 20_000, 4 << 20
+#: The recall for which the share of entries that a query reranks is measured, and the queries that measure it.
+RECALL, MEASURED = 0.95, 512
 BLOCK, GROUP = 2048, 512
 
 
@@ -76,6 +77,28 @@ def walk(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, wanted: int) ->
     return out
 
 
+def reach(points: np.ndarray, books: list[np.ndarray], half: int, k: int, recall: float, queries: int = MEASURED, seed: int = 5) -> float:
+    """The least share of entries whose cells hold that share of the k nearest of a sample's own points.
+
+    Worked out on the sample by brute force. Among more entries the nearest are nearer, so a smaller share would do.
+    """
+    n = len(points)
+    if n <= k + 1:
+        return 1.0
+    left, right = _distances(points[:, :half], books[0]), _distances(points[:, half:], books[1])
+    cells = left.argmin(axis=1) * len(books[1]) + right.argmin(axis=1)
+    sizes = np.bincount(cells, minlength=len(books[0]) * len(books[1]))
+    shares = []
+    for q in np.random.default_rng(seed).choice(n, min(queries, n), replace=False):
+        near = points @ points[q]
+        near[q] = -np.inf
+        order = (left[q][:, None] + right[q]).ravel().argsort(kind="stable")
+        held = np.empty(len(order))
+        held[order] = sizes[order].cumsum()
+        shares.append(held[cells[np.argpartition(-near, k - 1)[:k]]] / n)
+    return float(np.quantile(np.concatenate(shares), recall, method="higher"))
+
+
 def cosines(queries: np.ndarray, entries: np.ndarray) -> np.ndarray:
     """Cosine of each query with each entry, in doubles and in one order of summing, whatever stands beside them."""
     q, e = (m / np.abs(m).max(axis=1, keepdims=True) for m in (queries, entries))
@@ -83,7 +106,7 @@ def cosines(queries: np.ndarray, entries: np.ndarray) -> np.ndarray:
     return top / np.sqrt((q * q).sum(axis=1))[:, None] / np.sqrt((e * e).sum(axis=1))
 
 
-def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, centroids: int = CENTROIDS, share: float = SHARE, sample: int = SAMPLE, block: int = BLOCK, group: int = GROUP) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, centroids: int = CENTROIDS, share: float | None = None, recall: float = RECALL, sample: int = SAMPLE, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """The k nearest entries found for each query: query_id, rank from 1, vec_id, score (cosine in doubles).
 
     Nearest first, ties to the smaller id; all entries, if there are fewer than k besides the query's own id.
@@ -92,8 +115,9 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
     vector count once; an id with several vectors is an entry with each. Empty tables give no rows. Other columns
     of either table are not read. Ids that are not numbers are cast to long, and fail or count as null by the session.
 
-    A query's vector goes to each block it visits, so what is shuffled grows with queries times share times entries;
-    with more centroids a smaller share gives the same recall.
+    share: of the entries that a query reranks at least; if none is given, the one that holds recall of the nearest
+    of a bounded sample, see reach. A query's vector goes to each block it visits, so what is shuffled grows with
+    queries times share times entries.
     """
     spark = df.sparkSession
     good = lambda d: d.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable("v"))
@@ -106,11 +130,12 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
     ids = good(df).where(F.size("v") == width).withColumn("hash", F.xxhash64("v")).distinct()
     entries = written(_smallest_ids(ids, k + 1))
 
-    drawn = entries.orderBy(F.xxhash64("hash"), "hash").limit(sample).select("v").collect()
+    drawn = entries.orderBy(F.xxhash64("hash"), "hash").limit(max(1, min(sample, SAMPLE_NUMBERS // width))).select("v").collect()
     points = _unit(np.array([r["v"] for r in drawn]))
     half = width // 2
     books = [kmeans(points[:, :half], centroids), kmeans(points[:, half:], centroids)] if half else [np.zeros((1, 0)), kmeans(points, centroids)]
     shape = (len(books[0]), len(books[1]))
+    share = reach(points, books, half, k, recall) if share is None else share
     shared = spark.sparkContext.broadcast(books)
 
     def cell_of(vectors: pa.Array) -> pa.Array:
