@@ -122,3 +122,20 @@ def test_edge_cases(spark):
     out = mixing.mixed(df)
     assert out.columns == df.columns and {r.doc_id for r in out.collect()} <= {4, None}
     assert mixing.taken(df.limit(0)).count() == 0 and mixing.mixed(df.limit(0)).count() == 0
+
+
+def test_draws_are_hypergeometric_at_every_size():
+    rng = np.random.default_rng(1)
+    for good, bad, n in ((300, 700, 100), (700, 300, 900), (50, 5000, 60), (400, 400, 400), (5, 10**6, 1000), (900, 100, 40), (7, 9, 16), (0, 9, 4)):
+        ours = np.array([mixing.hypergeometric(rng, good, bad, n, many=0) for _ in range(5000)])
+        share, rest = good / (good + bad), good + bad - n
+        mean, deviation = n * share, (n * share * (1 - share) * rest / max(1, good + bad - 1)) ** 0.5
+        assert abs(ours.mean() - mean) <= 5 * deviation / 5000**0.5 + 1e-9
+        assert 0.93 * deviation <= ours.std() <= 1.07 * deviation or deviation < 0.1
+        assert ours.min() >= max(0, n - bad) and ours.max() <= min(n, good)
+    due = np.array([3 * 10**12, 0, 10**12, 5, 4 * 10**12])
+    got = np.array([mixing.drawn(rng, 2 * 10**12, due) for _ in range(300)])
+    assert (got.sum(axis=1) == 2 * 10**12).all() and (got <= due).all() and (got >= 0).all()
+    assert np.abs(got.mean(axis=0) / 2e12 - due / due.sum()).max() < 1e-6
+    small = np.array([3, 5, 2])
+    assert (mixing.drawn(np.random.default_rng(2), 10, small, many=0) == small).all()

@@ -80,18 +80,58 @@ def plan(slim: DataFrame, weights=WEIGHTS, share: float = SHARE, block: int = BL
     return out
 
 
-def drawn(rng: np.random.Generator, n: int, due: np.ndarray) -> np.ndarray:
+#: numpy draws hypergeometric numbers from fewer than so many.
+MANY = 1_000_000_000
+#: Constants of the ratio-of-uniforms method: 2 * sqrt(2 / e) and 3 - 2 * sqrt(3 / e).
+_WIDE, _MORE = 2 * math.sqrt(2 / math.e), 3 - 2 * math.sqrt(3 / math.e)
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int, many: int = MANY) -> int:
+    """How many of n that are drawn without putting back, from good and bad ones, are good; for any numbers.
+
+    From MANY on by ratio of uniforms (Stadlober 1990): a point under the curve of the frequencies, relative to the
+    most likely number, is accepted. Logarithms of factorials make it right to about 1e-3 of a frequency at 1e12.
+    """
+    whole = good + bad
+    if whole < many:
+        return int(rng.hypergeometric(good, bad, n))
+    least, drawn_ones = min(good, bad), min(n, whole - n)
+    if drawn_ones == 0 or least == 0:
+        hits = 0
+    elif drawn_ones <= 16:
+        hits = 0
+        for k in range(drawn_ones):
+            hits += int(rng.integers(whole - k)) < least - hits
+    else:
+        rare = least / whole
+        middle = drawn_ones * rare + 0.5
+        spread = math.sqrt((whole - drawn_ones) / (whole - 1) * drawn_ones * rare * (1 - rare) + 0.5)
+        top = (drawn_ones + 1) * (least + 1) // (whole + 2)
+        log_of = lambda k: -(math.lgamma(k + 1) + math.lgamma(least - k + 1) + math.lgamma(drawn_ones - k + 1) + math.lgamma(whole - least - drawn_ones + k + 1))
+        highest, limit = log_of(top), min(drawn_ones, least) + 1
+        while True:
+            u, v = 1.0 - rng.random(), rng.random()
+            x = middle + (_WIDE * spread + _MORE) * (v - 0.5) / u
+            if 0 <= x < limit and 2 * math.log(u) <= log_of(int(x)) - highest:
+                hits = int(x)
+                break
+    # back from the rarer kind, and from what is left over, to what was asked
+    hits = hits if good <= bad else drawn_ones - hits
+    return hits if drawn_ones == n else good - hits
+
+
+def drawn(rng: np.random.Generator, n: int, due: np.ndarray, many: int = MANY) -> np.ndarray:
     """How many of n slots come from each source, of which there are due: multinomial draws that end at their totals.
 
-    Such draws, given their totals, are hypergeometric. numpy draws these below a billion slots; runs of more are
-    halved by plain multinomial draws, where what a source does not have is drawn again.
+    Such draws, given their totals, are hypergeometric at every size: by numpy below a billion, else source by source.
     """
-    if due.sum() < 1_000_000_000:
+    if due.sum() < many:
         return rng.multivariate_hypergeometric(due, n, method="marginals")
-    out = np.zeros_like(due)
-    while n > out.sum():
-        rest = due - out
-        out += np.minimum(rng.multinomial(n - out.sum(), rest / rest.sum()), rest)
+    out, rest = np.zeros_like(due), int(due.sum())
+    for i, own in enumerate(due.tolist()):
+        rest -= own
+        out[i] = hypergeometric(rng, own, rest, n, many) if own and n else 0
+        n -= int(out[i])
     return out
 
 
