@@ -99,3 +99,24 @@ def test_a_banned_user_loses_the_slot(spark, tmp_path):
     df = spark.createDataFrame(rows, "user_id long, job_id long, status string, seq long, banned boolean")
     got = result(spark, accounts.job_slots(stream(spark, df, tmp_path, "bans", order="seq")), tmp_path, "banned_slots")
     assert sorted((r.job_id, r.verdict) for r in got.collect()) == [(10, "accepted"), (10, "cancelled"), (11, "accepted"), (11, "cancelled"), (12, "accepted")]
+
+
+def state_rows(spark, tmp_path, name):
+    return spark.read.format("statestore").load(str(tmp_path / f"{name}-state")).count()
+
+
+def test_state_goes_with_the_job_and_order_is_by_seq(spark, tmp_path):
+    rows = [(u, u * 10, status, seq) for u in (1, 2, 3) for seq, status in ((1, "queued"), (2, "running"), (3, "done"))] + [(4, 40, "queued", 1), (4, 41, "queued", 2), (4, 40, "failed", 3), (4, 42, "queued", 4)]
+    df = spark.createDataFrame(rows[::-1], "user_id long, job_id long, status string, seq long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)  # a frame for each row
+    try:
+        got = result(spark, accounts.job_slots(stream(spark, df, tmp_path, "mixed", parts=1)), tmp_path, "mixed_slots")
+        want = [(u, u * 10, v) for u in (1, 2, 3) for v in ("accepted", "done")] + [(4, 40, "accepted"), (4, 40, "failed"), (4, 41, "refused"), (4, 42, "accepted")]
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert state_rows(spark, tmp_path, "mixed_slots") == 1
+        marks = spark.createDataFrame([(j, t, t, 9 if j == 1 else 99) for j in (1, 2) for t in range(9, -1, -1)], "job_id long, at long, done long, total long")
+        sent = result(spark, health.throttled(stream(spark, marks, tmp_path, "marks2", parts=1)), tmp_path, "sent2")
+        assert sorted((r.job_id, r.at) for r in sent.collect()) == [(j, t) for j in (1, 2) for t in (0, 3, 6, 9)]
+        assert state_rows(spark, tmp_path, "sent2") == 1
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 FREE_CHARS, FREE_MB = 1_000_000, 20
 CREDIT_MB, ADMIN_MB = 50, 200
+#: The largest file that the service can be sent.
+SERVICE_MB = 2000
 BATCH_ITEMS, BATCH_CHARS = 150, 9000
 REQUEST_ITEMS, REQUEST_CHARS = 400, 30_000
 FAILS, COOL_FAILS, COOL_PING, COOL_BUSY = 5, 120, 60, 15
@@ -26,6 +28,8 @@ FORMATS = [
     (".epub", "epub", "EPUB"), (".pdf", "pdf", "PDF"), (".docx", "docx", "DOCX"), (".txt", "txt", "TXT"),
     (".md", "txt", "Markdown"), (".html", "html", "HTML"), (".htm", "html", "HTML"), (".xhtml", "html", "XHTML"),
 ]
+#: Kinds of files that can be read and written here; the others need a library that lays out pages.
+READABLE, WRITABLE = ("epub", "docx", "txt", "html"), ("epub", "docx", "txt", "html")
 #: Media type, extension.
 MEDIA = [
     ("application/epub+zip", ".epub"), ("text/plain", ".txt"), ("text/markdown", ".md"), ("text/html", ".html"), ("application/xhtml+xml", ".xhtml"),

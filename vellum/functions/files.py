@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellum.config import FORMATS, MAGIC, MEDIA
+from vellum.config import FORMATS, MAGIC, MEDIA, READABLE, WRITABLE
 
 
 def _lookup(c: Column, pairs) -> Column:
@@ -36,10 +36,44 @@ def label_of(ext: Column) -> Column:
     return F.coalesce(_lookup(F.lower(ext), [(f[0], f[2]) for f in FORMATS]), F.upper(F.regexp_replace(ext, r"^\.+", "")))
 
 
+def output_label(out: Column, own: Column) -> Column:
+    """What a file will be made into, by the extensions of the output and of the file; either may be empty."""
+    named = F.coalesce(own, F.lit("")) != ""
+    same = (F.coalesce(out, F.lit("")) == "") | (named & F.coalesce(same_kind(out, own), F.lit(False)))
+    return F.when(same & named, F.concat(label_of(own), F.lit(" (same as input)"))).when(same, "same as input").otherwise(label_of(out))
+
+
+def page_entry(name: Column, data: Column) -> Column:
+    """Whether an entry of a package is a page: by its name, and a plain .xml by what its first 4 KiB say."""
+    low = F.lower(name)
+    head = F.lower(F.decode(F.substring(data, 1, 4096), "ISO-8859-1"))
+    fits = low.rlike(r"\.(?:xhtml|html|htm|xml)$") & ~low.endswith("container.xml") & ~F.contains(low, F.lit("meta-inf/"))
+    return fits & (~low.endswith(".xml") | F.contains(head, F.lit("<html")) | F.contains(head, F.lit("1999/xhtml")))
+
+
 def same_kind(a: Column, b: Column) -> Column:
     return _lookup(F.lower(a), [f[:2] for f in FORMATS]) == _lookup(F.lower(b), [f[:2] for f in FORMATS])
 
 
+def readable(ext: Column) -> Column:
+    """Whether files of an extension can be read; null for unknown ones."""
+    return _lookup(F.lower(ext), [f[:2] for f in FORMATS]).isin(*READABLE)
+
+
+def writable(ext: Column) -> Column:
+    """Whether files of an extension can be written; null for unknown ones."""
+    return _lookup(F.lower(ext), [f[:2] for f in FORMATS]).isin(*WRITABLE)
+
+
+def outputs() -> list[str]:
+    """Extensions that conversion offers: the first of each kind that can be written."""
+    first: dict[str, str] = {}
+    for ext, kind, _ in FORMATS:
+        if kind in WRITABLE:
+            first.setdefault(kind, ext)
+    return list(first.values())
+
+
 def image_type(data: Column, hint: Column) -> Column:
     """struct(ext, mime) by first bytes, then by the hinted extension."""
     head = F.hex(F.substring(data, 1, 2048))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.config import ADMIN_MB, CREDIT_MB, DAY, FREE_CHARS, FREE_MB, PLAN_COLUMNS, PLANS
+from vellum.config import ADMIN_MB, CREDIT_MB, DAY, FREE_CHARS, FREE_MB, PLANS, PLAN_COLUMNS, SERVICE_MB
+from vellum.functions.files import readable, writable
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
@@ -117,6 +118,20 @@ def access(users: DataFrame, now: int) -> DataFrame:
     return df.select(*users.columns, chosen.alias("_a")).select(*users.columns, "_a.*")
 
 
+def file_reason(ext: Column, source: Column, size: Column, max_mb: Column, busy: Column, open_now: Column, service_mb: int = SERVICE_MB, out: Column | None = None) -> Column:
+    """Why a file is not taken: the code of the first rule that it breaks, null if it breaks none.
+
+    In order: unsupported (kind of file), unavailable (kind of output), blocked (nothing pays for it), plan_limit and
+    service_limit (bytes), busy (the user has a file in progress), offline (no service).
+    """
+    mega = 1 << 20
+    rules = [
+        ("unsupported", ~F.coalesce(readable(ext), F.lit(False))), ("unavailable", F.lit(False) if out is None else ~F.coalesce(writable(out), F.lit(False))),
+        ("blocked", source == "blocked"), ("plan_limit", size > max_mb.cast("long") * mega), ("service_limit", size > service_mb * mega), ("busy", busy), ("offline", ~open_now),
+    ]
+    return F.coalesce(*[F.when(broken, code) for code, broken in rules])
+
+
 def activation(payments: DataFrame) -> DataFrame:
     """Adds grant, granted_plan, granted_days and granted_credits: what a paid row gives; a plan that is gone gives
     premium days."""

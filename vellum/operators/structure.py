@@ -37,6 +37,30 @@ def split_at(df: DataFrame, keys: list[str], order: str, boundary: Column, fille
     return df.withColumn("group", 1 + F.sum(opens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+SPANS = "array<struct<group:int,start:int,n:int>>"
+_SPANS = pa.list_(pa.struct([("group", pa.int32()), ("start", pa.int32()), ("n", pa.int32())]))
+
+
+def spans_at(boundaries: Column, filled: Column) -> Column:
+    """Groups of a row's items by the rule of split_at, without a shuffle: group from 1, first item from 0, number.
+
+    boundaries, filled: for each item whether it begins a group, and whether it counts as content (array<boolean>).
+    """
+
+    def run(edges: pa.Array, content: pa.Array) -> pa.Array:
+        out = []
+        for e, c in zip(edges.to_pylist(), content.to_pylist()):
+            starts, seen = [], False
+            for i, (edge, full) in enumerate(zip(e or [], c or [])):
+                if not i or edge and seen:
+                    starts.append(i)
+                seen = seen or bool(full)
+            out.append([{"group": g, "start": a, "n": b - a} for g, (a, b) in enumerate(zip(starts, [*starts[1:], len(e or [])]), 1)])
+        return pa.array(out, _SPANS)
+
+    return F.arrow_udf(run, SPANS)(boundaries, filled)
+
+
 def heading_level(counts: dict[str, Column] | None = None) -> Column:
     """First of h1, h2, h3 that occurs at least twice; null if none does. counts: how often each does, else columns."""
     counts = counts or {h: F.col(h) for h in ("h1", "h2", "h3")}

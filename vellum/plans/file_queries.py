@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vellum import shared
 from vellum.functions import files, messages
 from vellum.functions import text as T
 from vellum.operators import accounts, cleanup, layout, packing, service, structure
 from vellum.plans.service_queries import JOBS
 from vellum.plans.text_queries import LINES, W
-from vellum.sources import tables
+from vellum.sources import logs, tables
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -115,9 +116,9 @@ def gates(spark, sf_dir):
     return tables.load(spark, sf_dir, "part").select("p_partkey", bought.alias("may_buy"), messages.member(_dealt(c("p_partkey"), [None, True, False])).alias("member"))
 
 
-@query("""SELECT doc_id, CASE WHEN n_chars >= 1000000 THEN 'M' WHEN n_chars >= 1000 THEN CAST(n_chars // 1000 AS VARCHAR) || 'k' ELSE CAST(n_chars AS VARCHAR) END || ' of 1M characters are left for today' AS line FROM documents WHERE n_chars < 1000000""")
+@query("""SELECT doc_id, CASE WHEN n_chars >= 1000000 THEN replace(printf('%.1fM', n_chars / 1e6), '.0M', 'M') WHEN n_chars >= 1000 THEN CAST(n_chars // 1000 AS VARCHAR) || 'k' ELSE CAST(n_chars AS VARCHAR) END || ' of 1M characters are left for today' AS line FROM documents""")
 def quota_line(spark, sf_dir):
-    docs = tables.load(spark, sf_dir, "documents").where("n_chars < 1000000")
+    docs = tables.load(spark, sf_dir, "documents")
     return docs.select("doc_id", messages.quota_line(F.col("n_chars"), 1_000_000).alias("line"))
 
 
@@ -209,3 +210,55 @@ def field_updates(spark, sf_dir):
     n = F.col("event_id")
     log = tables.load(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), F.when(n % 3 == 0, F.col("event_type")).alias("lang"), F.when(n % 3 == 1, n % 40 - 20).alias("credits"))
     return accounts.updated(log, "user_id", "at", ["lang", "credits"], floored=("credits",))
+
+
+@query("""WITH f AS (SELECT event_id, lower(regexp_extract(['a.epub', 'b.PDF', 'c.docx', 'd.zip', 'e.md'][1 + event_id % 5], '(\\.[^.]+)$', 1)) AS ext, ['.txt', '.pdf', '.epub', '.docx'][1 + user_id % 4] AS wanted,
+  CASE WHEN user_id % 9 = 0 THEN 'blocked' WHEN user_id % 2 = 0 THEN 'sub' ELSE 'free' END AS source, CAST(floor(value * 1048576) AS BIGINT) AS size, event_type FROM events)
+SELECT event_id, CASE WHEN ext NOT IN ('.epub', '.docx', '.txt', '.md', '.html', '.htm', '.xhtml') THEN 'unsupported' WHEN wanted = '.pdf' THEN 'unavailable' WHEN source = 'blocked' THEN 'blocked'
+  WHEN size > CASE source WHEN 'sub' THEN 200 ELSE 20 END * 1048576 THEN 'plan_limit' WHEN size > 50 * 1048576 THEN 'service_limit' WHEN event_type = 'view' THEN 'busy' WHEN event_type = 'error' THEN 'offline' END AS reason FROM f""")
+def file_reasons(spark, sf_dir):
+    """Events as files sent: what stands against each of them first."""
+    events = tables.load(spark, sf_dir, "events")
+    ext = files.extension(_dealt(F.col("event_id"), ["a.epub", "b.PDF", "c.docx", "d.zip", "e.md"]))
+    source = F.when(F.col("user_id") % 9 == 0, "blocked").when(F.col("user_id") % 2 == 0, "sub").otherwise("free")
+    sent = events.select("event_id", "event_type", ext.alias("ext"), _dealt(F.col("user_id"), [".txt", ".pdf", ".epub", ".docx"]).alias("wanted"), source.alias("source"), F.floor(F.col("value") * 1048576).alias("size"))
+    most = F.when(F.col("source") == "sub", 200).otherwise(20)
+    reason = accounts.file_reason(F.col("ext"), F.col("source"), F.col("size"), most, F.col("event_type") == "view", F.col("event_type") != "error", service_mb=50, out=F.col("wanted"))
+    return sent.select("event_id", reason.alias("reason"))
+
+
+@query("""WITH log AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE event_type END AS kind, CASE WHEN event_id % 3 = 2 THEN value END AS value FROM events),
+last AS (SELECT user_id, max(event_id) AS event_id FROM log GROUP BY user_id)
+SELECT log.user_id, log.event_id, kind, value FROM log JOIN last USING (event_id)""")
+def schema_log(spark, sf_dir):
+    """Events as a log in three versions of its schema, each with a column more, compacted to a user's last row."""
+    events = tables.load(spark, sf_dir, "events")
+    kept = (["event_id", "user_id", "ts"], ["kind"], ["value"])
+    at, to = shared.folder(spark), shared.folder(spark)
+    columns: list[str] = []
+    for version, more in enumerate(kept):
+        columns += more
+        logs.append(events.where(F.col("event_id") % 3 == version).withColumnRenamed("event_type", "kind").select(*columns), at, version)
+    logs.compact(spark, at, to, "user_id", "event_id", defaults={"kind": "unknown"})
+    return logs.read(spark, to).select("user_id", "event_id", "kind", "value")
+
+
+@query("""WITH d AS (SELECT doc_id, n_chars, ['.epub', '.txt', '.md', '.xyz', ''][1 + doc_id % 5] AS own, ['', '.txt', '.docx', '.html'][1 + n_chars % 4] AS wanted FROM documents),
+l AS (SELECT *, CASE own WHEN '.epub' THEN 'EPUB' WHEN '.txt' THEN 'TXT' WHEN '.md' THEN 'Markdown' WHEN '.xyz' THEN 'XYZ' ELSE '' END AS own_label, CASE wanted WHEN '.txt' THEN 'TXT' WHEN '.docx' THEN 'DOCX' WHEN '.html' THEN 'HTML' END AS wanted_label,
+  wanted = '' OR (own IN ('.txt', '.md') AND wanted = '.txt') AS same FROM d)
+SELECT doc_id, CASE WHEN same AND own <> '' THEN own_label || ' (same as input)' WHEN same THEN 'same as input' ELSE wanted_label END AS output,
+  CASE WHEN n_chars - 500 <= 0 THEN 'no split' WHEN n_chars - 500 >= 1024 THEN '≤ ' || printf('%.1f', round_even((n_chars - 500) / 1024.0, 1)) || ' MB per file' ELSE '≤ ' || (n_chars - 500) || ' KB per file' END AS split FROM l""")
+def option_labels(spark, sf_dir):
+    """What is said of outputs and splits; sizes of documents as KB of parts."""
+    docs = tables.load(spark, sf_dir, "documents")
+    own, wanted = _dealt(F.col("doc_id"), [".epub", ".txt", ".md", ".xyz", ""]), _dealt(F.col("n_chars"), ["", ".txt", ".docx", ".html"])
+    return docs.select("doc_id", files.output_label(wanted, own).alias("output"), T.split_label(F.col("n_chars") - 500).alias("split"))
+
+
+@query(f"""WITH {LINES}, b AS (SELECT doc_id, (pos // 8) AS k, body FROM (SELECT doc_id, body, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos FROM segs))
+SELECT doc_id, CAST(k AS INTEGER) AS k, count(*) AS n, md5(string_agg(body, '|' ORDER BY body)) AS md5 FROM b GROUP BY ALL""")
+def chunked_segments(spark, sf_dir):
+    """Segments of documents in rows of eight."""
+    docs = tables.load(spark, sf_dir, "documents").select("doc_id", F.transform(F.filter(T.lines(F.col("text")), lambda x: T.translatable(x)), lambda x: T.trim(x)).alias("s"))
+    rows = docs.select("doc_id", F.posexplode(T.chunked(F.col("s"), 8)).alias("k", "row"))
+    return rows.select("doc_id", "k", F.size("row").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("row"), "|")).alias("md5"))

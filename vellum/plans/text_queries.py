@@ -104,18 +104,28 @@ def paragraphs(spark, sf_dir):
 g AS (SELECT doc_id, pos, line, 1 + sum(CASE WHEN edge AND seen = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM m)
 SELECT doc_id, CAST(grp AS BIGINT) AS "group", count(*) AS n_lines, first(line ORDER BY pos) AS title FROM g GROUP BY doc_id, grp""")
 def chapter_split(spark, sf_dir):
-    lines = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "line"))
-    edge = F.col("line").rlike(r"!!|\.$") & (F.char_length("line") < 60)
-    split = structure.split_at(lines, ["doc_id"], "pos", edge, F.col("line") != "")
-    return split.groupBy("doc_id", "group").agg(F.count("*").alias("n_lines"), F.min_by("line", "pos").alias("title"))
+    """Lines of documents in groups that begin at short closed ones, worked out inside the row."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", T.lines(F.col("text")).alias("lines"))
+    edges = F.transform("lines", lambda x: x.rlike(r"!!|\.$") & (F.char_length(x) < 60))
+    spans = structure.spans_at(edges, F.transform("lines", lambda x: x != ""))
+    rows = docs.select("doc_id", "lines", F.explode(spans).alias("s"))
+    return rows.select("doc_id", F.col("s.group").cast("long").alias("group"), F.col("s.n").cast("long").alias("n_lines"), F.get("lines", F.col("s.start")).alias("title"))
 
 
-@query(r"""SELECT page_id, len(regexp_extract_all(html, '(?i)<h1[ >]')) AS h1, len(regexp_extract_all(html, '(?i)<p[ >]')) AS p, len(regexp_extract_all(html, '(?i)<li[ >]')) AS li,
-  CASE WHEN len(regexp_extract_all(html, '(?i)<h1[ >]')) >= 2 THEN 'h1' WHEN len(regexp_extract_all(html, '(?i)<h2[ >]')) >= 2 THEN 'h2' WHEN len(regexp_extract_all(html, '(?i)<h3[ >]')) >= 2 THEN 'h3' END AS level FROM pages""")
+#: Comments, scripts and styles, which hold no elements.
+NO_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+
+
+@query(rf"""WITH b AS (SELECT page_id, regexp_replace(html, '{NO_MARKUP}', '', 'g') AS html FROM pages)
+SELECT page_id, len(regexp_extract_all(html, '(?i)<h1[ >]')) AS h1, len(regexp_extract_all(html, '(?i)<p[ >]')) AS p, len(regexp_extract_all(html, '(?i)<li[ >]')) AS li,
+  CASE WHEN len(regexp_extract_all(html, '(?i)<h1[ >]')) >= 2 THEN 'h1' WHEN len(regexp_extract_all(html, '(?i)<h2[ >]')) >= 2 THEN 'h2' WHEN len(regexp_extract_all(html, '(?i)<h3[ >]')) >= 2 THEN 'h3' END AS level FROM b""")
 def heading_level(spark, sf_dir):
-    count = lambda tag: F.regexp_count("html", F.lit(f"(?i)<{tag}[ >]")).cast("long").alias(tag)
-    counted = load(spark, sf_dir, "pages").select("page_id", *[count(t) for t in ("h1", "h2", "h3", "p", "li")])
-    return counted.select("page_id", "h1", "p", "li", structure.heading_level(counted).alias("level"))
+    """Headings, paragraphs and items of each page, and the heading level that recurs; children alone: article_children."""
+    nodes = markup.nodes(load(spark, sf_dir, "pages").select("page_id", "html"), "html", "page_id")
+    counted = nodes.groupBy("page_id").agg(*[F.count_if(F.col("tag") == t).alias(t) for t in ("h1", "h2", "h3", "p", "li")])
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    found = load(spark, sf_dir, "pages").select("page_id").join(counted, "page_id", "left")
+    return found.select("page_id", zero("h1"), zero("p"), zero("li"), structure.heading_level().alias("level"))
 
 
 @query()
@@ -210,7 +220,7 @@ def size_estimates(spark, sf_dir):
     return structure.size_estimates(docs, "g", "n_chars", "total").select("doc_id", "lang", "scaled")
 
 
-@query("""SELECT doc_id, CASE WHEN n_chars >= 1000000 THEN 'M' WHEN n_chars >= 1000 THEN CAST(n_chars // 1000 AS VARCHAR) || 'k' ELSE CAST(n_chars AS VARCHAR) END AS chars,
+@query("""SELECT doc_id, CASE WHEN n_chars >= 1000000 THEN replace(printf('%.1fM', n_chars / 1e6), '.0M', 'M') WHEN n_chars >= 1000 THEN CAST(n_chars // 1000 AS VARCHAR) || 'k' ELSE CAST(n_chars AS VARCHAR) END AS chars,
   CAST(CAST(round_even(n_chars / 1024.0, 0) AS BIGINT) AS VARCHAR) || ' KB' AS size FROM documents""")
 def size_format(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", T.fmt_chars(F.col("n_chars")).alias("chars"), T.fmt_size(F.col("n_chars")).alias("size"))

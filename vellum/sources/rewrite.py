@@ -44,7 +44,7 @@ def translated_texts(texts: DataFrame, provider, key: str = "path", text: str =
     """
     end = F.when(F.contains(text, F.lit("\r\n")), "\r\n").otherwise("\n")
     lines = texts.select(key, F.posexplode(T.lines(F.col(text))).alias("pos", "line")).where(T.translatable(F.col("line"))).withColumn("body", T.trim(F.col("line")))
-    found = translate.run(lines.select("body").distinct(), provider).where("translated IS NOT NULL").select("body", "translated")
+    found = translate.finished(lines.select("body").distinct(), provider).where("translated IS NOT NULL").select("body", "translated")
     new = F.concat(T.lead(F.col("line")), F.col("translated"), T.trail(F.col("line")))
     done = lines.join(found, "body").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pos", new.alias("new")))).alias("_new"))
     rows = texts.select(key, text, end.alias("_end")).join(done, key, "left")
@@ -56,7 +56,7 @@ def translated_pages(pages: DataFrame, provider, key: str = "path", page: str =
     """pages with their text nodes translated; prolog, markup and all other columns stay."""
     held = markup.text_nodes(pages.select(key, page), page).select(key, F.posexplode("texts").alias("pos", "raw"))
     some = held.where(T.translatable(F.col("raw"))).withColumn("body", T.trim(F.col("raw")))
-    found = translate.run(some.select("body").distinct(), provider).where("translated IS NOT NULL").select("body", "translated")
+    found = translate.finished(some.select("body").distinct(), provider).where("translated IS NOT NULL").select("body", "translated")
     new = F.concat(T.lead(F.col("raw")), F.col("translated"), T.trail(F.col("raw")))
     done = held.join(some.join(found, "body").select(key, "pos", new.alias("new")), [key, "pos"], "left")
     done = done.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "new"))), lambda s: s["new"]).alias("_new"))
@@ -65,8 +65,10 @@ def translated_pages(pages: DataFrame, provider, key: str = "path", page: str =
 
 
 def translated_books(packed: DataFrame, provider, key: str = "path", content: str = "content") -> DataFrame:
-    """(key, content): packages whose pages are translated in place; the rest of the package stays."""
-    pages = packages.spine(packages.entries(packed, key, content), key).select(key, "name", packages.decoded_markup(F.col("data")).alias("html"))
+    """(key, content): packages whose pages are translated in place, those outside the reading order too; the rest of
+    the package stays."""
+    found = packages.kept_entries(packages.entries(packed, key, content), key)
+    pages = found.where(files.page_entry(F.col("name"), F.col("data"))).select(key, "name", packages.decoded_markup(F.col("data")).alias("html"))
     pages = pages.withColumn("_page", F.concat_ws("\x00", key, "name"))
     return rebuilt(packed, translated_pages(pages, provider, "_page").select(key, "name", F.encode("html", "UTF-8").alias("data")), key, content)
 

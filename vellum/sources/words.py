@@ -102,7 +102,7 @@ def translated_words(packed: DataFrame, provider, key: str = "path", content: st
     bodies = F.arrow_udf(lambda c: pa.array([["".join(t["body"] for t in g) for g in text_groups(v)] for v in c.to_pylist()], pa.list_(pa.string())), "array<string>")
     parts = packages.kept_entries(packages.entries(packed, key, content), key).where(F.col("name").rlike(TEXT_PARTS)).select(key, "name", "data")
     texts = parts.select(key, "name", F.posexplode(bodies("data")).alias("pos", "raw")).where(T.translatable(F.col("raw"))).withColumn("body", T.trim(F.col("raw")))
-    found = translate.run(texts.select("body").distinct(), provider).where("translated IS NOT NULL").select("body", "translated")
+    found = translate.finished(texts.select("body").distinct(), provider).where("translated IS NOT NULL").select("body", "translated")
     new = F.concat(T.lead(F.col("raw")), F.col("translated"), T.trail(F.col("raw")))
     done = texts.join(found, "body").groupBy(key, "name").agg(F.collect_list(F.struct("pos", new.alias("new"))).alias("_new"))
 

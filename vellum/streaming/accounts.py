@@ -34,27 +34,26 @@ def job_slots(events: DataFrame) -> DataFrame:
 
     events: user_id, job_id, status, seq; banned if there is such a column. States: queued, running, done, failed,
     cancelled. A job waiting in the queue is free at once when cancelled; one of a banned user is cancelled when it
-    would run.
+    would run. Events of a batch are taken by seq, in whatever frames they come; a user without a job leaves no state.
     """
     judged = events if "banned" in events.columns else events.withColumn("banned", F.lit(False))
 
     def step(key, frames, state: GroupState):
         held = state.get[0] if state.exists else None
         out = []
-        for frame in frames:
-            for r in frame.sort_values("seq").itertuples():
-                status = "cancelled" if r.status == "running" and r.banned else r.status
-                if status == "queued":
-                    verdict = "accepted" if held is None else "refused"
-                    held = r.job_id if held is None else held
-                    out.append((key[0], r.job_id, verdict))
-                elif r.job_id == held and status not in ACTIVE:
-                    out.append((key[0], r.job_id, status))
-                    held = None
-        if held is None:
-            state.remove()
-        else:
+        # a batch may come in several frames: all of them are taken in the order of seq
+        for r in pd.concat(list(frames)).sort_values("seq", kind="stable").itertuples():
+            status = "cancelled" if r.status == "running" and r.banned else r.status
+            if status == "queued":
+                out.append((key[0], r.job_id, "accepted" if held is None else "refused"))
+                held = r.job_id if held is None else held
+            elif r.job_id == held and status not in ACTIVE:
+                out.append((key[0], r.job_id, status))
+                held = None
+        if held is not None:
             state.update((held,))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["user_id", "job_id", "verdict"])
 
     return judged.groupBy("user_id").applyInPandasWithState(step, "user_id long, job_id long, verdict string", "held long", "append", GroupStateTimeout.NoTimeout)

@@ -34,16 +34,27 @@ def breaker(pings: DataFrame, limit: int = FAILS, cool: int = COOL_FAILS, keep:
     return pings.groupBy("endpoint").applyInPandasWithState(step, f"endpoint long, {fields}", fields, "update", GroupStateTimeout.NoTimeout)
 
 
-def throttled(progress: DataFrame, pause: int = 3) -> DataFrame:
-    """Progress reports of each job at least pause seconds apart, and the last one. progress: job_id, at, done, total."""
+def throttled(progress: DataFrame, pause: int = 3, expire_ms: int = 86_400_000) -> DataFrame:
+    """Progress reports of each job at least pause seconds apart, and the last one. progress: job_id, at, done, total.
+
+    A job that is done leaves no state; one that is never done leaves none when it has not reported for expire_ms.
+    """
 
     def step(key, frames, state: GroupState):
-        last, out = (state.get[0] if state.exists else None), []
-        for r in pd.concat(list(frames)).sort_values(["at", "done"]).itertuples():
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, out, ended = (state.get[0] if state.exists else None), [], False
+        for r in pd.concat(list(frames)).sort_values(["at", "done"], kind="stable").itertuples():
             if last is None or r.at - last >= pause or r.done >= r.total:
                 out.append((key[0], int(r.at), int(r.done), int(r.total)))
                 last = int(r.at)
-        state.update((last,))
+            ended = r.done >= r.total
+        if not ended:
+            state.update((last,))
+            state.setTimeoutDuration(expire_ms)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["job_id", "at", "done", "total"])
 
-    return progress.groupBy("job_id").applyInPandasWithState(step, "job_id long, at long, done long, total long", "last long", "append", GroupStateTimeout.NoTimeout)
+    return progress.groupBy("job_id").applyInPandasWithState(step, "job_id long, at long, done long, total long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
