@@ -37,8 +37,10 @@ def breaker(pings: DataFrame, limit: int = FAILS, cool: int = COOL_FAILS, keep:
 def throttled(progress: DataFrame, pause: int = 3, expire_ms: int = 86_400_000) -> DataFrame:
     """Progress reports of each job at least pause seconds apart, and the last one. progress: job_id, at, done, total.
 
-    A job that is done leaves no state; one that is never done leaves none when it has not reported for expire_ms.
+    A job that is done leaves no state. If progress has ts with a watermark, one that is never done leaves none either
+    when it has not reported for expire_ms of event time.
     """
+    expires = "ts" in progress.columns
 
     def step(key, frames, state: GroupState):
         if state.hasTimedOut:
@@ -52,9 +54,10 @@ def throttled(progress: DataFrame, pause: int = 3, expire_ms: int = 86_400_000)
             ended = r.done >= r.total
         if not ended:
             state.update((last,))
-            state.setTimeoutDuration(expire_ms)
+            if expires:
+                state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + expire_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["job_id", "at", "done", "total"])
 
-    return progress.groupBy("job_id").applyInPandasWithState(step, "job_id long, at long, done long, total long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return progress.groupBy("job_id").applyInPandasWithState(step, "job_id long, at long, done long, total long", "last long", "append", GroupStateTimeout.EventTimeTimeout if expires else GroupStateTimeout.NoTimeout)
