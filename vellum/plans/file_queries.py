@@ -248,7 +248,7 @@ l AS (SELECT *, CASE own WHEN '.epub' THEN 'EPUB' WHEN '.txt' THEN 'TXT' WHEN '.
   wanted = '' OR (own IN ('.txt', '.md') AND wanted = '.txt') AS same FROM d)
 SELECT doc_id, CASE WHEN same AND own <> '' THEN own_label || ' (same as input)' WHEN same THEN 'same as input' ELSE wanted_label END AS output,
   CASE WHEN n_chars - 500 <= 0 THEN 'no split' WHEN n_chars - 500 >= 1024 THEN '≤ ' || printf('%.1f', round_even((n_chars - 500) / 1024.0, 1)) || ' MB per file' ELSE '≤ ' || (n_chars - 500) || ' KB per file' END AS split FROM l""")
-def option_labels(spark, sf_dir):
+def output_labels(spark, sf_dir):
     """What is said of outputs and splits; sizes of documents as KB of parts."""
     docs = tables.load(spark, sf_dir, "documents")
     own, wanted = _dealt(F.col("doc_id"), [".epub", ".txt", ".md", ".xyz", ""]), _dealt(F.col("n_chars"), ["", ".txt", ".docx", ".html"])
