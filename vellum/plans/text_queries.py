@@ -160,12 +160,12 @@ def page_flags(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", F.col("html").rlike("(?i)<nav[ >]").alias("contents"), clutter.marks(body).cast("long").alias("marks"), clutter.has_url(body).alias("url"))
 
 
-@query(rf"""WITH {LINES}, made AS (SELECT doc_id, pos, CASE WHEN (doc_id + pos) % 5 = 0 THEN left(body, 100) || ' Generated by webtoepub' WHEN (doc_id + pos) % 5 = 1 THEN left(body, 350) || ' downloaded from www.books.example.com' WHEN (doc_id + pos) % 5 = 2 THEN left(body, 60) || ' made with care' ELSE body END AS body FROM segs),
+@query(rf"""WITH {LINES}, made AS (SELECT doc_id, pos, CASE WHEN (doc_id + pos) % 5 = 0 THEN body || ' Generated by webtoepub' WHEN (doc_id + pos) % 5 = 1 THEN body || ' downloaded from www.books.example.com' WHEN (doc_id + pos) % 5 = 2 THEN body || ' made with care' ELSE body END AS body FROM segs),
 m AS (SELECT *, len(regexp_extract_all(body, '{T.CLUTTER}')) AS marks, regexp_matches(body, '{T.URL}') AS url FROM made)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, marks, length(body) BETWEEN 1 AND 400 AND marks > 0 AND (marks >= 2 OR url) AND (length(body) <= 200 OR url) AS dropped FROM m WHERE marks > 0""")
 def clutter_blocks(spark, sf_dir):
     n, body = (F.col("doc_id") + F.col("pos")) % 5, F.col("body")
-    made = F.when(n == 0, F.concat(F.left(body, F.lit(100)), F.lit(" Generated by webtoepub"))).when(n == 1, F.concat(F.left(body, F.lit(350)), F.lit(" downloaded from www.books.example.com"))).when(n == 2, F.concat(F.left(body, F.lit(60)), F.lit(" made with care"))).otherwise(body)
+    made = F.when(n == 0, F.concat(body, F.lit(" Generated by webtoepub"))).when(n == 1, F.concat(body, F.lit(" downloaded from www.books.example.com"))).when(n == 2, F.concat(body, F.lit(" made with care"))).otherwise(body)
     segs = _segments(spark, sf_dir).select("doc_id", "pos", made.alias("body"))
     return segs.select("doc_id", "pos", clutter.marks(F.col("body")).cast("long").alias("marks"), clutter.droppable(F.col("body"), F.lit(False)).alias("dropped")).where("marks > 0")
 
