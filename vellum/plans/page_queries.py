@@ -9,6 +9,7 @@ from vellum.functions import text as T
 from vellum.operators import blocks, markup, structure
 from vellum.sources import packages, splits, writers
 from vellum.sources.tables import load
+from vellum.sources.tables import pages as closed_pages
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -116,7 +117,7 @@ def page_parts(spark, sf_dir):
 SELECT page_id, len(regexp_extract_all(h, '<[a-zA-Z]')) AS elements, sha1(t) AS sha1 FROM c""")
 def cleaned_pages(spark, sf_dir):
     """Pages as plain markup: how many elements stay, and a digest of the text."""
-    pages = load(spark, sf_dir, "pages").select("page_id", markup.cleaned(F.col("html")).alias("h"))
+    pages = closed_pages(spark, sf_dir).select("page_id", markup.cleaned(F.col("html")).alias("h"))
     found = markup.nodes(pages, "h", "page_id").groupBy("page_id").agg(F.count("*").alias("elements"))
     plain = blocks.of_pages(pages, "page_id", "h")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.regexp_replace("body", f"{T.WS}+", "").alias("t")))), lambda x: x["t"]), "")
