@@ -128,7 +128,7 @@ def cleaned_pages(spark, sf_dir):
 @query(rf"""WITH {SHOWN} SELECT page_id, sha1(upper(replace(t, 'ß', 'ss'))) AS sha1 FROM shown""")
 def converted_pages(spark, sf_dir):
     """Pages converted to text files: all characters of their chapters but for the marks that a text file has."""
-    pages = load(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), "html")
+    pages = closed_pages(spark, sf_dir).select(F.col("page_id").cast("string").alias("path"), "html")
     files = pages.select("path", F.concat("path", F.lit(".html")).alias("name"), F.lit(".html").alias("ext"), F.lit("html").alias("kind"), F.encode("html", "UTF-8").alias("content"))
     rows = packages.any_blocks(files)
     made = writers.as_text(rows.withColumn("chapter", F.lit("")), files.select("path", F.lit("").alias("title"), F.lit(None).cast("string").alias("author")))
