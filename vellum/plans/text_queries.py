@@ -10,6 +10,7 @@ from vellum.functions import files
 from vellum.functions import text as T
 from vellum.operators import clutter, markup, packing, segments, structure, translate
 from vellum.sources.tables import load
+from vellum.sources.tables import pages as closed_pages
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -143,8 +144,7 @@ nodes AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(part, '
 @query(f"""WITH {NODES} SELECT p.page_id, count(n.body) AS segments, CAST(coalesce(sum(length(n.body)), 0) AS BIGINT) AS chars
 FROM pages p LEFT JOIN nodes n ON n.page_id = p.page_id AND regexp_matches(n.body, '\\p{{L}}') GROUP BY 1""")
 def html_segments(spark, sf_dir):
-    pages = load(spark, sf_dir, "pages")
-    found = markup.text_nodes(pages, "html").withColumn("texts", F.filter("texts", lambda t: T.translatable(t)))
+    found = markup.text_nodes(closed_pages(spark, sf_dir), "html").withColumn("texts", F.filter("texts", lambda t: T.translatable(t)))
     return found.select("page_id", F.size("texts").cast("long").alias("segments"), F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.char_length(T.trim(t))).alias("chars"))
 
 
