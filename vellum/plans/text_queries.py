@@ -150,7 +150,7 @@ def html_segments(spark, sf_dir):
 
 @query(rf"""SELECT page_id, left(trim(regexp_replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&quot;', '"'), '&amp;', '&'), '{W}+', ' ', 'g')), 150) AS title FROM pages""")
 def html_title(spark, sf_dir):
-    return markup.titles(load(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "title")
+    return markup.titles(closed_pages(spark, sf_dir).select("page_id", "html")).select("page_id", "title")
 
 
 @query(rf"""WITH t AS (SELECT page_id, html, regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>', ' ', 'g') AS body FROM pages)
