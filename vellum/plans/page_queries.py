@@ -38,7 +38,7 @@ def query(sql: str | None = None):
   len(regexp_extract_all(h, '(?i)<a [^>]*href=')) AS links, length(t) AS chars, sha1(t) AS sha1 FROM shown""")
 def page_blocks(spark, sf_dir):
     """All shown text of each page as blocks: headings, items, linked places, and a digest of all their characters."""
-    found = blocks.of_pages(load(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    found = blocks.of_pages(closed_pages(spark, sf_dir).select("page_id", "html"), "page_id")
     bare = F.regexp_replace("body", f"{T.WS}+", "")
     links = F.size(F.filter("marks", lambda m: m["mark"] == "a"))
     packed = found.groupBy("page_id").agg(
@@ -54,7 +54,7 @@ def page_blocks(spark, sf_dir):
 SELECT page_id, length(t) AS chars, sha1(t) AS sha1 FROM (SELECT page_id, regexp_replace(replace(replace(replace(raw, '&quot;', '"'), '&copy;', '©'), '&amp;', '&'), '{W}+', '', 'g') AS t FROM bold WHERE raw <> '') WHERE t <> ''""")
 def bold_openings(spark, sf_dir):
     """What is bold in the first paragraph that begins so, up to a line break."""
-    found = blocks.of_pages(load(spark, sf_dir, "pages").select("page_id", "html"), "page_id").where("tag = 'p'")
+    found = blocks.of_pages(closed_pages(spark, sf_dir).select("page_id", "html"), "page_id").where("tag = 'p'")
     bold = F.get(F.filter("marks", lambda m: (m["mark"] == "b") & (m["at"] == 0)), 0)
     first = found.where(bold.isNotNull()).groupBy("page_id").agg(F.min_by(F.struct("body", bold.alias("m")), "pos").alias("b"))
     text = F.regexp_replace(F.split_part(F.substring(F.col("b.body"), F.lit(1), F.col("b.m.len")), F.lit("\n"), F.lit(1)), f"{T.WS}+", "")
