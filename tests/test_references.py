@@ -11,7 +11,7 @@ PAGES = [
 ]
 
 
-@pytest.mark.parametrize("name", ["cleaned_pages", "converted_pages", "html_segments", "html_title", "page_blocks", "bold_openings"])
+@pytest.mark.parametrize("name", ["cleaned_pages", "converted_pages", "html_segments", "html_title", "page_blocks", "bold_openings", "page_facts"])
 def test_as_sql(spark, tmp_path, name):
     spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     db = duckdb.connect()

@@ -126,7 +126,7 @@ def quota_line(spark, sf_dir):
   trim(regexp_replace(replace(replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '&quot;', '"'), '&amp;', '&'), '{W}+', ' ', 'g')) AS heading FROM pages""")
 def page_facts(spark, sf_dir):
     """What the page classifiers look at."""
-    pages = tables.load(spark, sf_dir, "pages").select("page_id", F.col("page_id").cast("string").alias("path"), F.lit(0).alias("spine_ix"), "html")
+    pages = tables.pages(spark, sf_dir).select("page_id", F.col("page_id").cast("string").alias("path"), F.lit(0).alias("spine_ix"), "html")
     return cleanup.page_facts(pages).select("page_id", "has_nav", "has_link", "n_lines", "heading")
 
 
