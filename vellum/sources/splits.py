@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vellum.config import MIN_SPLIT_BYTES
 from vellum.functions.files import part_name
+from vellum.functions.pieces import replaced
 from vellum.operators import markup
 from vellum.operators.blocks import tree_markup
 from vellum.operators.packing import next_fit, packed, split_error
@@ -86,14 +87,14 @@ def split_pages(pages: DataFrame, limit: int, key: str = "path", name: str = "na
     if limit < least:
         raise ValueError(f"a part has {least} bytes at least")
 
-    def run(column: pa.Array) -> pa.Array:
+    def run(column: list) -> list:
         out = []
-        for p in column.to_pylist():
+        for p in column:
             found = [] if p is None else [("", p, "")] if len(p.encode("utf-8", "replace")) <= limit else Page(p, limit).parts(limit)
             out.append([dict(zip(("before", "inner", "behind"), x)) for x in found])
-        return pa.array(out, _PART)
+        return out
 
-    cut = pages.select(key, name, F.arrow_udf(run, "array<struct<before:string,inner:string,behind:string>>")(F.col(page)).alias("_parts"))
+    cut = replaced(pages, [key, name], page, "_parts", run, _PART, "array<struct<before:string,inner:string,behind:string>>")
     sizes = F.transform("_parts", lambda p: F.octet_length(p["before"]) + F.octet_length(p["inner"]) + F.octet_length(p["behind"]))
     error = split_error(F.array_max(sizes), F.size("_parts"), limit)
     rows = cut.select(key, name, F.size("_parts").alias("parts"), error.alias("error"), F.posexplode("_parts").alias("part", "p")).withColumn("part", F.col("part") + 1)
