@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vellum.config import BATCH_CHARS, BATCH_ITEMS, MAX_SPLIT_KB, MIN_SPLIT_BYTES, MIN_SPLIT_KB
 from vellum.functions.files import part_name
+from vellum.functions.pieces import replaced
 
 SPANS = "array<struct<start:int,stop:int>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
@@ -81,10 +82,12 @@ def split_texts(df: DataFrame, limit: int, name: str = "name", text: str = "text
     """A row for each part of each text: part, parts, part_name, body, size in bytes, error. Texts that fit stay whole."""
     if limit < least:
         raise ValueError(f"a part has {least} bytes at least")
-    cut = F.arrow_udf(lambda texts: pa.array([cut_text(t or "", limit) for t in texts.to_pylist()], pa.list_(pa.string())), "array<string>")
+
+    def run(texts: list) -> list:
+        return [[t] if t is not None and len(t.encode()) <= limit else cut_text(t or "", limit) for t in texts]
+
     kept = [c for c in df.columns if c != text]
-    whole = F.when(F.octet_length(text) <= limit, F.array(F.col(text))).otherwise(cut(F.col(text)))
-    parts = df.withColumn("_parts", whole)
+    parts = replaced(df, kept, text, "_parts", run, pa.list_(pa.string()), "array<string>")
     error = split_error(F.array_max(F.transform("_parts", lambda p: F.octet_length(p))), F.size("_parts"), limit)
     parts = parts.select(*kept, F.size("_parts").alias("parts"), error.alias("error"), F.posexplode("_parts").alias("part", "body"))
     parts = parts.withColumn("part", F.col("part") + 1).withColumn("size", F.octet_length("body"))
