@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.functions.pieces import pieces
 from vellum.llm.common import free_name, idle_memory
 
 #: Texts are worked through in runs of about so many code points; longer ones are cut at white space, or inside a
@@ -250,9 +251,9 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pa.Array) -> pa.Array:
-        out = pa.array(shared.value.score([t or "" for t in texts.to_pylist()]), pa.float64())
+        out = [shared.value.score([t or "" for t in piece.to_pylist()]) for (piece,) in pieces((texts,))]
         idle_memory()
-        return out
+        return pa.array(np.concatenate(out), pa.float64())
 
     return df.withColumn(out, F.arrow_udf(run, "double")(F.col(text)))
 
