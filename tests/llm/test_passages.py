@@ -108,6 +108,20 @@ def test_equals_brute_force(spark, crowd):
     assert got == expected(rows)
 
 
+def test_copies_need_no_index_and_texts_are_read_once(spark, monkeypatch):
+    rng = random.Random(5)
+    line = " ".join(f"c{i}" for i in range(40))
+    copies = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(5)]
+    near = [(1000 + i, f"{' '.join(f'a{rng.randrange(10**6)}' for _ in range(40))} {line} {' '.join(f'b{rng.randrange(10**6)}' for _ in range(40))}") for i in range(30)]
+    reads, real = [], passages._fetched
+    monkeypatch.setattr(passages, "_fetched", lambda docs, wanted, least: reads.append(wanted.count()) or real(docs, wanted, least))
+    same = [(i, copies[i % 5]) for i in range(20)]
+    assert result(spark.createDataFrame(same, "doc_id long, text string")) == expected(same) and sum(reads) == 0
+    reads.clear()
+    rows = same + near
+    assert result(spark.createDataFrame(rows, "doc_id long, text string"), crowd=2) == expected(rows) and len(reads) == 1 and reads[0] > 0
+
+
 def test_repeated_rows_null_keys_and_other_columns(spark):
     long = " ".join(f"w{i}" for i in range(50))
     rows = [(1, long), (1, long), (None, "a " + long[3:]), (None, None), (2, "ünïcode " * 50), (3, "few words"), (3, "few words")]

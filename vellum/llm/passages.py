@@ -3,13 +3,15 @@
 A window is a passage of a fixed number of words. Equal windows hold the same least digest of short word runs, so
 text is cut into segments, maximal runs of windows with one such digest, the segment's key; every window is whole in
 just one segment, and equal windows meet under one key. A key that occurs once has nothing that recurs, and equal
-segments are one content with its number. Contents are dealt by key to shards of about SHARD_WORDS words. A shard's
-FM-index (fmindex.py) is built over its contents, and the contents are streamed against it: backward search finds
-how far matches reach, and gives the intervals where windows recur. These are joined back to every occurrence.
+segments are one content with its number. Of a content that stands more than once, all windows recur; only keys that
+also have other contents go further, dealt by key to shards of about SHARD_WORDS words. A shard's FM-index
+(fmindex.py) is built over its contents, and those that stand once are streamed against it: backward search finds how
+far matches reach, and gives the intervals where windows recur. These are joined back to every occurrence.
 
 What is dealt grows with the text. A key of more than CROWD contents (one passage between very many different
 neighbours) is dealt again by whole windows: those whose digest recurs go through an index of their own, so no shard
-outgrows its task. Words are compared by 64-bit digests.
+outgrows its task; their words come with the contents, so texts are read once for both. Words are compared by 64-bit
+digests.
 """
 
 from __future__ import annotations
@@ -165,11 +167,12 @@ def _cut(least: int):
 
 
 def _fetch(least: int):
-    """Words of the wanted contents; of crowded ones the digest of each window instead."""
+    """Words of the wanted contents; of crowded ones the digest of each window as well."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
-        names = ["key", "content", "at", "heavy", "window", "doc", "mark", "start", "words"]
+        names = ["key", "content", "heavy", "crowded", "at", "window", "words"]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
         for batch in batches:
             docs, marks, texts, wanted = (batch.column(c) for c in ("doc", "mark", "text", "wanted"))
             texts = texts.cast(pa.binary())
@@ -184,17 +187,15 @@ def _fetch(least: int):
                     seen.add((doc, mark))
                     words = digests(texts[i].as_py())
                     for w in wanted[i].as_py():
-                        start, n = w["start"], w["n"]
+                        start, n, own = w["start"], w["n"], (w["key"], w["content"], w["heavy"], w["crowded"])
+                        content = words[start : start + n + least - 1]
+                        rows.append((*own, None, None, content.view(np.int64)))
+                        size += len(content)
                         if w["crowded"]:
-                            firsts = np.arange(start, start + n)
-                            windows = run_digests(words[start : start + n + least - 1], firsts - start, np.full(n, least)).view(np.int64)
-                            rows += [(w["key"], w["content"], k, w["heavy"], x, doc, mark, start + k, None) for k, x in enumerate(windows.tolist())]
+                            windows = run_digests(content, np.arange(n), np.full(n, least)).view(np.int64)
+                            rows += [(*own, k, x, None) for k, x in enumerate(windows.tolist())]
                             size += n
-                        else:
-                            rows.append((w["key"], w["content"], 0, w["heavy"], None, None, None, None, words[start : start + n + least - 1].view(np.int64)))
-                            size += n + least - 1
                 if rows and (size >= CHUNK or last):
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), docs.type, pa.int64(), pa.int64(), pa.list_(pa.int64())]
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
                     rows, size = [], 0
         idle_memory()
@@ -209,13 +210,15 @@ def _search(least: int):
         cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
         texts = [values[a:b] for a, b in zip(cuts, cuts[1:])]
         index = Index(texts, shard.column("heavy").to_numpy())
+        # of the others it is known that all their windows recur
+        asked = np.flatnonzero(shard.column("asked").to_numpy())
         spans = []
-        for recur in index.recurring(texts, least):
+        for recur in index.recurring([texts[i] for i in asked], least):
             edges = np.flatnonzero(np.diff(np.concatenate([[0], recur.view(np.int8), [0]])))
             spans.append([{"at": a, "n": b - a} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())] or None)
         idle_memory()
         found = pa.array(spans, pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())])))
-        table = pa.table({"key": shard.column("key"), "content": shard.column("content"), "spans": found})
+        table = pa.table({"key": shard.column("key").take(asked), "content": shard.column("content").take(asked), "spans": found})
         return table.filter(found.is_valid())
 
     return run
@@ -275,19 +278,22 @@ def drop_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     # one content for equal segments, and the first place where it stands
     place = F.min(F.struct("doc", "mark", "start", "n")).alias("place")
     contents = written(held.groupBy("key", "content").agg((F.count("*") > 1).alias("heavy"), place), release=True)
-    crowds = written(contents.groupBy("key").count().where(F.col("count") > crowd).select("key", F.lit(True).alias("crowded")))
-    contents = contents.join(crowds, "key", "left").select("place.*", "key", "content", "heavy", F.coalesce("crowded", F.lit(False)).alias("crowded"))
-    fetched = _fetched(docs, contents, least)
-
-    normal = fetched.where("words IS NOT NULL").select("key", "content", "heavy", "words")
-    spans = _searched(normal, least, shard_words)
-    if not crowds.isEmpty():
-        windows = fetched.where("words IS NULL")
-        place = F.min(F.struct("doc", "mark", "start")).alias("place")
-        again = windows.groupBy("window").agg((F.count("*") > 1).alias("more"), F.max("heavy").alias("heavy"), place).where("more or heavy")
-        again = again.select("place.*", F.lit(1).alias("n"), F.col("window").alias("key"), F.col("window").alias("content"), F.lit(True).alias("heavy"), F.lit(False).alias("crowded"))
-        sure = _searched(_fetched(docs, again, least).select("key", "content", "heavy", "words"), least, shard_words)
-        hit = windows.join(sure.select(F.col("key").alias("window")).distinct(), "window").groupBy("key", "content")
+    # of a content that stands more than once all windows recur; a key that has no other ones is done
+    sure = contents.where("heavy").select("key", "content", F.array(F.struct(F.lit(0).alias("at"), F.col("place.n").alias("n"))).alias("spans"))
+    keys = contents.groupBy("key").agg((F.count("*") > crowd).alias("crowded"), F.bool_and("heavy").alias("done"))
+    keys = written(keys.where("NOT done").select("key", "crowded"))
+    fetched = _fetched(docs, contents.join(keys, "key").select("place.*", "key", "content", "heavy", "crowded"), least)
+
+    normal = fetched.where("words IS NOT NULL AND NOT crowded").select("key", "content", "heavy", (~F.col("heavy")).alias("asked"), "words")
+    spans = sure.unionByName(_searched(normal, least, shard_words))
+    if not keys.where("crowded").isEmpty():
+        windows = fetched.where("words IS NULL").select("key", "content", "heavy", "at", "window")
+        place = F.min(F.struct("key", "content", "at")).alias("place")
+        again = windows.groupBy("window").agg((F.count("*") > 1).alias("more"), F.max("heavy").alias("heavy"), place).where("more or heavy").select("place.*", "window")
+        again = again.join(fetched.where("words IS NOT NULL AND crowded").select("key", "content", "words"), ["key", "content"])
+        again = again.select(F.col("window").alias("key"), F.col("window").alias("content"), F.lit(True).alias("heavy"), F.lit(True).alias("asked"), F.slice("words", F.col("at") + 1, least).alias("words"))
+        found = _searched(written(again, release=True), least, shard_words).select(F.col("key").alias("window")).distinct()
+        hit = windows.where("NOT heavy").join(found, "window").groupBy("key", "content")
         spans = spans.unionByName(hit.agg(F.collect_set(F.struct("at", F.lit(1).alias("n"))).alias("spans")))
     of = held.join(written(spans, release=True), ["key", "content"]).groupBy("doc", "mark")
     marks = written(of.agg(F.collect_set(F.struct("start", "spans")).alias("spans")), release=True)
@@ -301,11 +307,10 @@ def drop_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", least:
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """The wanted contents with their words, read where they stand first."""
-    kind = docs.schema["doc"].dataType.simpleString()
+    """The wanted contents with their words, read where they stand first; of crowded ones also their windows."""
     of = wanted.groupBy(F.col("doc").alias("of"), F.col("mark").alias("of_mark")).agg(F.collect_list(F.struct("start", "n", "key", "content", "heavy", "crowded")).alias("wanted"))
     joined = docs.join(of, F.col("doc").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")))
-    schema = f"key long, content long, at int, heavy boolean, window long, doc {kind}, mark long, start long, words array<long>"
+    schema = "key long, content long, heavy boolean, crowded boolean, at int, window long, words array<long>"
     return written(joined.select("doc", "mark", "text", "wanted").mapInArrow(_fetch(least), schema), release=True)
 
 
