@@ -1,8 +1,10 @@
 """Large batches are worked off in pieces: the results are those of single rows, and no function sees more than a piece."""
 
 import pyarrow as pa
+import pytest
 
 from vellum.functions import pieces
+from vellum.llm import bpe, mixing
 from vellum.operators import blocks, markup, packing
 from vellum.sources import splits
 
@@ -26,6 +28,26 @@ def test_no_more_than_a_piece_at_once():
     assert pieces.over(run, pa.list_(pa.string()))(pa.array([], pa.string())).to_pylist() == []
 
 
+def test_results_as_large_as_rows_leave_in_pieces(spark):
+    texts = ["x" * 1000] * 5000 + ["y" * (3 * pieces.PIECE), None]
+    done = []
+    work = pieces.streamed(lambda t, k: pa.array([a and a + b for a, b in zip(t.to_pylist(), k.to_pylist())]), lambda: done.append(1))
+    out = list(work(iter([(pa.array(texts), pa.array(["z"] * len(texts))), (pa.array([], pa.string()), pa.array([], pa.string()))])))
+    assert [v for a in out for v in a.to_pylist()] == [t and t + "z" for t in texts] and max(map(len, out)) < 1100 and done == [1]
+    calls = []  # the token codec and the mix work so
+
+    real = pieces.streamed
+    with pytest.MonkeyPatch.context() as m:
+        for module in (bpe, mixing):
+            m.setattr(module, "streamed", lambda run, after: calls.append(run) or real(run, after))
+        docs = spark.createDataFrame([(i, f"word{i} " * 50, "a", "b") for i in range(300)], "doc_id long, text string, lang string, source string").coalesce(1)
+        coded = bpe.decode(bpe.encode(docs, packed=True)).collect()
+        mixed = mixing.mixed(docs).collect()
+    assert len(calls) == 3 and all(r.decoded.decode() == r.text for r in coded) and len(coded) == 300
+    words = {r.doc_id: r.text.split() for r in docs.collect()}
+    assert mixed and all(set(r.text.split()) <= set(words[r.doc_id]) for r in mixed)
+
+
 def test_operators_as_row_by_row(spark):
     df = spark.createDataFrame([(i, f"{i}.html", p) for i, p in enumerate(PAGES)], "k int, name string, html string").coalesce(1)
     got = {r.k: r.n for r in markup.nodes(df, "html", "k").groupBy("k").count().withColumnRenamed("count", "n").collect()}

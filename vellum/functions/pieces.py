@@ -31,6 +31,23 @@ def over(run: Callable[..., list], kind: pa.DataType) -> Callable[..., pa.Array]
     return whole
 
 
+def streamed(run: Callable[..., pa.Array], after: Callable[[], None] = lambda: None) -> Callable[[Iterator[tuple[pa.Array, ...]]], Iterator[pa.Array]]:
+    """Arrow function over the batches of a task: run makes a column of each piece, which leaves by itself.
+
+    For results of the size of their rows: a task holds one batch of input and one piece of results. after: called
+    when the last batch is gone.
+    """
+
+    def work(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for piece in pieces(batch if isinstance(batch, tuple) else (batch,)):  # Spark gives a single column bare
+                yield run(*piece)
+            del batch, piece
+        after()
+
+    return work
+
+
 def batched(run: Callable[[list], list], kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The batches with run applied to their last column. Each piece leaves as a batch by itself."""
 

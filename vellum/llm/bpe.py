@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions.pieces import streamed
 from vellum.llm.common import idle_memory
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -97,13 +98,10 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", ranks_path: str
         codec = _codec(ranks, pattern)
         found = (np.array(codec.encode(t.as_py() or ""), dtype="<u4") for t in texts)
         if packed:
-            out = pa.array([a.tobytes() for a in found], pa.binary())
-        else:
-            out = pa.array([a.astype(np.int32) for a in found], pa.list_(pa.int32()))
-        idle_memory()
-        return out
+            return pa.array([a.tobytes() for a in found], pa.binary())
+        return pa.array([a.astype(np.int32) for a in found], pa.list_(pa.int32()))
 
-    return df.withColumn(ids, F.arrow_udf(run, "binary" if packed else "array<int>")(F.col(text)))
+    return df.withColumn(ids, F.arrow_udf(streamed(run, idle_memory), "binary" if packed else "array<int>")(F.col(text)))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", ranks_path: str | None = None) -> DataFrame:
@@ -118,8 +116,6 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", ranks_path: st
     def run(column: pa.Array) -> pa.Array:
         codec = _codec(ranks, None)
         read = (lambda v: np.frombuffer(v, dtype="<u4").tolist()) if packed else (lambda v: [i for i in v if i is not None])
-        out = pa.array([None if v is None else codec.decode(read(v)) for v in (x.as_py() for x in column)], pa.binary())
-        idle_memory()
-        return out
+        return pa.array([None if v is None else codec.decode(read(v)) for v in (x.as_py() for x in column)], pa.binary())
 
-    return df.withColumn(out, F.arrow_udf(run, "binary")(F.col(ids)))
+    return df.withColumn(out, F.arrow_udf(streamed(run, idle_memory), "binary")(F.col(ids)))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.functions.pieces import streamed
 from vellum.llm.common import WORD, free_name, idle_memory, text_of, written
 
 BLOCK = 128
@@ -292,11 +293,9 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     )
 
     def cut(texts: pa.Array, taken: pa.Array) -> pa.Array:
-        out = pa.array([_cut(t, p) for t, p in zip(texts.to_pylist(), taken.to_pylist())], pa.string())
-        idle_memory()
-        return out
+        return pa.array([_cut(t, p) for t, p in zip(texts.to_pylist(), taken.to_pylist())], pa.string())
 
-    new = F.arrow_udf(cut, "string")(F.col(text), F.col(names["taken"]))
+    new = F.arrow_udf(streamed(cut, idle_memory), "string")(F.col(text), F.col(names["taken"]))
     return met.withColumn(text, new).select(*df.columns)
 
 

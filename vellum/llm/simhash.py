@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions.pieces import streamed
 from vellum.llm.common import free_name, idle_memory, text_of, written
 from vellum.llm.components import components
 
@@ -55,11 +56,9 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", shi
     """Adds the fingerprint of each whole text as a signed long; null texts count as empty and have 0."""
 
     def run(texts: pa.Array) -> pa.Array:
-        out = pa.array(np.array([fingerprint_of(t.as_py() or "", shingle) for t in texts], dtype=np.uint64).view(np.int64))
-        idle_memory()
-        return out
+        return pa.array(np.array([fingerprint_of(t.as_py() or "", shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return df.withColumn(out, F.arrow_udf(run, "long")(F.col(text)))
+    return df.withColumn(out, F.arrow_udf(streamed(run, idle_memory), "long")(F.col(text)))
 
 
 class BKTree:
